@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, transport
 
-MODULES = (mixing, bpe)
+MODULES = (mixing, bpe, transport)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
