@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, rules, transport
+from . import bpe, licenses, mixing, rules, transport
 
-MODULES = (mixing, bpe, transport, rules)
+MODULES = (mixing, bpe, transport, rules, licenses)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
