@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flatwords import MULTIPLIER, NEWLINE, SPACE, VALUE, chunks, mix, powers, words
+from .flatwords import MULTIPLIER, NEWLINE, SPACE, VALUE, Words, chunks, mix, powers, words
 from .runtime import checkpoint, table
 
 WINDOW = 8
@@ -59,6 +59,25 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner[at], minlength=n)
 
 
+def repeated(w: Words) -> np.ndarray:
+    """Whether each word stands in a run of WINDOW words that its text has twice or more."""
+    if len(w.hash) < WINDOW:
+        return np.zeros(len(w.hash), bool)
+    m = len(w.hash) - WINDOW + 1
+    key = np.zeros(m, np.uint64)
+    for i in range(WINDOW):
+        key = key * np.uint64(0xD1342543DE82EF95) + w.hash[i : m + i]
+    at = np.flatnonzero(w.text[:m] == w.text[WINDOW - 1 :])
+    key = mix(key[at] + w.text[at].astype(np.uint64) * MULTIPLIER)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = at[order[np.r_[False, same] | np.r_[same, False]]] if len(at) else at
+    cover = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(cover, twice, 1)
+    np.add.at(cover, twice + WINDOW, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def measure(raw: np.ndarray, texts: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS of each text of a chunk."""
     n = len(texts) - 1
@@ -91,21 +110,7 @@ def measure(raw: np.ndarray, texts: np.ndarray) -> dict[str, np.ndarray]:
     marks = np.r_[0, np.cumsum(SYMBOL[raw])]
     out["n_marked"] = np.bincount(w.text[(marks[w.end] > marks[w.start]) & (letters[w.end] > letters[w.start])], minlength=n)
 
-    out["n_repeat_words"] = np.zeros(n, np.int64)
-    if len(w.hash) >= WINDOW:
-        m = len(w.hash) - WINDOW + 1
-        key = np.zeros(m, np.uint64)
-        for i in range(WINDOW):
-            key = key * np.uint64(0xD1342543DE82EF95) + w.hash[i : m + i]
-        at = np.flatnonzero(w.text[:m] == w.text[WINDOW - 1 :])
-        key = mix(key[at] + w.text[at].astype(np.uint64) * MULTIPLIER)
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = at[order[np.r_[False, same] | np.r_[same, False]]] if len(at) else at
-        cover = np.zeros(len(w.hash) + 1, np.int64)
-        np.add.at(cover, twice, 1)
-        np.add.at(cover, twice + WINDOW, -1)
-        out["n_repeat_words"] = np.bincount(w.text[np.cumsum(cover[:-1]) > 0], minlength=n)
+    out["n_repeat_words"] = np.bincount(w.text[repeated(w)], minlength=n)
     return out
 
 
