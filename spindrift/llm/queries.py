@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attention, bpe, licenses, mixing, rules, transport
+from . import attention, bpe, licenses, mixing, rules, toxicity, transport
 
-MODULES = (mixing, bpe, transport, rules, licenses, attention)
+MODULES = (mixing, bpe, transport, rules, licenses, attention, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
