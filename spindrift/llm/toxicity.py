@@ -12,7 +12,7 @@ the witnesses. LANDMARKS of them and of other words span the Nyström approximat
 space, in which a linear machine separates witnesses from words of clean texts. As the kernel is
 a sum over subsequences, a word's kernels with all landmarks are one walk over its subsequences,
 most of which no landmark has. A text's score is a logistic function, fitted on the other half of the
-sample, of its two highest words, of how many words lie above two levels and of how many there are.
+sample, of its nearest word to a witness, of its two highest words, of how many words lie above two levels and of how many there are.
 
 Defined cases: null and empty texts and texts without letters have no word, and get the score of that;
 without labels of both classes every score is the share of label 1, or 0; equal texts have equal
@@ -44,7 +44,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 REMEMBERED = 300_000
 OPEN, CLOSE = 62, 63
 #: Numbers that sum a text up.
-SUMMARY = 9
+SUMMARY = 11
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 #: Digits read as letters (fixed values).
 LOOKALIKES = str.maketrans("013457", "oieast")
@@ -145,32 +145,40 @@ def parts(text: str) -> set[str]:
     return out
 
 
+def step(x: float, low: float, high: float) -> float:
+    return min(max((x - low) / (high - low), 0.0), 1.0)
+
+
 @dataclass
 class Machine:
     landmarks: Landmarks | None
     weights: np.ndarray
     bias: float
+    witnesses: int
     logistic: np.ndarray
     constant: float | None = None
 
-    def texts(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        """Of each text: its highest words by steps, how many words lie above two levels, and how many there are."""
+    def texts(self, texts: list[str], known: dict[str, tuple[float, float]]) -> np.ndarray:
+        """Of each text: its nearest word to a witness and its highest words by steps, how many words lie above two levels, and how many there are."""
         sets = [parts(t) for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set().union(*sets) - known.keys()) if sets else []
         for a in range(0, len(new), 8_000):
             some = new[a : a + 8_000]
-            known.update(zip(some, (self.landmarks.kernel(some) @ self.weights + self.bias).tolist(), strict=True))
+            kernel = self.landmarks.kernel(some)
+            known.update(zip(some, zip((kernel @ self.weights + self.bias).tolist(), kernel[:, : self.witnesses].max(1).tolist(), strict=True), strict=True))
         out = np.zeros((len(texts), SUMMARY))
         value = known.__getitem__
         for i, words in enumerate(sets):
-            high = sorted([v for v in map(value, words) if v > -1.0], reverse=True)
-            first, second = [*high[:2], -1.0, -1.0][:2]
-            out[i] = 1, first, max(first - 0.3, 0), max(first - 0.6, 0), max(first - 0.8, 0), max(second, 0), math.log1p(sum(v > 0.3 for v in high)), math.log1p(sum(v > 0.6 for v in high)), math.log1p(len(words))
+            values = [*map(value, words), (-1.0, 0.0), (-1.0, 0.0)]
+            high = sorted([v for v, _ in values], reverse=True)
+            near = max([k for _, k in values])
+            first, second = high[:2]
+            out[i] = 1, step(near, 0.6, 0.9), step(near, 0.9, 1.0), step(first, -0.5, 0.3), step(first, 0.3, 0.6), step(first, 0.6, 0.8), step(first, 0.8, 1.0), step(second, 0.3, 0.8), math.log1p(sum(v > 0.3 for v in high)), math.log1p(sum(v > 0.6 for v in high)), math.log1p(len(words))
         return out
 
-    def scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
+    def scores(self, texts: list[str], known: dict[str, tuple[float, float]]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.texts(texts, known) @ self.logistic, -30, 30)))
@@ -207,15 +215,15 @@ def train_words(witnesses: list[str], counts: np.ndarray, others: list[str]) ->
         if np.abs(new - v).max() < 1e-8:
             break
         v = new
-    return Machine(marks, root @ v[:-1], float(v[-1]), np.zeros(SUMMARY))
+    return Machine(marks, root @ v[:-1], float(v[-1]), len(own), np.zeros(SUMMARY))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     v = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + 0.1 * v
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(v))
+        grad = x.T @ (weight * (p - y)) + 0.02 * v
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(len(v))
         v = v - np.linalg.solve(hess, grad)
     return v
 
@@ -223,7 +231,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     sample, sizes = training_sample(labels, "toxic", FOLDS, HELD_OUT, TRAIN_ROWS)
     if len(sizes) < 2:
-        return Machine(None, np.zeros(0), 0.0, np.zeros(SUMMARY), float(max(sizes, default=0)))
+        return Machine(None, np.zeros(0), 0.0, 0, np.zeros(SUMMARY), float(max(sizes, default=0)))
     sample = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
     # At most 2 * TRAIN_ROWS rows of three numbers.
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "half", "text")
@@ -247,11 +255,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     plain = each.filter("z < 0.5 AND clean > 0")
     others = {r["word"] for order in (F.desc("clean"), F.xxhash64("word")) for r in plain.orderBy(order, "word").limit(OTHERS // 2).collect()}
     if not best:
-        return Machine(None, np.zeros(0), 0.0, np.zeros(SUMMARY), sizes.get(1, 0) / sum(sizes.values()))
+        return Machine(None, np.zeros(0), 0.0, 0, np.zeros(SUMMARY), sizes.get(1, 0) / sum(sizes.values()))
     machine = train_words([r["word"] for r in best], np.array([r["toxic"] for r in best], float), sorted(others))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values: dict[str, float] = {}
+        values: dict[str, tuple[float, float]] = {}
         for batch in batches:
             x = machine.texts([t or "" for t in batch.column(1).to_pylist()], values)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(SUMMARY))], names=["label", *(f"x{j}" for j in range(SUMMARY))])
@@ -269,7 +277,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # landmarks and a table of 2**18 places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, float]] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a in range(0, len(texts), 256):
