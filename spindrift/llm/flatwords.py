@@ -85,12 +85,12 @@ def span(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """first row, row after the last, bytes and starts (from 0) of runs of rows."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """first row, row after the last, bytes and starts (from 0) of runs of at most so many rows."""
     data, at = span(column)
     a, n = 0, len(at) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        b = min(max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1), a + rows)
         yield a, b, data[at[a] : at[b]], at[a : b + 1] - at[a]
         a = b
 
