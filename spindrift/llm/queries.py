@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attention, bpe, licenses, linejoin, mixing, nearcopies, rules, toxicity, transport
+from . import attention, bpe, licenses, linejoin, mixing, nearcopies, pagetext, rules, toxicity, transport
 
-MODULES = (mixing, bpe, transport, rules, licenses, attention, toxicity, linejoin, nearcopies)
+MODULES = (mixing, bpe, transport, rules, licenses, attention, toxicity, linejoin, nearcopies, pagetext)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
