@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by files in the shared folder of spark.checkpoint.dir.
-
-    A temporary folder is set only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by files in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same by a Parquet table, for rows that it stores in less space. It is deleted when the program ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of stages whose results are stored: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
