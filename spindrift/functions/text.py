@@ -201,8 +201,9 @@ def highlighted(text: Column, terms: Sequence[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    many = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, many).otherwise(F.array().cast("array<string>"))
+    """tokens should be a column, not an expression: it is looked at for every gram."""
+    many = F.transform(tokens, lambda first, i: F.concat_ws(" ", first, *[F.get(tokens, i + k) for k in range(1, n)]))
+    return F.slice(many, F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)))
 
 
 def token_type(token: Column) -> Column:
