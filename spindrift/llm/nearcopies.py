@@ -13,9 +13,10 @@ stay similar. For sampling, weights are rounded to a grid of factor GRID, and on
 sample is kept (0-bit sampling); links use exact weights.
 
 Large groups: equal texts are one node. In each band's bucket every node is compared with one of its
-nodes; links join most of a bucket at once, and only nodes that still are in different components are compared
-with each other. So a group of n near copies takes about n comparisons, and no link between
-components is lost.
+nodes, the one that shares most buckets with others; links join most of a bucket at once, and only nodes
+that still are in different components are compared with each other. Of these, pairs are left out
+that cannot be similar, as maps of their shingles differ in too many bits. So a group of n near copies
+takes about n comparisons, and no link between components is lost.
 
 Defined cases: a null text is the empty text; texts of fewer words than SHINGLE have one shorter run; texts
 without a word are near only equal ones; equal rows are in one class; a null doc_id has a
@@ -25,6 +26,7 @@ class like any other (whose id is null only if all its ids are).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ TEXTS, BITS = 1 << 12, 52
 #: Nodes whose shingles may be asked for by a broadcast; beyond it by a shuffle.
 BROADCAST_ROWS = 200_000
 DRAWS = 1 << 16
+#: Words of a map of shingles.
+MAP = 16
 
 
 def _bags(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,28 +200,57 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").mapInArrow(run, "u binary, v binary")
 
 
+def maps(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and bits: MAP 64-bit words, in which each shingle of the node sets one bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a in batch.column(1).to_pylist():
+                bits = np.zeros(64 * MAP, bool)
+                bits[(mix(np.frombuffer(a, np.uint64)) % np.uint64(64 * MAP)).astype(np.int64)] = True
+                rows.append(np.packbits(bits).view("<i8"))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * MAP, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "bits"])
+
+    return bags(docs, nodes).mapInArrow(run, "node binary, bits array<long>")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_node: a digest of each document's text and the least one of its class."""
     idf = frequencies(docs)
     each = checkpoint(signed(docs, idf))
     nodes = each.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     buckets = checkpoint(nodes.select("node", "weight", F.explode("bands").alias("band")))
-    shared = checkpoint(buckets.groupBy("band").agg(F.min("node").alias("center"), F.min_by("weight", "node").alias("center_weight"), F.count("*").alias("n")).filter("n > 1"))
+    sizes = checkpoint(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    live = checkpoint(buckets.join(sizes, "band"))
+    # A bucket's center is the node that meets most others in all its buckets: of copies of one text, that text or nearly so.
+    live = checkpoint(live.join(live.groupBy("node").agg(F.sum("n").alias("met")), "node"))
+    centers = checkpoint(live.groupBy("band").agg(F.max(F.struct("met", "node", "weight")).alias("c")).select("band", F.col("c.node").alias("center"), F.col("c.weight").alias("center_weight")))
     # What two texts weigh bounds their similarity.
     alike = lambda x, y: F.least(x, y) >= SIMILAR * F.greatest(x, y)
-    first = buckets.join(shared, "band").filter((F.col("node") != F.col("center")) & alike(F.col("weight"), F.col("center_weight")))
-    found = checkpoint(verified(docs, checkpoint(first.select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()), idf))
+    first = live.join(centers, "band").filter((F.col("node") != F.col("center")) & alike(F.col("weight"), F.col("center_weight")))
+    first = checkpoint(first.select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
+    found = checkpoint(verified(docs, first, idf))
     joined = components(found)
 
     # Buckets that still hold two components: their nodes, but for those already compared, meet once.
-    open_ = buckets.join(shared.select("band"), "band", "left_semi").join(joined.select(F.col("u").alias("node"), F.col("v").alias("own")), "node", "left")
+    open_ = live.join(joined.select(F.col("u").alias("node"), F.col("v").alias("own")), "node", "left")
     open_ = checkpoint(open_.select("band", "node", "weight", F.coalesce("own", "node").alias("own")))
     mixed = open_.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high").select("band")
     left = checkpoint(open_.join(checkpoint(mixed), "band", "left_semi"))
+    drawn = checkpoint(maps(docs, left.select("node").distinct()))
+    left = checkpoint(left.join(drawn, "node").join(left.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"))
+    # Bits that differ are shingles that differ, each of which weighs at least the least idf; similar texts differ
+    # by a ninth of what both weigh at most.
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & alike(F.col("x.weight"), F.col("y.weight")))
+    apart = reduce(lambda s, i: s + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])), range(1, MAP), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
+    # A pair meets in the least of its common buckets only.
+    once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    bound = apart * float(idf.min()) <= (F.col("x.weight") + F.col("y.weight")) * (1 - SIMILAR) / (1 + SIMILAR) * (1 + 1e-9)
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & alike(F.col("x.weight"), F.col("y.weight")) & bound & once)
     rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    compared = first.select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    compared = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = checkpoint(rest.join(compared, ["u", "v"], "left_anti"))
     more = checkpoint(verified(docs, rest, idf))
     if not more.isEmpty():
