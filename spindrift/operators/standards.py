@@ -53,4 +53,4 @@ def report(standards: DataFrame) -> DataFrame:
 def grade_gaps(standards: DataFrame, subject: str, grades: str, low: int = 1, high: int = 12) -> DataFrame:
     """subject and grade of grades that no standard of the subject has."""
     wanted = standards.select(subject).distinct().withColumn("grade", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return wanted.join(standards.select(subject, F.explode(grades).cast("int").alias("grade")), [subject, "grade"], "left_anti")
+    return wanted.join(standards.select(subject, F.explode(F.col(grades).cast("array<int>")).alias("grade")), [subject, "grade"], "left_anti")
