@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,13 +39,24 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that are no longer read, and shuffle files of stages whose results are stored."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+    if tables:
+        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of stages whose results are stored: it does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # Spark's cleaner runs beside
 
 
 def _delete(spark: SparkSession, path: str) -> None:
