@@ -120,7 +120,7 @@ def copies(sizes: DataFrame) -> DataFrame:
     ranked = Window.partitionBy("source", "_bin").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = drawn.filter(at).withColumn("_drawn", F.col("_cut.before") + F.sum("size").over(ranked) - F.col("size") / 2 <= F.col("_cut.need"))
     out = sure.unionByName(last)
-    return out.withColumn("n_copies", F.col("_whole") + F.col("_drawn").cast("int")).drop("_whole", "_p", "_rank", "_bin", "_cut", "_drawn")
+    return out.withColumn("n_copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_drawn").cast("int")).otherwise(0)).drop("_whole", "_p", "_rank", "_bin", "_cut", "_drawn")
 
 
 def sized(docs: DataFrame) -> DataFrame:

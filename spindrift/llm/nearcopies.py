@@ -142,7 +142,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     owner, keys = sample(text, shingle, weight)
                     lengths[owner] = BANDS
                 bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(keys.reshape(-1).view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(total), bands], names=["doc_id", "node", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(total, pa.float64()), bands], names=["doc_id", "node", "weight", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _node(docs), "text").mapInArrow(run, f"doc_id {kind}, node binary, weight double, bands array<long>")
