@@ -1,6 +1,6 @@
 """Prerequisite graphs: closure, order, what comes next, progress.
 
-Closures are recursive queries with a bound on depth, so a cycle ends at the bound.
+Closures are loops over levels with a bound on depth.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 MOST_LEVELS = 90
 
 
@@ -17,31 +19,38 @@ def edges(nodes: DataFrame, node: str = "id", prerequisites: str = "prerequisite
 
 
 def ancestors(edges_: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
-    """node, ancestor and depth (the least) of all that lies above a node."""
-    spark = edges_.sparkSession
-    name = f"edges_{abs(hash(str(edges_._jdf.hashCode())))}"
-    edges_.createOrReplaceTempView(name)
-    closure = spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, depth) AS (
-        SELECT node, prerequisite, 1 FROM {name}
-        UNION ALL SELECT up.node, e.prerequisite, up.depth + 1 FROM up JOIN {name} e ON e.node = up.ancestor WHERE up.depth < {levels})
-        SELECT node, ancestor, depth FROM up"""
-    )
-    return closure.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    """node, ancestor and depth (the least) of all that lies above a node.
+
+    A level at a time: only pairs that are new go on, so a pair is joined once however many ways lead to it, and a cycle ends by itself.
+    """
+    edges_ = checkpointed(edges_.select("node", "prerequisite").distinct())
+    up = edges_.select(F.col("node").alias("ancestor"), F.col("prerequisite").alias("next"))
+    found = edges_.select("node", F.col("prerequisite").alias("ancestor"), F.lit(1).alias("depth"))
+    fresh = found
+    for depth in range(2, levels + 1):
+        step = fresh.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
+        fresh = checkpointed(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found
 
 
 def topological(edges_: DataFrame, nodes: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
-    """node and level: the longest way down to a node without prerequisites. Order by level, node."""
-    spark = edges_.sparkSession
-    name = f"edges_{abs(hash(str(edges_._jdf.hashCode())))}"
-    edges_.createOrReplaceTempView(name)
-    ways = spark.sql(
-        f"""WITH RECURSIVE up(node, at, depth) AS (
-        SELECT node, prerequisite, 1 FROM {name}
-        UNION ALL SELECT up.node, e.prerequisite, up.depth + 1 FROM up JOIN {name} e ON e.node = up.at WHERE up.depth < {levels})
-        SELECT node, max(depth) AS level FROM up GROUP BY node"""
-    )
-    return nodes.select("node").distinct().join(ways, "node", "left").fillna({"level": 0})
+    """node and level: the longest way down to a node without prerequisites, at most levels. Order by level, node.
+
+    A node's level is one above its highest prerequisite; levels rise until nothing changes.
+    """
+    edges_ = checkpointed(edges_.select("node", "prerequisite").distinct())
+    known = nodes.select("node").union(edges_.select("node")).union(edges_.select("prerequisite")).distinct().withColumn("level", F.lit(0))
+    known = checkpointed(known)
+    for _ in range(levels):
+        above = edges_.join(known.select(F.col("node").alias("prerequisite"), "level"), "prerequisite").groupBy("node").agg((F.max("level") + 1).alias("new"))
+        new = checkpointed(known.join(above, "node", "left").select("node", F.greatest("level", F.coalesce("new", F.lit(0))).alias("level"), (F.coalesce("new", F.lit(0)) > F.col("level")).alias("moved")))
+        known = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            break
+    return nodes.select("node").distinct().join(known, "node")
 
 
 def next_topics(nodes: DataFrame, completed: DataFrame) -> DataFrame:
