@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import analytics, chunks, extras, graphs, layout, search, store, streams, texts  # noqa: F401
+    from . import analytics, chunks, extras, graphs, layout, matching, search, store, streams, texts  # noqa: F401
