@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .flatwords import MULTIPLIER, NEWLINE, chunks, mix, words
 from .rules import LETTER, SHOUT, SYMBOL, UPPER, repeated
-from .runtime import in_fold, table
+from .runtime import by_text, in_fold, table
 
 PASSAGE, MOST_PASSAGES = 64, 64
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -182,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 cells = [x[e - k : e].tobytes() for e, k in zip(ends.tolist(), bags.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cells, pa.binary())], names=["label", "x"])
 
-    rows = known.mapInArrow(run, "label int, x binary").collect()  # 64 passages of 17 numbers a document at most
+    rows = by_text(known).mapInArrow(run, "label int, x binary").collect()  # 64 passages of 17 numbers a document at most
     rows.sort(key=lambda r: (r["label"], bytes(r["x"])))
     y = np.array([r["label"] for r in rows], float)
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, raw, at in chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.scores(*encode(raw, at)), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .runtime import table
+from .runtime import by_text, table
 
 #: Words that a worker remembers; beyond it starts afresh. Bounds memory, changes no result.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: Code points of text that go into one Arrow batch of results, about.
 BATCH_CHARS = 4_000_000
 NONE = np.iinfo(np.int64).max
@@ -133,7 +133,7 @@ class Codec:
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known, self.written = {}, {}
+            self.forget()
         new = list({w for words in lists for w in words} - self.known.keys())
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
@@ -144,6 +144,9 @@ class Codec:
             for w in set(some).difference(plain):
                 self.known[w], self.written[w] = self.added[w[1:]]
 
+    def forget(self) -> None:
+        self.known, self.written = {}, {}
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """The ids of each text as little-endian 32-bit integers, and the text that they decode to."""
         lists = [self.parts(t) for t in texts]
@@ -190,9 +193,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             for a, b in groups([len(t) for t in texts], BATCH_CHARS):
                 ids, decoded = codec.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        codec.forget()  # the worker lives on for other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flatwords import chunks, mix, shingles, words
-from .runtime import checkpoint, table
+from .runtime import by_text, checkpoint, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -73,7 +73,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[n, counts[some]], pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = by_text(docs.select("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(rows["bucket"].tolist(), rows["n"].tolist(), strict=True))
     n = found.pop(-1, 0)
     counts = np.zeros(BUCKETS)
@@ -145,7 +145,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(total, pa.float64()), bands], names=["doc_id", "node", "weight", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _node(docs), "text").mapInArrow(run, f"doc_id {kind}, node binary, weight double, bands array<long>")
+    return by_text(docs.select("doc_id", _node(docs), "text")).mapInArrow(run, f"doc_id {kind}, node binary, weight double, bands array<long>")
 
 
 def _node(docs: DataFrame):
@@ -168,7 +168,7 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cells = [(shingle[s:e].tobytes(), b"" if (count[s:e] == 1).all() else many[s:e].tobytes()) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s for s, _ in cells], pa.binary()), pa.array([c for _, c in cells], pa.binary())], names=["node", "shingles", "counts"])
 
-    return own.mapInArrow(run, "node binary, shingles binary, counts binary").dropDuplicates(["node"])
+    return by_text(own).mapInArrow(run, "node binary, shingles binary, counts binary").dropDuplicates(["node"])
 
 
 def similarity(a: bytes, m: bytes, b: bytes, n: bytes, idf: np.ndarray) -> float:

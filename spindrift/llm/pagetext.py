@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import checkpoint, table
+from .runtime import by_text, checkpoint, table
 
 #: A pivot node is template if its text is the same on this share of at least so many pages.
 CONSTANT, LEAST_PAGES = 0.9, 5
@@ -427,7 +427,7 @@ def texts(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
     wrapped = _joined(placed, induce(placed)).select("page_id", "url", "html", "skeleton", "constant")
-    return wrapped.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return by_text(wrapped).mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that holds whole texts: a few MB of usual texts.
+BATCH_ROWS = 1000
+
+
+def by_text(df: DataFrame) -> DataFrame:
+    """df, for a function over Arrow batches of whole texts: the session's batches get no more than BATCH_ROWS rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
     context = spark.sparkContext

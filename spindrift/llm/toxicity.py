@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import training_sample
-from .runtime import in_fold, table
+from .runtime import by_text, in_fold, table
 
 SPAN, GAP = 6, 0.5
 #: The normalised kernel is raised to this power, which is a kernel too and tells near words apart; ridge of the machine.
@@ -284,7 +284,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 some = texts[a : a + 256]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(some)), pa.array(sent.value.scores(some, known), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

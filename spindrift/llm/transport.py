@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import table
+from .runtime import by_text, table
 
 #: Payload bytes of an elementary packet; samples a second; ticks a second; bytes of a transport packet.
 UNIT, RATE, TICKS, PACKET = 4096, 8000, 90_000, 188
@@ -205,7 +205,7 @@ def store(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(_bytes(batch)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([write(payload_of(text))], pa.binary())], names=["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
