@@ -24,7 +24,7 @@ def db(data):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return "null"
         if isinstance(x, (float, np.floating)):
             return f"{float(x):.6f}"
