@@ -3,8 +3,12 @@
 A line is the set of its words, ASCII letters in lower case. Two lines are linked when the Jaccard
 similarity of their sets is 0.8 or more. A line is removed when it is linked to, or has the same
 set as, an earlier line: of a document with a lower doc_id, or above it in its own. All other lines
-stay as they are, also those without words. Every line that has a link to an earlier one is found; the
-links themselves, whose number grows with the square of a group's size, are not listed.
+stay as they are, also those without words.
+
+op2 finds all links, whose number grows with the square of a group's size. A document's n_links is the sum, over its
+lines, of the lines of other words, in any document, that each is linked to. Documents are of one class where lines of equal
+sets or links join them, also by way of others; class_id is the class's least doc_id. To remove lines, one link of each
+late line is enough: remove() looks for no others.
 
 The join: equal sets are one set first, so a line's copies are never joined with each other.
 Words are ordered by rarity (the logarithm of a histogram of all words over BUCKETS hash
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .flatwords import NEWLINE, Words, chunks, mix, words
 from .runtime import by_text, checkpoint, discard, release, table, written
 
@@ -261,20 +266,40 @@ def matches(docs: DataFrame, each: DataFrame) -> DataFrame:
     return found.unionByName(more)
 
 
-def decide(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, line, removed and near of every line with a word. raw is xxhash64 of the text; near: a similar earlier line has other words."""
+def links(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """late and early of all pairs of sets whose Jaccard similarity is 0.8 or more."""
+    rows = _rare(each.drop("least", "bits").withColumn("open", F.lit(True)))
+    pairs = written(_earlier(rows.alias("x").join(rows.alias("y"), _near())).distinct())
+    release(docs.sparkSession)
+    found = similar(docs, each, pairs)
+    discard(pairs)
+    return found
+
+
+def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, raw, line and set of every line with a word, and a row for each set with the place of its first line."""
     lines = written(sets(docs, rarity(docs)))
     each = written(lines.groupBy("set").agg(F.min(F.struct(*place_fields(), "raw")).alias("first"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in ("bits", *WIDE)], F.first("rare").alias("rare"), F.first("least").alias("least")).select("set", "size", "bits", *WIDE, "rare", "least", "first.*"))
     # What only the sets need goes.
     slim = written(lines.select("doc_id", "raw", "line", "set"))
     discard(lines)
-    lines = slim
+    return slim, each
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """doc_id, raw, line, removed and near of every line with a word. raw is xxhash64 of the text; near: a similar earlier line has other words."""
+    lines, each = indexed(docs)
     found = matches(docs, each)
     release(docs.sparkSession)
+    return _judged(lines, each, found)
+
+
+def _judged(lines: DataFrame, each: DataFrame, found: DataFrame) -> DataFrame:
+    """decide()'s columns and set. found: late of the sets that have a link to an earlier one, once each."""
     state = each.select("set", F.struct(*PLACE, "raw").alias("first")).join(found.select(F.col("late").alias("set"), F.lit(True).alias("near")), "set", "left")
     joined = lines.select("doc_id", "raw", "line", "set").join(state, "set")
     near = F.coalesce("near", F.lit(False))
-    return joined.select("doc_id", "raw", "line", (near | (F.struct(*place_fields(), "raw") != F.col("first"))).alias("removed"), near.alias("near"))
+    return joined.select("doc_id", "raw", "line", "set", (near | (F.struct(*place_fields(), "raw") != F.col("first"))).alias("removed"), near.alias("near"))
 
 
 def place_fields() -> list:
@@ -290,6 +315,35 @@ def decisions(docs: DataFrame) -> DataFrame:
     )
 
 
+def _owner(doc_id: str = "doc_id", raw: str = "raw") -> Column:
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(raw).alias("raw"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, raw, n_lines, removed, n_links (of its lines to lines of other words) and class_id of each document that has a line with a word."""
+    lines, each = indexed(docs)
+    pairs = links(docs, each)
+    release(docs.sparkSession)
+    lines = written(_judged(lines, each, pairs.select("late").distinct()).dropDuplicates(["doc_id", "raw", "line"]))
+    discard(each)
+    often = checkpoint(lines.groupBy("set").agg(F.count("*").alias("n"), F.min(_owner()).alias("first")))
+    ends = pairs.unionByName(pairs.select(F.col("early").alias("late"), F.col("late").alias("early")))
+    degrees = checkpoint(ends.join(often.select(F.col("set").alias("early"), "n"), "early").groupBy(F.col("late").alias("set")).agg(F.sum("n").alias("degree")))
+    found = lines.join(degrees, "set", "left").groupBy("doc_id", "raw").agg(
+        F.count("*").alias("n_lines"),
+        F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"),
+        F.coalesce(F.sum("degree"), F.lit(0)).alias("n_links"),
+    )
+    # A class of sets joins its documents to the first of them; what those links join are the classes of documents.
+    named = often.join(components(pairs.select(F.col("late").alias("u"), F.col("early").alias("v"))).select(F.col("u").alias("set"), F.col("v").alias("own")), "set", "left")
+    named = checkpoint(named.select("set", "first", F.coalesce("own", "set").alias("own")))
+    hubs = named.groupBy("own").agg(F.min("first").alias("v"))
+    edges = lines.select("set", _owner().alias("u")).join(named.select("set", "own"), "set").join(hubs, "own").select("u", "v").distinct()
+    classes = components(edges).select(F.col("u").alias("_u"), F.col("v.doc_id").alias("_class"))
+    joined = found.join(classes, _owner() == F.col("_u"), "left")
+    return joined.select("doc_id", "raw", "n_lines", "removed", "n_links", F.when(F.col("_u").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"))
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """docs with late lines taken out of text, and n_chars, if there is one, counted anew."""
     found = decisions(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_i"), F.col("raw").alias("_r"), F.col("removed").alias("_gone"))
@@ -303,9 +357,20 @@ def remove(docs: DataFrame) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.xxhash64("text").alias("raw")).join(decisions(docs), ["doc_id", "raw"], "left")
-    return found.select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_links"), "removed"
+    return report(docs)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_links, class_id and removed of every row of docs."""
+    found = linked(docs).withColumnsRenamed({"doc_id": "_i", "raw": "_r"})
+    joined = docs.select("doc_id", F.xxhash64("text").alias("raw")).join(found, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("raw") == F.col("_r")), "left")
+    return joined.select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("_r").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "removed",
     )
 
 

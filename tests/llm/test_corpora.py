@@ -106,6 +106,38 @@ def test_lines_match_a_plain_version(spark):
     assert {i: r for i, r in found.items() if r} == dict(wanted)
 
 
+def test_all_links_of_lines_are_counted(spark):
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, "\n".join(variants(draw, words, draw.randint(0, 3)))) for i in range(100)]
+    line = [f"v{i}" for i in range(20)]
+    rows += [(300 + i, " ".join(line[:i] + line[i + 1 :])) for i in range(6)] + [(400, " ".join(line)), (401, "no other line"), (402, None), (None, " ".join(line)), rows[5]]
+    lines = [(i, k, frozenset(x.split())) for i, x in sorted(set(rows), key=str) for k, x in enumerate((x or "").split("\n")) if x.split()]
+    wanted, parent = defaultdict(int), {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, _, s in lines:
+        for j, _, x in lines:
+            if 9 * len(s & x) >= 4 * (len(s) + len(x)):
+                wanted[i] += s != x
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i in parent:
+        least[root(i)].append(i)
+    classes = {i: min((x for x in g if x is not None), default=None) for g in least.values() for i in g}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = linejoin.report(docs).collect()
+    assert len(found) == len(rows) and wanted[300] == 7 and wanted[400] == 6
+    assert {r["doc_id"]: r["n_links"] for r in found} == {i: wanted[i] for i, _ in rows}
+    assert {r["doc_id"]: r["class_id"] for r in found} == classes
+    removed = {r["doc_id"]: r["removed"] for r in linejoin.decisions(docs).collect()}
+    assert {r["doc_id"]: r["removed"] for r in found if r["n_lines"]} == removed
+
+
 def test_removing_lines(spark, odd, none):
     rows = [(1, "Keep this line of text.\n\nAlso this one here.", 40, "x"), (2, "keep THIS line of text.\nNew words only.\n", 40, "x"), (3, None, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, raw string")
