@@ -4,7 +4,8 @@ A text's canonical form is lower case, without lines that state a copyright, wit
 spellings made equal and with every run of other characters than letters and digits as one
 space. Its digest is joined by hash to the digests of known licences and notices. Both whole
 texts and their lines are looked up, so a licence that is the whole text and a notice that is a
-line of its own are found; part of a line is not.
+line of its own are found; part of a line is not. Of MIT, ISC and the BSD licences whole texts are known, of the others
+only notices of one line: a whole text of Apache-2.0, GPL, LGPL, AGPL, MPL or Creative Commons is not found.
 
 Defined cases: null and empty texts hold no licence; a line that is stated twice counts twice;
 equal rows are one in the count; a null doc_id is a document; other columns may have any names.
@@ -51,18 +52,28 @@ _BSD = (
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution.\n"
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this "
+    "permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+    'permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+    "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 #: Known licences and notices: public texts, fixed values.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    (
-        "MIT",
-        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above notice and this "
-        "permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS,
-    ),
+    ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("MIT", _MIT),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
     ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
@@ -87,18 +98,32 @@ KNOWN = (
         _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
         "without specific prior written permission.\n" + _BSD_END,
     ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this "
-        'permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
-        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
-        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
-        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
+    ("ISC", "ISC License\n\n" + _ISC),
+    ("ISC", _ISC),
     ("Proprietary", "All rights reserved."),
 )
-#: A line that states a copyright: it names a holder and no terms.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+#: Words that follow "copyright" where a licence speaks of it; any other word there names a holder.
+TERMS = (
+    "act and are as assignment can claim claims disclaimer does for has have header holder holders if in information infringement interest interests is it its law laws "
+    "licence license licensed licenses material materials may must notice notices of on or owner owners ownership permission protection right rights shall statement "
+    "statements status terms that this to treaty under which will with without"
+).split()
+
+
+def _other(words: list[str], top: bool = True) -> str:
+    """Pattern of the rest of a line that does not begin with one of these words. SQL's patterns have no lookahead."""
+    letters = "".join(sorted({w[0] for w in words if w}))
+    options = [rf"[^{letters}\P{{L}}][^\n]*", r"\p{N}[^\n]*"] + [c + _other([w[1:] for w in words if w and w[0] == c], False) for c in letters]
+    if not top and "" not in words:
+        options.append(r"(?:[^\p{L}\p{N}\n][^\n]*)?")
+    return "(?:" + "|".join(options) + ")"
+
+
+#: A line that states a copyright: the word or sign with a year, a sign or a holder; not a line of terms that begins with the word, nor point (c) of a list.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:©[^\n]*|\(c\)[^\p{L}\p{N}\n]*(?:copyright|\p{N}{4})[^\n]*"
+    r"|copyrights?(?:[^\p{L}\p{N}\n]*(?:\(c\)|©|\p{N})[^\n]*|[^\p{L}\p{N}\n]+" + _other(TERMS) + "))$"
+)
 OTHERS = r"[^\p{L}\p{N}]+"
 
 

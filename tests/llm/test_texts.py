@@ -171,6 +171,59 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(spark.createDataFrame([(1, "x\nOur house license")], "doc_id long, text string"), own, broadcast_rows=0).first()["licenses"] == "house"
 
 
+#: As they are published, with their usual line breaks; typed apart from licenses.KNOWN.
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_FILE = """Copyright 2019 Jane Doe <jane@example.org>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_published_licenses_are_found_whole(spark):
+    texts = [MIT_FILE, ISC_FILE, MIT_FILE.split("Jane Doe\n\n")[1], MIT_FILE.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT"), MIT_FILE.replace("(c) 2021 Jane", "The Andrew")]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["whole_license"] for r in rows] == ["MIT", "ISC", "MIT", "MIT", "MIT"]
+
+
+def test_lines_that_state_a_copyright():
+    pattern = re.compile(re.sub(r"\[\^([a-z]*)\\P\{L\}\]", r"[^\1\\W\\d_]", licenses.COPYRIGHT_LINE).replace(r"[^\p{L}\p{N}\n]", r"[^\w\n]").replace(r"\p{N}", r"\d"))
+    for line in ["copyright (c) 2020 someone", "# copyright 2020, acme", "© acme", "(c) 2020 acme", "copyright andrew", "copyright the regents", "copyright © acme", "copyright: acme"]:
+        assert pattern.search(line), line
+    for line in ["copyright notice and this permission notice appear", "copyright holders be liable", "copyright  holder", "copyright law.", "(c) you must retain all notices", "copyright"]:
+        assert not pattern.search(line), line
+
+
 def test_licenses_as_sql(spark, data):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
