@@ -3,8 +3,10 @@
 Pages of one host come from one template. Every page's tree is aligned with the tree of the
 host's pivot page by simple tree matching (the largest number of pairs of equal nodes that keeps order
 and parents; neighbouring siblings of the same kind are one repeated node, so that trees stay small).
-Over all pages of the host, a pivot node whose text nearly always stays the same is template; one
-whose text varies is a slot. A page's text is what stands in its slots and in nodes that the pivot lacks,
+The texts of each pivot node, and of each path of elements that the pivot lacks, are counted over all
+pages of the host: a text that stands on nearly all pages that have the node is template, also where the node repeats
+and its other texts vary; for a path that the pivot lacks, the pages must be half of the host's as well, as copies of one odd page
+are no template. A page's text is all other text
 within the page's article where it marks one, without parts whose element or name says menu, header,
 footer, sidebar, notice, advert, form or comment.
 
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .runtime import by_text, checkpoint, table
 
-#: A pivot node is template if its text is the same on this share of at least so many pages.
+#: A text is template if it stands in a node on this share of at least so many pages that have the node.
 CONSTANT, LEAST_PAGES = 0.9, 5
+#: Nodes that the pivot lacks must be on this share of the host's pages. Their numbers begin at PATHS.
+COMMON, PATHS = 0.5, 1 << 30
 #: Hosts whose wrappers may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -146,14 +150,14 @@ def inner(node: Node) -> str:
 
 
 class Group:
-    """Neighbouring siblings of one kind, taken as one node."""
+    """Neighbouring siblings of one kind, aligned as one node. texts: a digest of the text of each, 0 if it has none or has parts that are judged alone."""
 
-    __slots__ = ("kind", "nodes", "children", "text")
+    __slots__ = ("kind", "nodes", "children", "texts")
 
     def __init__(self, nodes: list[Node]):
         self.kind, self.nodes = nodes[0].kind, nodes
         self.children: list[Group] = []
-        self.text = 0
+        self.texts: list[int] = []
 
 
 def grouped(node: Node) -> Group:
@@ -163,19 +167,21 @@ def grouped(node: Node) -> Group:
     while todo:
         g = todo.pop()
         runs: list[list[Node]] = []
-        own = 0
         for n in g.nodes:
+            own, leaf = 0, True
             for part in n.parts:
                 if isinstance(part, str):
                     if not part.isspace():
                         own = crc32(" ".join(part.split()).encode("utf-8", "replace"), own)
                 elif part.tag in INLINE:
                     own = crc32(" ".join(inner(part).split()).encode("utf-8", "replace"), own)
-                elif runs and runs[-1][0].kind == part.kind:
-                    runs[-1].append(part)
                 else:
-                    runs.append([part])
-        g.text = own
+                    leaf = False
+                    if runs and runs[-1][0].kind == part.kind:
+                        runs[-1].append(part)
+                    else:
+                        runs.append([part])
+            g.texts.append(own if leaf else 0)
         g.children = [Group(r) for r in runs]
         todo.extend(g.children)
     return top
@@ -186,10 +192,10 @@ DEPTH = 60
 
 
 def matched(a: Group | list, b: Group, depth: int = 0) -> tuple[int, list]:
-    """Simple tree matching of a wrapper node [kind, text, children, number] and a group: size and pairs."""
+    """Simple tree matching of a wrapper node [kind, children, number] and a group: size and pairs."""
     if a[0] != list(b.kind):
         return 0, []
-    x, y = a[2], b.children
+    x, y = a[1], b.children
     if depth >= DEPTH or not x or not y:
         return 1, [(a, b)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -213,19 +219,31 @@ def matched(a: Group | list, b: Group, depth: int = 0) -> tuple[int, list]:
     return best[-1][-1] + 1, pairs
 
 
-def constant_here(p: list, g: Group) -> bool:
-    """Whether both are leaves with the same text. A node with parts is never template as a whole: its parts are judged alone."""
-    return p[1] == g.text != 0 and not p[2] and not g.children
+def numbered(wrapper: list, root: Node) -> list[tuple[int, Group]]:
+    """All groups of a page with the number of their wrapper node, or a number made from their path if they have none."""
+    top = grouped(root)
+    number = {id(g): p[2] for p, g in matched(wrapper, top)[1]}
+    out, todo = [], [(top, 0)]
+    while todo:
+        g, above = todo.pop()
+        path = crc32("\n".join(g.kind).encode("utf-8", "replace"), above)
+        out.append((number.get(id(g), PATHS | path >> 2), g))
+        todo.extend((c, path) for c in g.children)
+    return out
+
+
+def _key(number: int, text: int) -> int:
+    return number << 32 | text
 
 
 def skeleton(page: str) -> str:
-    """A pivot page's groups as JSON: [kind, text, children, number]."""
+    """A pivot page's groups as JSON: [kind, children, number]."""
     count = [0]
 
     def dump(g: Group, depth: int) -> list:
         number = count[0]
         count[0] += 1
-        return [list(g.kind), g.text, [dump(c, depth + 1) for c in g.children] if depth < DEPTH else [], number]
+        return [list(g.kind), [dump(c, depth + 1) for c in g.children] if depth < DEPTH else [], number]
 
     return json.dumps(dump(grouped(parse(page)), 0), separators=(",", ":"))
 
@@ -345,10 +363,9 @@ def _links(node: Node) -> list[Node]:
 def extract(page: str, wrapper: list | None, constant: frozenset[int]) -> str:
     root = parse(page)
     if wrapper is not None and constant:
-        for p, g in matched(wrapper, grouped(root))[1]:
-            if p[3] in constant and constant_here(p, g):
-                for n in g.nodes:
-                    n.template = True
+        for number, g in numbered(wrapper, root):
+            for n, text in zip(g.nodes, g.texts, strict=True):
+                n.template = text != 0 and _key(number, text) in constant
     return main_text(root)
 
 
@@ -372,11 +389,14 @@ def _joined(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, skeleton and constant (numbers of template nodes) of every host with enough pages. pages: page_id, host, html."""
-    pivots = pages.filter("host != '' AND html IS NOT NULL").groupBy("host").agg(F.min(F.struct("page_id", F.xxhash64("html").alias("h"))).alias("pivot"), F.count("*").alias("n"))
-    pivots = checkpoint(pivots.filter(F.col("n") >= LEAST_PAGES).select("host", "pivot.*"))
+    """host, skeleton and constant (keys of template texts) of every host with enough pages. pages: page_id, host, html."""
+    # The pivot is a page of median length.
+    sized = pages.select("host", "page_id", F.length("html").alias("size"), F.xxhash64("html").alias("h")).filter("host != '' AND size > 0")
+    middle = sized.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("middle"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    pivots = _joined(sized, checkpoint(middle)).filter("middle IS NOT NULL").groupBy("host").agg(F.min(F.struct(F.abs(F.col("size") - F.col("middle")).alias("off"), "page_id", "h")).alias("pivot"), F.first("n").alias("n"))
+    pivots = checkpoint(pivots.select("host", "n", "pivot.page_id", "pivot.h"))
     few = pivots.count() <= BROADCAST_ROWS
-    chosen = pages.withColumn("h", F.xxhash64("html")).join(F.broadcast(pivots) if few else pivots, ["host", "page_id", "h"]).select("host", "html").dropDuplicates(["host"])
+    chosen = pages.withColumn("h", F.xxhash64("html")).join(F.broadcast(pivots.drop("n")) if few else pivots.drop("n"), ["host", "page_id", "h"]).select("host", "html").dropDuplicates(["host"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,32 +406,33 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
-        seen, same = Counter(), Counter()
+        found: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            keys = list(seen)
+            keys = list(found)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())],
-                names=["host", "number", "seen", "same"],
+                [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[c] for k in keys], pa.int64()) for c in (1, 2)), pa.array([found[k] for k in keys], pa.int64())],
+                names=["host", "number", "text", "n"],
             )
-            seen.clear()
-            same.clear()
+            found.clear()
             return out
 
         for batch in batches:
-            for name, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "skeleton")), strict=True):
-                if page and text is not None:
-                    for p, g in matched(_loaded(memory, text), grouped(parse(page)))[1]:
-                        seen[name, p[3]] += 1
-                        same[name, p[3]] += constant_here(p, g)
-            if len(seen) > 50_000:
-                yield rows()
+            for name, page, skeleton_ in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "skeleton")), strict=True):
+                if page and skeleton_ is not None:
+                    # Each node counts once a page as text 0, and each of its texts.
+                    found.update({(name, number, text) for number, g in numbered(_loaded(memory, skeleton_), parse(page)) for text in (0, *g.texts)})
+                if len(found) > 50_000:
+                    yield rows()
         yield rows()
 
-    counts = _joined(pages.select("host", "html"), drawn).select("host", "html", "skeleton").mapInArrow(align, "host string, number int, seen long, same long")
-    counts = counts.groupBy("host", "number").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    constant = counts.filter((F.col("seen") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("seen"))).groupBy("host").agg(F.array_sort(F.collect_list("number")).alias("constant"))
-    return checkpoint(drawn.join(constant, "host"))
+    counts = _joined(pages.select("host", "html"), drawn).select("host", "html", "skeleton").mapInArrow(align, "host string, number long, text long, n long")
+    counts = checkpoint(counts.groupBy("host", "number", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= CONSTANT * LEAST_PAGES))
+    seen = counts.filter("text = 0").select("host", "number", F.col("n").alias("seen"))
+    common = _joined(seen, pivots.select("host", F.col("n").alias("pages"))).filter((F.col("seen") >= LEAST_PAGES) & ((F.col("number") < PATHS) | (F.col("seen") >= COMMON * F.col("pages"))))
+    constant = counts.filter("text != 0").join(common, ["host", "number"]).filter(F.col("n") >= CONSTANT * F.col("seen"))
+    keys = constant.select("host", F.shiftleft("number", 32).bitwiseOR(F.col("text")).alias("key")).groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("constant"))
+    return checkpoint(drawn.join(keys, "host"))
 
 
 def texts(pages: DataFrame) -> DataFrame:

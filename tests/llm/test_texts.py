@@ -1,6 +1,7 @@
 """Operators that look at one text at a time, against plain versions."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -266,6 +267,29 @@ def test_constant_nodes_are_template(spark):
     assert pagetext.texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_texts_beside_others_and_on_pages_unlike_the_first(spark):
+    """Constant texts among varying siblings, and a block that the first pages lack or word otherwise."""
+
+    def page(i):
+        top = "<section>Only here</section>" if i == 1 else "<section>Now in its other wording</section>"
+        extra = "<table><tr><td>Subscribe today</td></tr></table>" if i > 3 else ""
+        return f"<body>{top}<div>Menu of all</div><div><p>Words {i} alone.</p><p>Share this text.</p></div><div>Footer of all</div>{extra}</body>"
+
+    rows = [(0, "http://h.example/0", "")] + [(i, f"http://h.example/{i}", page(i)) for i in range(1, 40)]
+    found = {r["page_id"]: r["text"] for r in pagetext.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[0] == "" and found[1] == "Only here\nWords 1 alone."
+    assert all(found[i] == f"Words {i} alone." for i in range(2, 40))
+    wrapper = json.loads(pagetext.skeleton("<p>x</p>"))
+    assert all(n >= pagetext.PATHS for n, g in pagetext.numbered(wrapper, pagetext.parse("<table><tr><td>y")) if g.kind[0] != "#")
+
+
+def test_copies_of_an_odd_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><p>Words {i}.</p></body>") for i in range(30)]
+    rows += [(100 + i, "http://h.example/x", f"<body><p>Copy {i}.</p><pre>Quoted</pre></body>") for i in range(6)]
+    found = {r["page_id"]: r["text"] for r in pagetext.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[103] == "Copy 3.\nQuoted"
+
+
 def test_tree_matching_is_largest():
     import json
 
