@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.functions import vector as V
 
+from .lineage import checkpointed
+
 OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "eq": lambda c, v: c.eqNullSafe(F.lit(v)),
     "ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),
@@ -109,9 +111,15 @@ def batch_search(vectors: DataFrame, queries: Sequence[tuple[Any, Sequence[float
                 fine = np.flatnonzero(norms > 0)
                 scores, keys = scores[fine], keys[fine]
                 n = min(k, len(keys))
-                for j, q in enumerate(ids):
-                    best = np.lexsort((keys, -scores[:, j]))[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q)), pa.array(keys[best]), pa.array(scores[best, j])], names=["query_id", key, "score"])
+                if not n:
+                    continue
+                least = -np.partition(-scores, n - 1, axis=0)[n - 1]
+                found = []
+                for j in range(len(ids)):
+                    near = np.flatnonzero(scores[:, j] >= least[j])
+                    found.append(near[np.lexsort((keys[near], -scores[near, j]))[:n]])
+                best, of = np.concatenate(found), np.repeat(np.arange(len(ids)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[of]), pa.array(keys[best]), pa.array(scores[best, of])], names=["query_id", key, "score"])
 
     kind = vectors.schema[key].dataType.simpleString()
     near = vectors.select(key, vector).mapInArrow(run, f"query_id long, {key} {kind}, score double")
@@ -119,6 +127,32 @@ def batch_search(vectors: DataFrame, queries: Sequence[tuple[Any, Sequence[float
     return ranked.filter(F.col("rank") <= k)
 
 
+def block_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """query_id, key, score and rank as batch_search gives them, for queries in a table of the same columns, of any number.
+
+    The driver holds block queries at a time; each block is searched among all vectors and its hits are stored before the next
+    is read. Queries that are null or of length zero have no hits.
+    """
+    found: list[DataFrame] = []
+    held: dict[int, list] = {}
+
+    def search(some: list) -> None:
+        found.append(checkpointed(batch_search(vectors, some, k, key=key, vector=vector)))
+
+    for r in queries.select(key, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
+        if any(r[1]):
+            some = held.setdefault(len(r[1]), [])
+            some.append((r[0], r[1]))
+            if len(some) == block:
+                search(held.pop(len(r[1])))
+    for some in held.values():
+        search(some)
+    if not found:
+        kind = vectors.schema[key].dataType.simpleString()
+        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- words
 
 def query_words(query: str) -> list[str]:

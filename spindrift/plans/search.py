@@ -80,6 +80,17 @@ def batch_vector_topk(spark, d):
     return rounded(S.batch_search(vectors, queries, 5), "score")
 
 
+#: The vectors that are queries of a search of many: one in so many.
+EVERY = 20
+
+
+@query(None)
+def batch_vector_topk_all(spark, d):
+    """Every vector whose id is divisible by EVERY among all; batch_vector_topk, as its SQL, takes eight."""
+    vectors = read(spark, d, "embeddings")
+    return rounded(S.block_search(vectors, vectors.filter(F.col("vec_id") % EVERY == 0), 5), "score")
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean,
 round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vector_metrics(spark, d):

@@ -193,3 +193,36 @@ def test_spreadsheet(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{name}"><si><t>col1</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{name}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row></sheetData></worksheet>')
     assert X.sheets(X.scan(spark, str(tmp_path), ["xlsx"])).first()["cells"] == ["col1", "", "5"]
+
+
+def nearest(rows, queries, k):
+    """(query, key) and cosine of the k nearest of each query, by brute force."""
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    good = [(i, v) for i, v in rows if v is not None and any(v)]
+    return {(q, i): s for q, u in good if q in queries for s, i in sorted(((cosine(u, v), i) for i, v in good), key=lambda x: (-x[0], x[1]))[:k]}
+
+
+def vectors_of(n):
+    import random
+
+    draw = random.Random(n)
+    return [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(n)] + [(20 * n, [0.0] * 8), (20 * n + 20, None)]
+
+
+def test_blocks_of_queries_find_what_brute_force_finds(spark):
+    rows = vectors_of(300)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    wanted = nearest(rows, range(0, 10_000, 20), 5)
+    found = S.block_search(vectors, vectors.filter("vec_id % 20 = 0"), 5, block=4).collect()
+    assert len(found) == len(wanted) == 75 and {(r["query_id"], r["vec_id"]): r["score"] for r in found} == pytest.approx(wanted)
+    assert S.block_search(vectors, vectors.filter("false"), 5).count() == 0
+
+
+def test_every_twentieth_vector_is_a_query(spark, data):
+    from spindrift.plans import catalog
+
+    catalog.load()
+    ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in catalog.QUERIES["batch_vector_topk_all"](spark, data).collect()} == ids
