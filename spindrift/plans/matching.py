@@ -8,10 +8,11 @@ from spindrift.functions import text as T
 from spindrift.functions import vector as V
 from spindrift.operators import chunking as C
 from spindrift.operators import matching as M
+from spindrift.operators import search as S
 from spindrift.sources.tables import read
 
 from .catalog import query
-from .search import rounded
+from .search import EVERY, rounded
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 
@@ -42,6 +43,19 @@ def citations(spark, d):
     return rounded(M.citations(pairs), "similarity")
 
 
+@query(None)
+def citations_all(spark, d):
+    """Every vector whose id is divisible by EVERY is a piece, all others are chunks; citations, as its SQL, takes ten pieces."""
+    v = read(spark, d, "embeddings")
+    return rounded(cited(v, v.filter(F.col("vec_id") % EVERY == 0)), "similarity")
+
+
+def cited(vectors, pieces, most=4):
+    """What M.citations gives for each piece and all vectors but itself: no more than a piece's most nearest matter, so no others are kept."""
+    hits = S.block_search(vectors, pieces, most + 1).filter("query_id != vec_id")
+    return M.citations(hits.select(F.col("query_id").alias("piece"), F.col("vec_id").alias("chunk"), F.col("score").alias("similarity")), most)
+
+
 @query("""SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, round(least(1, (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.8::DOUBLE) / 2), 6) AS confidence FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 7""")
 def cross_modal_consistency(spark, d):
     v = read(spark, d, "embeddings")

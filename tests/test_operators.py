@@ -226,3 +226,17 @@ def test_every_twentieth_vector_is_a_query(spark, data):
     catalog.load()
     ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
     assert {r["query_id"] for r in catalog.QUERIES["batch_vector_topk_all"](spark, data).collect()} == ids
+
+
+def test_all_pieces_cite_what_brute_force_finds(spark):
+    from spindrift.operators import matching as M
+    from spindrift.plans import matching
+
+    rows = vectors_of(200)
+    rows += [(1000 + i, [x + i / 100 for x in rows[40 * (i % 4)][1]]) for i in range(24)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    pairs = [(q, i, s) for (q, i), s in nearest(rows, range(0, 10_000, 20), len(rows)).items() if q != i]
+    wanted = M.citations(spark.createDataFrame(pairs, "piece long, chunk long, similarity double")).collect()
+    found = matching.cited(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    assert len({r["piece"] for r in wanted}) > 4 and len(found) == len(wanted)
+    assert {(r["piece"], r["chunk"]): r["similarity"] for r in found} == pytest.approx({(r["piece"], r["chunk"]): r["similarity"] for r in wanted})
