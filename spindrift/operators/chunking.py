@@ -61,6 +61,13 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, *, key: st
     return rows.select(key, "chunk_index", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
+def fixed_array(text: Column, size: int = 512, overlap: int = 50) -> Column:
+    """The chunks of fixed_chunks as an array."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    return F.when(n > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+
+
 def word_windows(docs: DataFrame, size: int = 512, step: int = 384, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of words; the last ones may be short."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

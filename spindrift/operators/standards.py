@@ -28,7 +28,7 @@ def coverage(standards: DataFrame, standard: str, docs: DataFrame, doc: str, lea
     """standard, doc and coverage: share of the standard's keywords in the document, above least."""
     k = standards.select(standard, F.size("keywords").alias("_n"), F.explode("keywords").alias("_k"))
     w = docs.select(doc, F.explode(F.array_distinct(T.words(F.col("text")))).alias("_k"))
-    return w.join(F.broadcast(k), "_k").groupBy(standard, doc).agg((F.count("*") / F.first("_n")).alias("coverage")).filter(F.col("coverage") > least)
+    return w.join(k, "_k").groupBy(standard, doc).agg((F.count("*") / F.first("_n")).alias("coverage")).filter(F.col("coverage") > least)
 
 
 def tfidf_similarity(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators import chunking as C
 from spindrift.operators import standards as D
 from spindrift.operators import terms as K
 from spindrift.operators import validation as L
@@ -127,6 +128,19 @@ def prompt_assembly(spark, d):
     return read(spark, d, "documents").select("doc_id", _md5(prompt).alias("digest"))
 
 
+@query(None)
+def prompt_assembly_all(spark, d):
+    """A prompt of each whole text and all its chunks; prompt_assembly, as its SQL, takes the first characters."""
+    return prompts(read(spark, d, "documents")).select("doc_id", _md5(F.col("prompt")).alias("digest"))
+
+
+def prompts(docs):
+    """doc_id and prompt of every row."""
+    template = "Context: ${context}\nQuestion: ${question}\n${chunks}"
+    values = {"context": F.col("lang"), "question": F.col("text"), "chunks": T.numbered(C.fixed_array(F.col("text")))}
+    return docs.select("doc_id", T.filled(template, values, ("question",)).alias("prompt"))
+
+
 @query("SELECT doc_id, CASE WHEN len(text) > 40 THEN left(text, 37) || '...' ELSE text END AS short FROM documents")
 def truncate_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 40).alias("short"))
@@ -189,6 +203,13 @@ def coverage(spark, d):
     return rounded(D.coverage(items, "item_id", read(spark, d, "documents"), "doc_id", 0.3), "coverage")
 
 
+@query(None)
+def coverage_all(spark, d):
+    """The same of every benchmark item; coverage, as its SQL, takes five."""
+    items = read(spark, d, "benchmark").select("item_id", F.array_distinct(T.words(F.col("text"))).alias("keywords"))
+    return rounded(D.coverage(items, "item_id", read(spark, d, "documents"), "doc_id", 0.3), "coverage")
+
+
 @query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.item_id = a.item_id + 1),
 u AS (SELECT a, b, unnest(list_distinct(list_concat(x, y))) AS term, x, y FROM p),
 f AS (SELECT a, b, term, len(list_filter(x, lambda v: v = term)) AS p, len(list_filter(y, lambda v: v = term)) AS q FROM u),

@@ -240,3 +240,28 @@ def test_all_pieces_cite_what_brute_force_finds(spark):
     found = matching.cited(vectors, vectors.filter("vec_id % 20 = 0")).collect()
     assert len({r["piece"] for r in wanted}) > 4 and len(found) == len(wanted)
     assert {(r["piece"], r["chunk"]): r["similarity"] for r in found} == pytest.approx({(r["piece"], r["chunk"]): r["similarity"] for r in wanted})
+
+
+def test_prompts_hold_whole_texts(spark):
+    from spindrift.plans import texts
+
+    text = "".join(chr(97 + i % 26) for i in range(1200))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "short", "fr"), (3, "", "fr"), (4, None, "fr")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["prompt"] for r in texts.prompts(docs).collect()}
+    chunks = [r["chunk"] for r in C.fixed_chunks(docs.filter("doc_id = 1")).orderBy("chunk_index").collect()]
+    assert len(chunks) == 3 and chunks[-1].endswith(text[-100:])
+    assert found[1] == "Context: en\nQuestion: " + text + "\n" + "\n\n".join(f"Chunk {i + 1}:\n{c}" for i, c in enumerate(chunks))
+    assert found[2] == "Context: fr\nQuestion: short\nChunk 1:\nshort" and found[3] == found[4] == "Context: fr\nQuestion: \n"
+
+
+def test_coverage_of_all_items(spark, data):
+    import re
+
+    from spindrift.plans import texts
+
+    items, docs = (spark.read.parquet(f"{data}/{t}.parquet").collect() for t in ("benchmark", "documents"))
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    held = {r["doc_id"]: words(r["text"]) for r in docs}
+    wanted = {(r["item_id"], i): len(k & w) / len(k) for r in items for k in [words(r["text"])] for i, w in held.items() if k and len(k & w) / len(k) > 0.3}
+    found = {(r["item_id"], r["doc_id"]): r["coverage"] for r in texts.coverage_all(spark, data).collect()}
+    assert found == pytest.approx(wanted, abs=1e-6) and max(i for i, _ in found) >= 5
