@@ -46,7 +46,7 @@ def stream_dedup(spark, d):
     """Each event arrives twice and counts once."""
     events = _events(spark, d)
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    out = E.run_available(E.deduplicated(twice, ["event_id"]).select("event_id", "user_id", "event_type"), _folder(spark))
+    out = E.run_available(E.deduplicated(twice, ["event_id"], late=None).select("event_id", "user_id", "event_type"), _folder(spark))
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

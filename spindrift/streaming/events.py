@@ -40,7 +40,13 @@ def sessions(events: DataFrame, by: str, gap: str = "30 minutes", late: str = "2
     return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
-def deduplicated(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
+def deduplicated(events: DataFrame, keys: list[str], late: str | None = "2 hours") -> DataFrame:
+    """The first event of each key. Without late, in whatever order events come: the state then holds all keys.
+
+    With late, events older than the newest time of the batches before, less late, are lost.
+    """
+    if late is None:
+        return events.dropDuplicates(keys)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 

@@ -265,3 +265,17 @@ def test_coverage_of_all_items(spark, data):
     wanted = {(r["item_id"], i): len(k & w) / len(k) for r in items for k in [words(r["text"])] for i, w in held.items() if k and len(k & w) / len(k) > 0.3}
     found = {(r["item_id"], r["doc_id"]): r["coverage"] for r in texts.coverage_all(spark, data).collect()}
     assert found == pytest.approx(wanted, abs=1e-6) and max(i for i, _ in found) >= 5
+
+
+def test_events_of_files_in_any_order_count_once(spark, tmp_path):
+    import os
+
+    from spindrift.plans import streams
+
+    folder = f"{tmp_path}/events.parquet"
+    for i, day in enumerate((9, 5, 1)):  # files are read by their time of change
+        spark.sql(f"SELECT id AS event_id, timestamp'2024-01-0{day}' + make_interval(0, 0, 0, 0, 0, cast(id AS int)) AS ts, 1L AS user_id, 'view' AS event_type FROM range({100 * i}, {100 * i + 100})").coalesce(1).write.mode("append").parquet(folder)
+        for f in os.listdir(folder):
+            if f.endswith(".parquet") and os.path.getmtime(f"{folder}/{f}") > 10_000_000:
+                os.utime(f"{folder}/{f}", (1_000_000 * (i + 1),) * 2)
+    assert [r["n"] for r in streams.stream_dedup(spark, str(tmp_path)).collect()] == [300]
