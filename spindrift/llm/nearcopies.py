@@ -153,7 +153,7 @@ def _node(docs: DataFrame):
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles and counts (binary: 64-bit and 16-bit integers) of the wanted nodes."""
+    """node, shingles and counts (binary: 64-bit integers; 16-bit ones, or 64-bit where a count needs it) of the wanted nodes."""
     wanted = wanted.select(F.col("node").alias("_n"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -164,18 +164,26 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b, raw, at in chunks(batch.column(1), rows=TEXTS):
                 text, shingle, count = _bags(raw, at)
                 bound = np.searchsorted(text, np.arange(b - a + 1))
-                many = np.minimum(count, 65535).astype("<u2")
-                cells = [(shingle[s:e].tobytes(), b"" if (count[s:e] == 1).all() else many[s:e].tobytes()) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+                cells = [(shingle[s:e].tobytes(), _packed(count[s:e])) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s for s, _ in cells], pa.binary()), pa.array([c for _, c in cells], pa.binary())], names=["node", "shingles", "counts"])
 
     return by_text(own).mapInArrow(run, "node binary, shingles binary, counts binary").dropDuplicates(["node"])
 
 
+def _packed(count: np.ndarray) -> bytes:
+    if (count == 1).all():
+        return b""
+    return count.astype("<u2" if count.max() < 1 << 16 else "<u8").tobytes()
+
+
+def _counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(float) if packed else np.ones(n)
+
+
 def similarity(a: bytes, m: bytes, b: bytes, n: bytes, idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags."""
     u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    x = np.frombuffer(m, "<u2").astype(float) if m else np.ones(len(u))
-    y = np.frombuffer(n, "<u2").astype(float) if n else np.ones(len(v))
+    x, y = _counts(m, len(u)), _counts(n, len(v))
     x, y = x * idf[(u % np.uint64(BUCKETS)).astype(np.int64)], y * idf[(v % np.uint64(BUCKETS)).astype(np.int64)]
     at = np.minimum(np.searchsorted(v, u), len(v) - 1)
     same = np.flatnonzero(v[at] == u)

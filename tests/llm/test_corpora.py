@@ -194,6 +194,16 @@ def test_near_copies_match_a_plain_version(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(wanted.values())
 
 
+def test_counts_beyond_16_bits_are_exact(spark):
+    """One shingle 100,000 times in both texts, and 10,000 others in each."""
+    run = "again " * 100_000
+    texts = [run + " ".join(f"{c}{i}" for i in range(10_000)) for c in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = nearcopies.bags(docs, docs.select(nearcopies._node(docs))).collect()
+    flat = np.ones(nearcopies.BUCKETS)
+    assert nearcopies.similarity(held[0]["shingles"], held[0]["counts"], held[1]["shingles"], held[1]["counts"], flat) == pytest.approx(100_000 / 120_000, abs=0.001)
+
+
 def test_near_copies_of_odd_rows(odd, none):
     rows = nearcopies.near_copies(odd).collect()
     assert len(rows) == len(ODD) and {r["class_size"] for r in rows if r["doc_id"] == 5} == {2}
