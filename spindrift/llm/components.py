@@ -7,12 +7,36 @@ neighbours are ever gathered.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import checkpoint
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the edges u, v between any numbers form a spanning forest of them."""
+    nodes, place = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    live, kept = np.arange(len(u)), []
+    while True:
+        x, y = root[a[live]], root[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return np.concatenate(kept) if kept else live
+        # Each root is hung below one lower root, so no edges close a circle.
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(live[first])
+        root[high] = np.minimum(x, y)[first]
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v")
     if large:

@@ -65,10 +65,11 @@ class Words:
     text: np.ndarray  # number of each word's text in the chunk
     hash: np.ndarray  # of each word, 64 bits
 
-    def line(self) -> np.ndarray:
-        """Number of each word's line in the chunk; the lines of all texts are numbered on."""
-        breaks = np.cumsum(self.raw == NEWLINE)
-        return np.r_[0, breaks][self.start] + self.text
+    def line(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word's line in the chunk, and of each text's first line; the lines of all texts are numbered on."""
+        breaks = np.zeros(len(self.raw) + 1, np.int32)
+        np.cumsum(self.raw == NEWLINE, out=breaks[1:])
+        return breaks[self.start] + self.text, breaks[self.texts[:-1]] + np.arange(len(self.texts) - 1)
 
 
 def span(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,103 +5,111 @@ similarity of their sets is 0.8 or more. A line is removed when it is linked to,
 set as, an earlier line: of a document with a lower doc_id, or above it in its own. All other lines
 stay as they are, also those without words.
 
-op2 finds all links, whose number grows with the square of a group's size. A document's n_links is the sum, over its
-lines, of the lines of other words, in any document, that each is linked to. Documents are of one class where lines of equal
-sets or links join them, also by way of others; class_id is the class's least doc_id. To remove lines, one link of each
-late line is enough: remove() looks for no others.
-
-The join: equal sets are one set first, so a line's copies are never joined with each other.
-Words are ordered by rarity (the logarithm of a histogram of all words over BUCKETS hash
-buckets, longer words first within a step, then their hash), the same way for every line. Sets of similarity 0.8
-share a word among the first 20 % in that order of the larger one and among the first 11 % of the smaller
-one. Pairs that share such a word pass a length filter, a positional filter and a comparison of
-256-bit maps of their words, all of which only drop pairs that cannot reach 0.8; the words of the remaining
-pairs are then compared.
+A document's n_links is the sum, over its lines, of the lines of other words, in any document, that each is linked
+to. Documents are of one class where lines of equal sets or links join them, also by way of others; class_id is the
+class's least doc_id. For each removed line, earlier names a document that holds an earlier line that it repeats.
+
+The join. Equal sets are one set first, so a line's copies are never joined with each other. Words are ordered by
+rarity (a logarithm of a histogram of all words over BUCKETS hash buckets, then their hash), the same way for every
+line. Sets of similarity 0.8 share a word among the first 20 % in that order of the larger one and among the first
+11 % of the smaller one; the rows of such a word meet in order of size, so that the length filter is a window.
+What passes the positional filter and a comparison of maps of the sets' words (which only drop pairs that cannot reach
+0.8) is a candidate. The number of pairs grows with the square of a group's size, so candidates are not listed: a task gives
+a spanning forest of its candidates, whose components are the clusters. All links lie within clusters. The words of a
+cluster's sets meet in one task (large clusters: in tasks for pairs of blocks), where its candidates are found by the
+same filters and verified by their words; what leaves it is a row for each set with the number of its links and its
+earliest partner, and a spanning forest of the links. Only candidates of very long lines, for which maps of MOST bits
+tell little, are listed and verified pair by pair.
+
+Words are compared by 56 bits of a hash and a step of rarity, and sets are equal when 128 bits of a digest of their words are.
 
 Defined cases: null texts have no line; rows of equal doc_id and text are one document;
 lines of rows of equal doc_id and other text come in order of their number, then of a digest; a null doc_id
-comes last; columns besides doc_id and text may have any names.
+comes last; very long lines are treated like others; columns besides doc_id and text may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .flatwords import NEWLINE, Words, chunks, mix, words
-from .runtime import by_text, checkpoint, discard, release, table, written
+from .components import components, forest
+from .flatwords import Words, chunks, mix, words
+from .runtime import by_text, discard, table, written
 
-#: The histogram of words: buckets, and buckets of a slice of it.
+#: The histograms: buckets, and buckets of a slice.
 BUCKETS, SLICE = 1 << 20, 1 << 12
-#: Bits of a word's key: step of rarity, length, hash. The lines of a chunk are numbered in the rest of 64 bits.
-RARITY, LENGTH, HASH = 6, 5, 41
-LINES = 1 << (64 - RARITY - LENGTH - HASH)
-#: Least hashes of a line's words by which it is first compared with one other line each.
-SKETCH = mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
-#: Columns of a map of a set's words in 256 bits.
-WIDE = ("w0", "w1", "w2", "w3")
+#: Bits of a word's code: step of rarity, hash. Codes in numeric order are words in order of rarity.
+RARITY, HASH = 8, 56
 #: Sets of fewer words than this are similar only if equal.
 LEAST = 4
-#: Documents whose lines may be looked up by a broadcast; beyond it by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def _pieces(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words with a line number below LINES, and the chunk's number of each of those lines."""
-    if not len(w.hash):
-        return
-    line = w.line()
-    at = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    for a in range(0, len(at), LINES):
-        begin, stop = at[a], at[a + LINES] if a + LINES < len(at) else len(line)
-        own = np.cumsum(np.isin(np.arange(begin, stop), at[a : a + LINES])) - 1
-        yield slice(begin, stop), own, line[at[a : a + LINES]]
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Step of rarity of each bucket, from a count of all words of the corpus.
-
-    Each task counts its words in one array; arrays go in slices to the tasks that sum them, one after the
-    other. BUCKETS numbers reach the driver.
+#: Bits of the smallest and of the largest map of a set's words. A map of b bits serves pairs that may differ in at most REACH * b words.
+FEWEST, MOST, REACH = 128, 1024, 0.3
+#: Rows of a rare word that meet in a task, at least; words of more rows, and of more than this part of all, are dealt out in blocks.
+HOT, PART = 1 << 14, 1 << 20
+#: Rows of rare words that a task sorts at once: at least, and at most where more than TASKS tasks would be needed.
+SORTED, MOST_SORTED, TASKS = 1 << 17, 1 << 22, 1 << 12
+#: Sets of a cluster that a block holds at least and at most, and blocks that a cluster of fewer is dealt to at most.
+BLOCK, LARGEST, BLOCKS = 256, 50_000, 32
+#: Candidates and words that a task handles at once.
+SPAN = 1 << 20
+#: Lines whose words may be asked for by a broadcast (about 40 bytes each); beyond it by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def histogram(df: DataFrame, buckets: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often each bucket occurs in df's only column. buckets: numbers below BUCKETS of a batch, in parts.
+
+    Each task counts in one array; arrays go in slices to the tasks that sum them. BUCKETS numbers reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         held, n = [], 0
         for batch in batches:
-            for _, _, raw, at in chunks(batch.column(0)):
-                held.append((words(raw, at, True).hash % BUCKETS).astype(np.int32))
-                n += len(held[-1])
+            for part in buckets(batch.column(0)):
+                held.append(part.astype(np.int32))
+                n += len(part)
                 if n > 2 * BUCKETS:
                     counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
                     held, n = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        yield from _slices(dict(enumerate(counts.reshape(-1, SLICE))), "<u4")
+        yield _slices(dict(enumerate(counts.reshape(-1, SLICE))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(cells, "<u4").astype(np.int64)
-        yield from _slices(sums, "<i8")
+                sums[i] = sums.get(i, 0) + np.frombuffer(cells, "<i8")
+        yield _slices(sums)
 
-    parts = by_text(docs.select("text")).mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
-    counts = np.zeros(BUCKETS)
-    for r in parts:
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in df.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(2 * np.log2(1 + counts), 2**RARITY - 1).astype(np.uint8)
+    return counts
 
 
-def _slices(counts: dict[int, np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
+def _slices(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
     some = [i for i, c in counts.items() if c.any()]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[i].astype(kind).tobytes() for i in some], pa.binary())], names=["slice", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["slice", "counts"])
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """Step of rarity of each bucket, from a count of all words of the corpus."""
+    counts = histogram(by_text(docs.select("text")), lambda texts: (words(raw, at, True).hash % np.uint64(BUCKETS) for _, _, raw, at in chunks(texts)))
+    return np.minimum(6 * np.log2(1 + counts), 2**RARITY - 1).astype(np.uint8)
+
+
+def index_length(n: np.ndarray) -> np.ndarray:
+    """Of a set of n words, how many of the rarest a similar set of at least n words shares one of."""
+    return n - (8 * n + 8) // 9 + 1
 
 
 def probe_length(n: np.ndarray) -> np.ndarray:
@@ -109,270 +117,585 @@ def probe_length(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
+def needed(n: np.ndarray) -> np.ndarray:
+    """Words that two sets of n words together must share for a similarity of 0.8."""
+    return (4 * n + 8) // 9
+
+
+def map_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's map: a power of two."""
+    wanted = np.maximum(size * 2 / 9 / REACH, FEWEST)
+    return np.minimum(2 ** np.ceil(np.log2(wanted)).astype(np.int64), MOST)
+
+
+@dataclass
+class Codes:
+    """Words of many lines: codes in order of line and rarity, each once."""
+
+    code: np.ndarray
+    first: np.ndarray  # where each line starts
+    size: np.ndarray
+    line: np.ndarray  # number of each line that has a word
+
+
+def codes(w: Words, line: np.ndarray, step: np.ndarray) -> Codes:
+    """line: the number of each word's line."""
+    code = step[w.hash % np.uint64(BUCKETS)].astype(np.uint64) << np.uint64(HASH) | w.hash >> np.uint64(64 - HASH)
+    order = np.argsort(code)
+    small = line[order]
+    order = order[np.argsort(small.astype(np.uint16) if len(line) and line.max() < 1 << 16 else small, kind="stable")]
+    code, line = code[order], line[order]
+    if len(code):
+        keep = np.r_[True, (code[1:] != code[:-1]) | (line[1:] != line[:-1])]
+        code, line = code[keep], line[keep]
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    else:
+        first = np.zeros(0, np.int64)
+    return Codes(code, first, np.diff(np.r_[first, len(code)]), line[first])
+
+
+def maps(c: Codes, mixed: np.ndarray) -> pa.Array:
+    """For each line a map whose bits are the parities of its words' numbers: bits that differ are at most as many as words that do."""
+    bits = map_bits(c.size)
+    at = np.r_[0, np.cumsum(bits)]
+    place = np.repeat(at[:-1], c.size) + (mixed >> np.uint64(16)).astype(np.int64) % np.repeat(bits, c.size)
+    flat = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(flat)])
+
+
 def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
-    """doc_id, raw, line, set, size, bits, rare and least of every line with a word. rare: 32 bits of its rarest words, least: its least hashes, both for sets of LEAST or more."""
+    """A row for each line with a word: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (its rarest words; none below LEAST)."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = sent.value
-        one = np.uint64(1)
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for a, b, raw, texts in chunks(batch.column(2)):
                 w = words(raw, texts, True)
-                before = np.r_[0, np.cumsum(raw == NEWLINE)][texts[:-1]] + np.arange(b - a)
-                for part, own, numbers in _pieces(w):
-                    h = w.hash[part]
-                    length = np.minimum((w.end - w.start)[part], 2**LENGTH - 1).astype(np.uint64)
-                    key = (own.astype(np.uint64) << np.uint64(RARITY + LENGTH + HASH)) | (step[h % np.uint64(BUCKETS)].astype(np.uint64) << np.uint64(LENGTH + HASH))
-                    key |= (np.uint64(2**LENGTH - 1) - length << np.uint64(HASH)) | (h >> np.uint64(64 - HASH))
-                    key.sort()
-                    key = key[np.r_[True, key[1:] != key[:-1]]]
-                    line = (key >> np.uint64(RARITY + LENGTH + HASH)).astype(np.int64)
-                    token = key & np.uint64(2 ** (RARITY + LENGTH + HASH) - 1)
-                    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                    size = np.diff(np.r_[first, len(line)])
-                    mixed = mix(token)
-                    whole = np.add.reduceat(mixed, first) ^ np.bitwise_xor.reduceat(mix(mixed), first)
-                    bits = np.bitwise_or.reduceat(one << (mixed & np.uint64(63)), first)
-                    place = (mixed >> np.uint64(8)) & np.uint64(64 * len(WIDE) - 1)
-                    wide = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, one << (place & np.uint64(63)), np.uint64(0)), first) for k in range(len(WIDE))]
-                    n = np.where(size < LEAST, 0, probe_length(size))
-                    least = np.stack([np.minimum.reduceat(mix(mixed * f), first) for f in SKETCH], 1)[size >= LEAST]
-                    taken = np.arange(len(line)) - np.repeat(first, size) < np.repeat(n, size)
-                    text = w.text[part][np.searchsorted(own, np.arange(len(numbers)))]
-                    rows = pa.array(text + a, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(rows),
-                            batch.column(1).take(rows),
-                            pa.array(numbers - before[text], pa.int32()),
-                            pa.array(whole.view(np.int64), pa.int64()),
-                            pa.array(size, pa.int32()),
-                            pa.array(bits.view(np.int64), pa.int64()),
-                            *(pa.array(x.view(np.int64), pa.int64()) for x in wide),
-                            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(mixed[taken].astype(np.uint32).view(np.int32), pa.int32())),
-                            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size < LEAST, 0, len(SKETCH)))], pa.int32()), pa.array(least.reshape(-1).view(np.int64), pa.int64())),
-                        ],
-                        names=["doc_id", "raw", "line", "set", "size", "bits", *WIDE, "rare", "least"],
-                    )
+                lines, before = w.line()
+                c = codes(w, lines - lines[0] if len(lines) else lines, step)
+                if not len(c.line):
+                    continue
+                number = c.line + lines[0]
+                text = np.searchsorted(before, number, "right") - 1
+                mixed = mix(c.code)
+                n = np.where(c.size < LEAST, 0, probe_length(c.size))
+                taken = np.arange(len(c.code)) - np.repeat(c.first, c.size) < np.repeat(n, c.size)
+                rows = pa.array(text + a, pa.int64())
+                hi, lo = (np.add.reduceat(x, c.first) for x in (mixed, mix(mixed ^ np.uint64(0x9E3779B97F4A7C15))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row + a + text, pa.int64()),
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array(np.r_[True, text[1:] != text[:-1]], pa.bool_()),
+                        pa.array(number - before[text], pa.int32()),
+                        pa.array(hi.view(np.int64), pa.int64()),
+                        pa.array(lo.view(np.int64), pa.int64()),
+                        pa.array(c.size, pa.int32()),
+                        maps(c, mixed),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(c.code[taken].view(np.int64), pa.int64())),
+                    ],
+                    names=["doc", "doc_id", "raw", "top", "line", "hi", "lo", "size", "map", "rare"],
+                )
+            row += batch.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(run, f"doc_id {kind}, raw long, line int, set long, size int, bits long, {" long, ".join(WIDE)} long, rare array<int>, least array<long>")
+    kinds = f"doc long, doc_id {kind}, raw long, top boolean, line int, hi long, lo long, size int, map binary, rare array<long>"
+    return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(run, kinds)
 
 
-#: Where a line stands among all: documents of null ids last, then by id and line; sets that begin at the same place by their digest.
-PLACE = ("none", "doc_id", "line")
+#: Where a line stands among all: documents of null ids last, then by id and line; lines that this leaves equal by a digest of the text.
+PLACE = ("none", "doc_id", "line", "raw")
 
 
-def _rare(each: DataFrame) -> DataFrame:
-    rows = each.filter(F.size("rare") > 0)
-    return rows.select("set", "size", *WIDE, "open", *PLACE, F.posexplode("rare").alias("pos", "token"))
+def _place() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("none"), *(F.col(c) for c in PLACE[1:])]
 
 
-def _near() -> Column:
-    """Whether x, the smaller set, and y, which share a rare word, may be similar."""
-    need = F.expr("(4 * (x.size + y.size) + 8) div 9")
-    # The smaller set's bound is written with both sides' places, so that both sides share one shuffle.
-    return (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.pos") + F.col("y.pos") <= F.col("y.pos") + F.expr("x.size - (8 * x.size + 8) div 9"))
-        & ((F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.set") < F.col("y.set")))
-        & (5 * F.col("x.size") >= 4 * F.col("y.size"))
-        & (F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= need)
-        & (reduce(lambda s, c: s + F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))), WIDE, F.lit(0)) <= F.col("x.size") + F.col("y.size") - 2 * need)
-        & F.when(_at("x") < _at("y"), F.col("y.open")).otherwise(F.col("x.open"))
-    )
+def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The lines with a word (doc, doc_id, raw, top, line, hi, lo), each document once, and a row for each set.
 
+    The sets' columns: id (any number), hi, lo, size, map, rare, n (its lines), and the place and doc of its first line.
+    """
+    lines = written(sets(docs, steps))
+    held = lines
+    # Of rows of equal doc_id and text one stays.
+    tops = lines.filter("top").select("doc", "doc_id", "raw")
+    firsts = tops.groupBy("doc_id", "raw").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    often = written(tops.alias("t").join(firsts.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.raw") == F.col("f.raw"))).filter("doc != least").select("doc"))
+    if not often.isEmpty():
+        held = lines.join(often, "doc", "left_anti")
+    first = F.min(F.struct(*_place(), "doc")).alias("first")
+    each = held.groupBy("hi", "lo").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "map", "rare")))
+    each = written(each.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "size", "map", "rare", "n", "first.*"))
+    slim = written(held.select("doc", "doc_id", "raw", "top", "line", "hi", "lo"))
+    discard(lines, often)
+    return slim, each
 
-def _at(side: str) -> Column:
-    return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in (*PLACE, "set")))
 
+# --- candidates
+
+
+@dataclass
+class Rows:
+    """Rows of words of sets, in order of group and size."""
+
+    group: np.ndarray
+    size: np.ndarray
+    pos: np.ndarray
+
+
+def met(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of rows of one group that pass the prefix, length and positional filters; in parts."""
+    key = rows.group.astype(np.int64) << 32 | rows.size
+    low = np.searchsorted(key, rows.group.astype(np.int64) << 32 | (4 * rows.size + 4) // 5)
+    short = rows.pos < index_length(rows.size)
+    smaller = np.flatnonzero(short)
+    before = np.r_[0, np.cumsum(short)]
+    low = before[low]
+    n = before[:-1] - low
+    end = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + SPAN, "right")))
+        part = n[a:b]
+        y = np.repeat(np.arange(a, b), part)
+        x = smaller[np.repeat(low[a:b] - np.r_[0, np.cumsum(part)[:-1]], part) + np.arange(len(y))]
+        need = needed(rows.size[x] + rows.size[y])
+        fine = np.minimum(rows.size[x] - rows.pos[x], rows.size[y] - rows.pos[y]) >= need
+        yield x[fine], y[fine]
+        a = b
+
+
+class Maps:
+    """Maps of sets of these sizes, one after the other in data; each in its own width and in half of it."""
+
+    def __init__(self, size: np.ndarray, at: np.ndarray, data: np.ndarray) -> None:
+        self.width = map_bits(size) // 64
+        self.place = np.zeros(len(size), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        self.halves: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            which = np.flatnonzero(self.width == width)
+            rows = data[at[which][:, None] + np.arange(width)]
+            self.of[width] = rows
+            self.place[which] = np.arange(len(which))
+            if 64 * width > FEWEST:
+                # A word's bit in a map of half the width is that place's remainder.
+                self.halves[width] = rows[:, : width // 2] ^ rows[:, width // 2 :]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the maps of x and y differ, y of the same width or the next larger one; those of other widths do not differ."""
+        out = np.zeros(len(x), np.int64)
+        for width in np.unique(self.width[x]).tolist():
+            for other in (width, 2 * width):
+                which = np.flatnonzero((self.width[x] == width) & (self.width[y] == other))
+                if len(which):
+                    of = self.of[width] if other == width else self.halves[other]
+                    out[which] = np.bitwise_count(self.of[width][self.place[x[which]]] ^ of[self.place[y[which]]]).sum(1)
+        return out
+
+
+def far(total: np.ndarray) -> np.ndarray:
+    """Whether sets of so many words together are too large for maps to tell them apart."""
+    return total - 2 * needed(total) > REACH * MOST
+
+
+#: A row of a word of a set.
+POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<u4"), ("pos", "<u4")])
+
+
+def candidates(each: DataFrame) -> DataFrame:
+    """u, v and listed: a spanning forest of the candidates of tasks, and all candidates of very long lines (listed)."""
+
+    def buckets(rare: pa.Array) -> Iterator[np.ndarray]:
+        yield rare.flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1)
+
+    counts = histogram(each.select("rare"), buckets)
+    total = int(counts.sum())
+    most = max(HOT, total // PART)
+    # Rows of a bucket of more are dealt out in blocks.
+    sent = each.sparkSession.sparkContext.broadcast(np.maximum(-(-counts // most), 1).astype(np.uint32))
+    parts = max(1, total // min(max(SORTED, total // TASKS), MOST_SORTED))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a part of the words are packed before they are shuffled."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(3).flatten())
+            if n >= SPAN:
+                yield _packed(pa.Table.from_batches(held), sent.value, parts)
+                held, n = [], 0
+        if held:
+            yield _packed(pa.Table.from_batches(held), sent.value, parts)
 
-def _earlier(pairs: DataFrame) -> DataFrame:
-    """late and early sets of joined rows x and y, where the late one is open."""
-    forward = _at("x") < _at("y")
-    return pairs.select(F.when(forward, F.col("y.set")).otherwise(F.col("x.set")).alias("late"), F.when(forward, F.col("x.set")).otherwise(F.col("y.set")).alias("early"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for number, body, drawn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != part and held:
+                    yield from _met(held)
+                    held = []
+                part = number
+                held.append((body, drawn))
+        if held:
+            yield from _met(held)
+
+    rows = each.filter(F.size("rare") > 0).select("id", "size", "map", "rare").mapInArrow(deal, "part int, body binary, maps binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, listed boolean")
+
+
+def _packed(sets: pa.Table, blocks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """part, body (rows of rare words) and maps (their sets' maps) of a part of the words each."""
+    ids, size, drawn, rare = (sets[c].combine_chunks() for c in ("id", "size", "map", "rare"))
+    n = np.diff(rare.offsets.to_numpy())
+    own = np.repeat(np.arange(len(n)), n)
+    rows = np.empty(len(own), POSTING)
+    rows["token"] = rare.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    rows["id"], rows["size"] = ids.to_numpy()[own], size.to_numpy()[own]
+    rows["pos"] = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    k = blocks[(rows["token"] % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
+    if (k > 1).any():
+        # A row's block is one of k, and it goes to the cells that are pairs of its block and any: two rows meet in one at least.
+        other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        rows, own, k = np.repeat(rows, k), np.repeat(own, k), np.repeat(k, k)
+        block = (mix(rows["id"].view(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+        cell = np.minimum(block, other) * k + np.maximum(block, other)
+        rows["token"] = np.where(k > 1, mix(rows["token"] + mix(cell.astype(np.uint64))), rows["token"])
+    part = (mix(rows["token"]) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rows, own, part = rows[order], own[order], part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    at, data = _span(drawn)
+    width = np.diff(at)[own]
+    taken = np.repeat(at[own] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+    bodies = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.r_[first, len(rows)] * POSTING.itemsize).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+    ends = np.r_[0, np.cumsum(width)][np.r_[first, len(rows)]] * 8
+    maps_ = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[taken].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), bodies, maps_], names=["part", "body", "maps"])
+
+
+def _met(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """candidates() of one part of the words."""
+    rows = np.concatenate([np.frombuffer(body, POSTING) for body, _ in held])
+    data = np.concatenate([np.frombuffer(drawn, np.uint64) for _, drawn in held])
+    size = rows["size"].astype(np.int64)
+    width = map_bits(size) // 64
+    at = np.cumsum(width) - width
+    if size.max() < 1 << 24:
+        # Words that 40 bits take for one meet as well, to no effect.
+        key = mix(rows["token"]) >> np.uint64(24) << np.uint64(24) | rows["size"]
+        order = np.argsort(key)
+        token = key[order] >> np.uint64(24)
+    else:
+        order = np.lexsort((rows["size"], rows["token"]))
+        token = rows["token"][order]
+    rows, size, at = rows[order], size[order], at[order]
+    group = np.cumsum(np.r_[False, token[1:] != token[:-1]])
+    ids, drawn = rows["id"], Maps(size, at, data)
+    near_u, near_v, far_u, far_v = [], [], [], []
+    for x, y in met(Rows(group, size, rows["pos"].astype(np.int64))):
+        total = size[x] + size[y]
+        fine = drawn.apart(x, y) <= total - 2 * needed(total)
+        long = far(total)
+        u, v = ids[x[fine & ~long]], ids[y[fine & ~long]]
+        kept = forest(u, v)
+        near_u.append(u[kept])
+        near_v.append(v[kept])
+        far_u.append(ids[x[fine & long]])
+        far_v.append(ids[y[fine & long]])
+    for us, vs, listed in ((near_u, near_v, False), (far_u, far_v, True)):
+        u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
+        if listed:
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            u, v = pairs[:, 0], pairs[:, 1]
+        else:
+            kept = forest(u, v)
+            u, v = u[kept], v[kept]
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), listed))], names=["u", "v", "listed"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with block and cell: a row's block is one of k, and it goes to the k cells that are pairs of its block and any; two rows meet in at least one."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("cell", (F.least("block", "other") * F.col("k") + F.greatest("block", "other")).cast("int")).drop("other")
+
+
+# --- links
+
+
+def shared(code: np.ndarray, first: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words the sets x and y have both. code: words of all sets; first and size: where each set's are."""
+    out = np.zeros(len(x), np.int64)
+    distinct, code = np.unique(code, return_inverse=True)
+    bits = max(1, int(len(distinct)).bit_length())
+    end = np.cumsum(size[x] + size[y])
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + SPAN, "right")))
+        owner, n = np.tile(np.arange(b - a), 2), np.r_[size[x[a:b]], size[y[a:b]]]
+        start = np.r_[first[x[a:b]], first[y[a:b]]]
+        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        key = np.repeat(owner, n) << bits | code[at]
+        key.sort()
+        out[a:b] = np.bincount(key[1:][key[1:] == key[:-1]] >> bits, minlength=b - a)
+        a = b
+    return out
 
 
-def sketched(each: DataFrame) -> DataFrame:
-    """late and early: each set with the earliest set of the same least hash, if they may be similar."""
-    rows = each.select("set", "size", "bits", *PLACE, F.explode("least").alias("hash"))
-    firsts = rows.groupBy("hash").agg(F.min(F.struct(*PLACE, "set", "size", "bits")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("hash", "e")
-    need = F.expr("(4 * (size + e.size) + 8) div 9")
-    near = (F.col("set") != F.col("e.set")) & (F.least("size", "e.size") >= need) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("e.bits"))) <= F.col("size") + F.col("e.size") - 2 * need)
-    return rows.join(firsts, "hash").filter(near).select(F.col("set").alias("late"), F.col("e.set").alias("early")).distinct()
+def _span(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row of a column of 64-bit numbers starts, and the numbers."""
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64) if at[-1] > at[0] else np.zeros(0, np.uint64)
+    return (at - at[0]) // 8, data
 
 
-def _words(line: Column) -> Column:
-    folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a column of sets, where each set's start, and their number."""
+    at, data = _span(column)
+    return data, at[:-1], np.diff(at)
 
 
-def similar(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """late and early of the pairs of sets whose Jaccard similarity is 0.8 or more. each: a row for each set with the place of its first line."""
-    # Most pairs are decided by 32-bit codes of their words, which take less room in the shuffle; where one
-    # collision of codes could decide, the words themselves are compared.
-    codes = written(_spelled(docs, each, pairs).select("set", F.transform("words", lambda w: F.hash(w)).alias("w"), F.size("words").alias("n")).dropDuplicates(["set"]))
-    coded = checkpoint(_overlap(pairs, codes))
-    discard(codes)
-    close = checkpoint(coded.filter(F.abs(F.col("shared") - F.col("need")) <= 1).select("late", "early"))
-    strings = written(_spelled(docs, each, close).select("set", F.col("words").alias("w"), F.size("words").alias("n")).dropDuplicates(["set"]))
-    sure = coded.filter("shared > need + 1").select("late", "early")
-    out = checkpoint(sure.unionByName(_overlap(close, strings).filter("shared >= need").select("late", "early")))
-    discard(strings)
-    return out
+def spelled(docs: DataFrame, wanted: DataFrame, steps: np.ndarray) -> DataFrame:
+    """wanted with words (codes as bytes, in order). wanted: none, doc_id, raw and line name a line."""
+    sent = docs.sparkSession.sparkContext.broadcast(steps)
+    asked = wanted.select(F.struct("*").alias("w"))
+    if wanted.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    found = lines.join(asked, F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("raw") == F.col("w.raw")) & (F.col("line") == F.col("w.line"))).select("w", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, texts in chunks(batch.column(1)):
+                w = words(raw, texts, True)
+                c = codes(w, w.text, sent.value)
+                at = np.r_[0, np.cumsum(np.bincount(c.line, c.size, minlength=b - a))].astype(np.int64) * 8
+                cells = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(c.code.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), cells], names=["w", "words"])
 
-def _spelled(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set and words of the sets in pairs, from the texts of their first lines."""
-    wanted = pairs.select(F.col("late").alias("set")).union(pairs.select("early")).distinct()
-    lines = each.select("set", "doc_id", "raw", "line").join(wanted, "set", "left_semi").groupBy("doc_id", "raw").agg(F.collect_list(F.struct("line", "set")).alias("wanted"))
-    lines = checkpoint(lines.select(F.col("doc_id").alias("_i"), F.col("raw").alias("_r"), "wanted"))
-    if lines.count() <= BROADCAST_ROWS:
-        lines = F.broadcast(lines)
-    text = docs.select("doc_id", "text").withColumn("raw", F.xxhash64("text")).join(lines, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("raw") == F.col("_r")))
-    parts = text.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select("w.set", F.element_at("parts", F.col("w.line") + 1).alias("text"))
-    return parts.select("set", _words(F.col("text")).alias("words"))
+    kinds = wanted.schema.simpleString()
+    return by_text(found).mapInArrow(run, f"w {kinds}, words binary").select("w.*", "words")
 
 
-def _overlap(of: DataFrame, held: DataFrame) -> DataFrame:
-    """late, early, shared (words in both) and need (for a similarity of 0.8). held: set, w (words or codes) and n."""
-    x, y = (held.select(F.col("set").alias(k), F.col("w").alias(w), F.col("n").alias(n)) for k, w, n in (("late", "u", "p"), ("early", "v", "q")))
-    joined = of.join(x, "late").join(y, "early")
-    return joined.select("late", "early", F.size(F.array_intersect("u", "v")).alias("shared"), F.expr("(4 * (p + q) + 8) div 9").alias("need"))
+def within(held: DataFrame) -> DataFrame:
+    """u, v, links: for each set of a cluster the number of lines it is linked to and an earlier set it is linked to (or null), and a spanning forest of links (links 0). v < u.
 
+    held: rank (in order of places), n, words and cluster. Links that are far() are left to listed().
+    """
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("m"))
+    k = F.expr(f"cast(greatest(1, least(ceil(m / {BLOCK}), {BLOCKS}), ceil(m / {LARGEST})) AS int)")
+    rows = held.join(sizes, "cluster").select("cluster", F.col("rank").alias("id"), "n", "words", k.alias("k"))
+    rows = _dealt(rows).select("cluster", "cell", "k", "block", "id", "n", "words").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id")
 
-def matches(docs: DataFrame, each: DataFrame) -> DataFrame:
-    """late and early: for every set that is similar to an earlier one, such a set.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 20_000:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                cluster, cell = whole["cluster"].to_numpy(), whole["cell"].to_numpy()
+                begin = int(np.flatnonzero((cluster != cluster[-1]) | (cell != cell[-1]))[-1]) + 1 if (cluster[0], cell[0]) != (cluster[-1], cell[-1]) else 0
+                if begin:
+                    yield from _linked(whole.slice(0, begin))
+                    held = whole.slice(begin).combine_chunks().to_batches()
+                    n = len(whole) - begin
+        if n:
+            yield from _linked(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(run, "u long, v long, links long")
+
+
+def _linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """within() for whole cells."""
+    cluster, cell, k, block, rank, n = (rows[c].to_numpy() for c in ("cluster", "cell", "k", "block", "id", "n"))
+    code, first, size = _flat(rows["words"].combine_chunks() if rows["words"].num_chunks != 1 else rows["words"].chunk(0))
+    own = np.cumsum(np.r_[False, (cluster[1:] != cluster[:-1]) | (cell[1:] != cell[:-1])])
+    # Blocks of a cell meet in it; rows of one block only in that of the block itself.
+    crossed = (cell // k) != (cell % k)
+    probe = probe_length(size)
+    set_ = np.repeat(np.arange(len(size)), probe)
+    pos = np.arange(len(set_)) - np.repeat(np.cumsum(probe) - probe, probe)
+    _, token = np.unique(code[first[set_] + pos], return_inverse=True)
+    group = own[set_].astype(np.int64) << 32 | token
+    order = np.lexsort((size[set_], group))
+    set_, pos, group = set_[order], pos[order], group[order]
+    group = np.cumsum(np.r_[False, group[1:] != group[:-1]]) if len(group) else group
+    links = np.zeros(len(size), np.int64)
+    earlier = np.full(len(size), np.iinfo(np.int64).max)
+    true_u, true_v = [], []
+    found = [np.zeros(0, np.int64)]
+    for x, y in met(Rows(group, size[set_], pos)):
+        u, v = np.minimum(set_[x], set_[y]), np.maximum(set_[x], set_[y])
+        fine = ~far(size[u] + size[v]) & (~crossed[u] | (block[u] != block[v]))
+        found.append(np.unique(u[fine] * len(size) + v[fine]))
+    pairs = np.unique(np.concatenate(found))
+    for a in range(0, len(pairs), SPAN):
+        u, v = np.divmod(pairs[a : a + SPAN], len(size))
+        fine = shared(code, first, size, u, v) >= needed(size[u] + size[v])
+        u, v = u[fine], v[fine]
+        links += np.bincount(u, n[v], minlength=len(size)).astype(np.int64) + np.bincount(v, n[u], minlength=len(size)).astype(np.int64)
+        # Rows are in order of rank within a cell.
+        np.minimum.at(earlier, v, rank[u])
+        if len(u):
+            kept = forest(u, v)
+            true_u.append(rank[v[kept]])
+            true_v.append(rank[u[kept]])
+    some = links > 0
+    late = earlier < np.iinfo(np.int64).max
+    yield pa.RecordBatch.from_arrays([pa.array(rank[some]), pa.array(earlier[some], mask=~late[some]), pa.array(links[some])], names=["u", "v", "links"])
+    if true_u:
+        u, v = np.concatenate(true_u), np.concatenate(true_v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), np.int64))], names=["u", "v", "links"])
+
+
+def listed(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same of pairs u < v of ranks, by their words."""
+    x, y = (held.select(F.col("rank").alias(r), F.col("n").alias(n), F.col("words").alias(w)) for r, n, w in (("u", "m", "a"), ("v", "n", "b")))
 
-    Similar lines come in groups whose pairs grow with the square of their size, so pairs are not listed. First
-    each set is compared with one or two others, which settles most sets of large groups. The join is for the
-    sets that are open then. Of a set's candidates one is compared first; for the sets that it does not settle, all others are.
-    """
-    once = written(sketched(each))
-    settled = checkpoint(similar(docs, each, once).groupBy("late").agg(F.min("early").alias("early")))
-    discard(once)
-    # What the join needs to know of a set.
-    rows = each.drop("least", "bits").join(settled.select(F.col("late").alias("set"), F.lit(False).alias("open")), "set", "left").fillna({"open": True})
-    rows = _rare(rows)
-    pairs = written(_earlier(rows.alias("x").join(rows.alias("y"), _near())).distinct())
-    release(docs.sparkSession)
-    first = checkpoint(pairs.groupBy("late").agg(F.min("early").alias("early")))
-    found = settled.unionByName(similar(docs, each, first))
-    rest = written(pairs.join(found.select("late"), "late", "left_anti").join(first, ["late", "early"], "left_anti"))
-    discard(pairs)
-    more = checkpoint(similar(docs, each, rest).groupBy("late").agg(F.min("early").alias("early")))
-    discard(rest)
-    return found.unionByName(more)
-
-
-def links(docs: DataFrame, each: DataFrame) -> DataFrame:
-    """late and early of all pairs of sets whose Jaccard similarity is 0.8 or more."""
-    rows = _rare(each.drop("least", "bits").withColumn("open", F.lit(True)))
-    pairs = written(_earlier(rows.alias("x").join(rows.alias("y"), _near())).distinct())
-    release(docs.sparkSession)
-    found = similar(docs, each, pairs)
-    discard(pairs)
-    return found
-
-
-def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, raw, line and set of every line with a word, and a row for each set with the place of its first line."""
-    lines = written(sets(docs, rarity(docs)))
-    each = written(lines.groupBy("set").agg(F.min(F.struct(*place_fields(), "raw")).alias("first"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in ("bits", *WIDE)], F.first("rare").alias("rare"), F.first("least").alias("least")).select("set", "size", "bits", *WIDE, "rare", "least", "first.*"))
-    # What only the sets need goes.
-    slim = written(lines.select("doc_id", "raw", "line", "set"))
-    discard(lines)
-    return slim, each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _flat(batch.column(2)), _flat(batch.column(3))
+            pair = np.arange(batch.num_rows)
+            size = np.r_[a[2], b[2]]
+            both = shared(np.r_[a[0], b[0]], np.r_[a[1], b[1] + len(a[0])], size, pair, pair + len(pair))
+            yield batch.select(["u", "v", "m", "n"]).filter(pa.array(both >= needed(a[2] + b[2])))
+
+    fine = by_text(pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b", "m", "n")).mapInArrow(run, "u long, v long, m long, n long")
+    return fine.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("m").alias("links")), F.struct("u", F.lit(None).cast("long").alias("v"), F.col("n").alias("links")))).alias("r")).select("r.*")
 
 
-def decide(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, line, removed and near of every line with a word. raw is xxhash64 of the text; near: a similar earlier line has other words."""
-    lines, each = indexed(docs)
-    found = matches(docs, each)
-    release(docs.sparkSession)
-    return _judged(lines, each, found)
+def links(docs: DataFrame, each: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The sets that may have links, with their rank, and u, v and links as within() gives them, of all links."""
+    found = written(candidates(each))
+    clusters = components(found.filter("NOT listed").select("u", "v")).select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+    pairs = found.filter("listed").select("u", "v").distinct()
+    wanted = clusters.unionByName(pairs.select(F.col("u").alias("id"), F.lit(None).cast("long").alias("cluster"))).unionByName(pairs.select(F.col("v").alias("id"), F.lit(None).cast("long").alias("cluster")))
+    wanted = wanted.groupBy("id").agg(F.max("cluster").alias("cluster")).join(each.drop("map", "rare"), "id")
+    ranked = written(wanted.orderBy(*PLACE, "hi", "lo").withColumn("rank", F.monotonically_increasing_id()))
+    # Rows of equal doc_id and text give the same line.
+    held = written(spelled(docs, ranked, steps).select("rank", "n", "cluster", "words").dropDuplicates(["rank"]))
+    names = ranked.select("id", "rank")
+    pairs = pairs.join(names.withColumnsRenamed({"id": "u", "rank": "r"}), "u").join(names.withColumnsRenamed({"id": "v", "rank": "s"}), "v").select(F.least("r", "s").alias("u"), F.greatest("r", "s").alias("v"))
+    out = written(within(held.filter("cluster IS NOT NULL")).unionByName(listed(held, pairs)))
+    discard(found, held)
+    return ranked, out
 
 
-def _judged(lines: DataFrame, each: DataFrame, found: DataFrame) -> DataFrame:
-    """decide()'s columns and set. found: late of the sets that have a link to an earlier one, once each."""
-    state = each.select("set", F.struct(*PLACE, "raw").alias("first")).join(found.select(F.col("late").alias("set"), F.lit(True).alias("near")), "set", "left")
-    joined = lines.select("doc_id", "raw", "line", "set").join(state, "set")
-    near = F.coalesce("near", F.lit(False))
-    return joined.select("doc_id", "raw", "line", "set", (near | (F.struct(*place_fields(), "raw") != F.col("first"))).alias("removed"), near.alias("near"))
+# --- documents
 
 
-def place_fields() -> list:
-    return [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("line")]
+@dataclass
+class Found:
+    """What is known of lines and sets; tables that free() deletes."""
+
+    lines: DataFrame
+    each: DataFrame
+    ranked: DataFrame
+    links: DataFrame
+
+    def free(self) -> None:
+        discard(self.lines, self.each, self.ranked, self.links)
+
+
+def joined(docs: DataFrame) -> Found:
+    steps = rarity(docs)
+    lines, each = indexed(docs, steps)
+    return Found(lines, each, *links(docs, each, steps))
+
+
+def decide(found: Found) -> DataFrame:
+    """Lines whose set stands in several lines or has links: doc, doc_id, raw, line, links, removed, earlier (a document with an earlier line) and hub (the doc of its set's first line)."""
+    state = found.links.groupBy(F.col("u").alias("rank")).agg(F.min("v").alias("v"), F.sum("links").alias("links"))
+    partner = found.ranked.select(F.col("rank").alias("v"), F.col("doc_id").alias("partner"))
+    state = found.ranked.select("id", "rank").join(state, "rank").join(partner, "v", "left").withColumn("late", F.col("v").isNotNull()).drop("v", "rank")
+    known = found.each.select("id", "hi", "lo", "n", F.struct(*PLACE, "doc").alias("first")).join(state, "id", "left").filter("n > 1 OR late IS NOT NULL")
+    rows = found.lines.select("doc", "doc_id", "raw", "line", "hi", "lo").join(known, ["hi", "lo"])
+    repeat = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
+    late = F.coalesce("late", F.lit(False))
+    earlier = F.when(repeat, F.col("first.doc_id")).otherwise(F.col("partner"))
+    return rows.select("doc", "doc_id", "raw", "line", F.coalesce("links", F.lit(0)).alias("links"), (repeat | late).alias("removed"), earlier.alias("earlier"), F.col("first.doc").alias("hub"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (with a word), n_near (linked to an earlier line of other words) and removed (line numbers from 0, in order) of each document with such a line."""
-    return decide(docs).groupBy("doc_id", "raw").agg(
-        F.countDistinct("line").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"),
-        F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).cast("long").alias("n_near"),
-    )
+    """doc_id, raw (xxhash64 of the text) and removed (line numbers from 0, in order) of each document that loses a line."""
+    found = joined(docs)
+    out = written(decide(found).filter("removed").groupBy("doc_id", "raw").agg(F.array_sort(F.collect_list("line")).alias("removed")))
+    found.free()
+    return out
 
 
-def _owner(doc_id: str = "doc_id", raw: str = "raw") -> Column:
-    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(raw).alias("raw"))
+def classes(found: Found, rows: DataFrame) -> DataFrame:
+    """doc and class: documents that lines of equal or linked sets join, and the least of them. rows: as decide() gives them."""
+    # A set's documents are joined to that of its first line, and linked sets by those of theirs.
+    first = found.ranked.select("rank", "doc")
+    across = found.links.filter("v IS NOT NULL").select("u", "v")
+    across = across.join(first.withColumnsRenamed({"rank": "u", "doc": "a"}), "u").join(first.withColumnsRenamed({"rank": "v", "doc": "b"}), "v").select("a", "b")
+    edges = rows.filter("doc != hub").select("doc", "hub").unionByName(across.select(F.col("a").alias("doc"), F.col("b").alias("hub"))).filter("doc != hub").distinct()
+    return components(edges.toDF("u", "v")).select(F.col("u").alias("doc"), F.col("v").alias("class"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, n_lines, removed, n_links (of its lines to lines of other words) and class_id of each document that has a line with a word."""
-    lines, each = indexed(docs)
-    pairs = links(docs, each)
-    release(docs.sparkSession)
-    lines = written(_judged(lines, each, pairs.select("late").distinct()).dropDuplicates(["doc_id", "raw", "line"]))
-    discard(each)
-    often = checkpoint(lines.groupBy("set").agg(F.count("*").alias("n"), F.min(_owner()).alias("first")))
-    ends = pairs.unionByName(pairs.select(F.col("early").alias("late"), F.col("late").alias("early")))
-    degrees = checkpoint(ends.join(often.select(F.col("set").alias("early"), "n"), "early").groupBy(F.col("late").alias("set")).agg(F.sum("n").alias("degree")))
-    found = lines.join(degrees, "set", "left").groupBy("doc_id", "raw").agg(
-        F.count("*").alias("n_lines"),
-        F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"),
-        F.coalesce(F.sum("degree"), F.lit(0)).alias("n_links"),
-    )
-    # A class of sets joins its documents to the first of them; what those links join are the classes of documents.
-    named = often.join(components(pairs.select(F.col("late").alias("u"), F.col("early").alias("v"))).select(F.col("u").alias("set"), F.col("v").alias("own")), "set", "left")
-    named = checkpoint(named.select("set", "first", F.coalesce("own", "set").alias("own")))
-    hubs = named.groupBy("own").agg(F.min("first").alias("v"))
-    edges = lines.select("set", _owner().alias("u")).join(named.select("set", "own"), "set").join(hubs, "own").select("u", "v").distinct()
-    classes = components(edges).select(F.col("u").alias("_u"), F.col("v.doc_id").alias("_class"))
-    joined = found.join(classes, _owner() == F.col("_u"), "left")
-    return joined.select("doc_id", "raw", "n_lines", "removed", "n_links", F.when(F.col("_u").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"))
+    """doc_id, raw, n_lines, removed, earlier, n_links and class_id of each document that has a line with a word."""
+    found = joined(docs)
+    rows = written(decide(found))
+    owners = found.lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
+    owners = found.lines.filter("top").select("doc", "doc_id", "raw").join(owners, "doc")
+    gone = rows.groupBy("doc").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "earlier")))).alias("gone"))
+    own = classes(found, rows)
+    least = written(own.join(found.lines.filter("top").select("doc", "doc_id"), "doc").groupBy("class").agg(F.min("doc_id").alias("class_id")))
+    out = owners.join(gone, "doc", "left").join(own, "doc", "left").join(least, "class", "left")
+    class_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    out = written(out.select("doc_id", "raw", "n_lines", F.col("gone.line").alias("removed"), F.col("gone.earlier").alias("earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id")))
+    found.free()
+    discard(rows, least)
+    return out
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with late lines taken out of text, and n_chars, if there is one, counted anew."""
-    found = decisions(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_i"), F.col("raw").alias("_r"), F.col("removed").alias("_gone"))
-    joined = docs.withColumn("_raw", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_raw") == F.col("_r")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    gone = decisions(docs).select(F.struct("*").alias("g"))
+    # A row's columns lie in a struct, so that their names do not matter.
+    rows = docs.select(F.struct("*").alias("r"), F.xxhash64("text").alias("raw"))
+    both = rows.join(gone, F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("raw") == F.col("g.raw")), "left")
+    left = F.array_join(F.filter(F.split("r.text", "\n"), lambda _, i: ~F.array_contains("g.removed", i)), "\n")
+    text = F.when(F.col("g").isNull(), F.col("r.text")).otherwise(left)
 
+    def field(name: str) -> Column:
+        old = F.col("r").getField(name)
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(F.col("g").isNull(), old).otherwise(F.length(text).cast(docs.schema[name].dataType)).alias(name)
+        return old.alias(name)
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return report(docs)
+    return both.select(*(field(c) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, class_id and removed of every row of docs."""
-    found = linked(docs).withColumnsRenamed({"doc_id": "_i", "raw": "_r"})
-    joined = docs.select("doc_id", F.xxhash64("text").alias("raw")).join(found, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("raw") == F.col("_r")), "left")
-    return joined.select(
+    """doc_id, n_lines, n_removed, n_links, class_id, removed and earlier of every row of docs."""
+    found = linked(docs).select(F.struct("*").alias("f"))
+    both = docs.select("doc_id", F.xxhash64("text").alias("raw")).join(found, F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("raw") == F.col("f.raw")), "left")
+    removed = F.coalesce("f.removed", F.array().cast("array<int>"))
+    return both.select(
         "doc_id",
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("_r").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        "removed",
+        F.coalesce("f.n_lines", F.lit(0)).alias("n_lines"),
+        F.size(removed).cast("long").alias("n_removed"),
+        F.coalesce("f.n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("f.class_id")).alias("class_id"),
+        removed.alias("removed"),
+        F.coalesce("f.earlier", F.array().cast(found.schema["f"].dataType["earlier"].dataType)).alias("earlier"),
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op2_line_dedup": op2_line_dedup}
 ORACLES: dict[str, str] = {}

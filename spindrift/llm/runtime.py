@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +31,13 @@ def by_text(df: DataFrame) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. Only a local session that names none, as in tests, gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -45,11 +47,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same by a Parquet table, for rows that it stores in less space. It is deleted when the program ends."""
+    """The same by a Parquet table, for rows that it stores in less space. It is deleted when the program ends.
+
+    The shuffle files of the query that makes it go at once, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -57,18 +71,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that are no longer read, and shuffle files of stages whose results are stored."""
+    """Deletes written tables that are no longer read."""
     for df in tables:
         _delete(df.sparkSession, df._written_to)
-    if tables:
-        release(tables[0].sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of stages whose results are stored: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # Spark's cleaner runs beside
 
 
 def _delete(spark: SparkSession, path: str) -> None:

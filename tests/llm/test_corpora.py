@@ -106,36 +106,103 @@ def test_lines_match_a_plain_version(spark):
     assert {i: r for i, r in found.items() if r} == dict(wanted)
 
 
-def test_all_links_of_lines_are_counted(spark):
-    draw = random.Random(7)
-    words = [f"w{i}" for i in range(300)]
-    rows = [(i, "\n".join(variants(draw, words, draw.randint(0, 3)))) for i in range(100)]
-    line = [f"v{i}" for i in range(20)]
-    rows += [(300 + i, " ".join(line[:i] + line[i + 1 :])) for i in range(6)] + [(400, " ".join(line)), (401, "no other line"), (402, None), (None, " ".join(line)), rows[5]]
-    lines = [(i, k, frozenset(x.split())) for i, x in sorted(set(rows), key=str) for k, x in enumerate((x or "").split("\n")) if x.split()]
-    wanted, parent = defaultdict(int), {i: i for i, _ in rows}
+def plain_lines(rows):
+    """n_links, class id and removed lines of each id, by comparing all lines."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = []
+    for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        for k, line in enumerate((text or "").split("\n")):
+            s = frozenset(x for x in re.split(r"[\x20\x09-\x0D]+", line.translate(lower)) if x)
+            if s:
+                lines.append((i, k, s))
+    n_links, removed, parent = defaultdict(int), defaultdict(list), {i: i for i, _ in rows}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, _, s in lines:
-        for j, _, x in lines:
+    for a, (i, k, s) in enumerate(lines):
+        late = False
+        for b, (j, _, x) in enumerate(lines):
             if 9 * len(s & x) >= 4 * (len(s) + len(x)):
-                wanted[i] += s != x
+                n_links[i] += s != x
+                late |= b < a
                 parent[root(i)] = root(j)
-    least = defaultdict(list)
+        if late:
+            removed[i].append(k)
+    groups = defaultdict(list)
     for i in parent:
-        least[root(i)].append(i)
-    classes = {i: min((x for x in g if x is not None), default=None) for g in least.values() for i in g}
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        groups[root(i)].append(i)
+    classes = {i: min((x for x in g if x is not None), default=None) for g in groups.values() for i in g}
+    return n_links, classes, removed
+
+
+def line_rows(seed, n=100):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(300)] + ["The", "THE", "the", "é"]
+    rows = [(i, "\n".join(variants(draw, words, draw.randint(0, 3)))) for i in range(n)]
+    line = [f"v{i}" for i in range(20)]
+    rows += [(300 + i, " ".join(line[:i] + line[i + 1 :])) for i in range(6)] + [(400, " ".join(line)), (401, "no other line"), (402, None), (403, ""), (404, "\n \n"), (None, " ".join(line)), rows[5]]
+    return rows
+
+
+def held_against_plain(docs, rows):
+    n_links, classes, removed = plain_lines(rows)
     found = linejoin.report(docs).collect()
-    assert len(found) == len(rows) and wanted[300] == 7 and wanted[400] == 6
-    assert {r["doc_id"]: r["n_links"] for r in found} == {i: wanted[i] for i, _ in rows}
+    assert len(found) == len(rows)
+    assert {r["doc_id"]: r["n_links"] for r in found} == {i: n_links[i] for i, _ in rows}
     assert {r["doc_id"]: r["class_id"] for r in found} == classes
+    assert {r["doc_id"]: r["removed"] for r in found if r["n_removed"]} == removed
+    assert all(len(r["earlier"]) == len(r["removed"]) for r in found)
+    assert all(x is None or r["doc_id"] is None or x <= r["doc_id"] for r in found for x in r["earlier"])
+    return n_links
+
+
+def test_all_links_of_lines_are_counted(spark):
+    rows = line_rows(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n_links = held_against_plain(docs, rows)
+    assert n_links[300] == 7 and n_links[400] == 6
     removed = {r["doc_id"]: r["removed"] for r in linejoin.decisions(docs).collect()}
-    assert {r["doc_id"]: r["removed"] for r in found if r["n_lines"]} == removed
+    assert removed == plain_lines(rows)[2]
+
+
+def test_blocks_of_hot_words_and_large_clusters_lose_no_link(spark, monkeypatch):
+    for name, value in (("HOT", 5), ("SORTED", 64), ("BLOCK", 3), ("LARGEST", 7), ("SPAN", 50), ("BROADCAST_ROWS", 3)):
+        monkeypatch.setattr(linejoin, name, value)
+    rows = line_rows(8, 60)
+    held_against_plain(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
+def test_pairs_that_maps_cannot_tell_apart_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(linejoin, "REACH", 0.02)
+    monkeypatch.setattr(linejoin, "MOST", 128)
+    rows = line_rows(9, 60)
+    held_against_plain(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
+def test_query_of_lines(spark, tmp_path):
+    """The query itself, with null ids and columns whose names clash."""
+    rows = line_rows(10, 40)
+    names = "doc_id long, text string, r long, g string, raw int, w string, gone string, line string, id long, `a.b` string"
+    wide = [(i, t, 1, "x", 2, "y", "z", "l", 3, "d") for i, t in rows]
+    spark.createDataFrame(wide, names).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_links"] for r in linejoin.op2_line_dedup(spark, str(tmp_path)).collect()}
+    n_links = plain_lines(rows)[0]
+    assert found == {i: n_links[i] for i, _ in rows}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = linejoin.remove(docs)
+    assert out.columns == docs.columns and out.count() == len(rows) and {r["a.b"] for r in out.collect()} == {"d"}
+
+
+def test_very_long_lines_keep_their_link(spark):
+    """Two lines of 360,000 words, of a similarity of exactly 0.8, and one a word short of it."""
+    both = [f"w{i}" for i in range(320_000)]
+    own = [[f"{c}{i}" for i in range(40_000)] for c in "ab"]
+    rows = [(1, " ".join(both + own[0])), (2, " ".join(both + own[1])), (3, " ".join(both[1:] + ["x"] + [f"c{i}" for i in range(40_000)]))]
+    found = {r["doc_id"]: r["n_links"] for r in linejoin.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 0}
 
 
 def test_removing_lines(spark, odd, none):
