@@ -30,8 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SOLID = np.ones(256, bool)
+SOLID[[0x20, *range(0x09, 0x0E)]] = False
 VALUE = _mixed(256, 7)
 #: The same for A to Z as for a to z.
 FOLDED = VALUE.copy()
@@ -99,15 +99,20 @@ def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 20) -> Iterator
 def words(raw: np.ndarray, texts: np.ndarray, fold: bool = False) -> Words:
     """Splits at ASCII white space and at the bounds of texts; fold: A to Z hash as a to z."""
     n = len(raw)
-    solid = ~SPACE[raw]
-    first = np.zeros(n + 1, bool)
-    first[texts] = True
-    before = np.r_[False, solid]
-    start = np.flatnonzero(solid & (~before[:-1] | first[:-1]))
-    end = np.flatnonzero(solid & ~np.r_[solid[1:], False] | solid & first[1:]) + 1
+    solid = np.zeros(n + 2, bool)
+    np.take(SOLID, raw, out=solid[1:-1])
+    # A word starts and ends where white space and other bytes change places, or where two texts meet.
+    bounds = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = bounds[0::2], bounds[1::2]
+    met = texts[1:-1]
+    met = met[solid[met] & solid[met + 1] & np.r_[True, met[1:] != met[:-1]]] if len(met) else met
+    if len(met):
+        start, end = np.sort(np.r_[start, met]), np.sort(np.r_[end, met])
     power, inverse = powers(n + 1)
-    total = np.cumsum((FOLDED if fold else VALUE)[raw] * power[:n], dtype=np.uint64)
-    total = np.r_[np.uint64(0), total]
+    total = np.zeros(n + 1, np.uint64)
+    value = (FOLDED if fold else VALUE)[raw]
+    value *= power[:n]
+    np.cumsum(value, out=total[1:])
     hashes = mix((total[end] - total[start]) * inverse[start])
     owner = np.repeat(np.arange(len(texts) - 1), np.diff(np.searchsorted(start, texts)))
     return Words(raw, texts, start, end, owner, hashes)

@@ -164,7 +164,7 @@ def maps(c: Codes, mixed: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
-    """A row for each line with a word: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (its rarest words; none below LEAST)."""
+    """A row for each line with a word: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (codes of its rarest words; none below LEAST)."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +195,14 @@ def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
                         pa.array(lo.view(np.int64), pa.int64()),
                         pa.array(c.size, pa.int32()),
                         maps(c, mixed),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(c.code[taken].view(np.int64), pa.int64())),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.r_[0, np.cumsum(n)] * 8).astype(np.int32)), pa.py_buffer(c.code[taken].tobytes())]),
                     ],
                     names=["doc", "doc_id", "raw", "top", "line", "hi", "lo", "size", "map", "rare"],
                 )
             row += batch.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc long, doc_id {kind}, raw long, top boolean, line int, hi long, lo long, size int, map binary, rare array<long>"
+    kinds = f"doc long, doc_id {kind}, raw long, top boolean, line int, hi long, lo long, size int, map binary, rare binary"
     return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(run, kinds)
 
 
@@ -223,10 +223,10 @@ def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame]:
     held = lines
     # Of rows of equal doc_id and text one stays.
     tops = lines.filter("top").select("doc", "doc_id", "raw")
-    firsts = tops.groupBy("doc_id", "raw").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    often = written(tops.alias("t").join(firsts.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.raw") == F.col("f.raw"))).filter("doc != least").select("doc"))
+    often = written(tops.groupBy("doc_id", "raw").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     if not often.isEmpty():
-        held = lines.join(often, "doc", "left_anti")
+        further = tops.alias("t").join(often.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.raw") == F.col("f.raw"))).filter("doc != least").select("doc")
+        held = lines.join(further, "doc", "left_anti")
     first = F.min(F.struct(*_place(), "doc")).alias("first")
     each = held.groupBy("hi", "lo").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "map", "rare")))
     each = written(each.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "size", "map", "rare", "n", "first.*"))
@@ -311,7 +311,7 @@ def candidates(each: DataFrame) -> DataFrame:
     """u, v and listed: a spanning forest of the candidates of tasks, and all candidates of very long lines (listed)."""
 
     def buckets(rare: pa.Array) -> Iterator[np.ndarray]:
-        yield rare.flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1)
+        yield (_span(rare)[1] % np.uint64(BUCKETS)).astype(np.int64)
 
     counts = histogram(each.select("rare"), buckets)
     total = int(counts.sum())
@@ -325,7 +325,7 @@ def candidates(each: DataFrame) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             held.append(batch)
-            n += len(batch.column(3).flatten())
+            n += batch.column(3).nbytes // 8
             if n >= SPAN:
                 yield _packed(pa.Table.from_batches(held), sent.value, parts)
                 held, n = [], 0
@@ -344,17 +344,18 @@ def candidates(each: DataFrame) -> DataFrame:
         if held:
             yield from _met(held)
 
-    rows = each.filter(F.size("rare") > 0).select("id", "size", "map", "rare").mapInArrow(deal, "part int, body binary, maps binary")
+    rows = each.filter(F.octet_length("rare") > 0).select("id", "size", "map", "rare").mapInArrow(deal, "part int, body binary, maps binary")
     return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, listed boolean")
 
 
 def _packed(sets: pa.Table, blocks: np.ndarray, parts: int) -> pa.RecordBatch:
     """part, body (rows of rare words) and maps (their sets' maps) of a part of the words each."""
     ids, size, drawn, rare = (sets[c].combine_chunks() for c in ("id", "size", "map", "rare"))
-    n = np.diff(rare.offsets.to_numpy())
+    at, token = _span(rare)
+    n = np.diff(at)
     own = np.repeat(np.arange(len(n)), n)
     rows = np.empty(len(own), POSTING)
-    rows["token"] = rare.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    rows["token"] = token
     rows["id"], rows["size"] = ids.to_numpy()[own], size.to_numpy()[own]
     rows["pos"] = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
     k = blocks[(rows["token"] % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
@@ -366,7 +367,8 @@ def _packed(sets: pa.Table, blocks: np.ndarray, parts: int) -> pa.RecordBatch:
         cell = np.minimum(block, other) * k + np.maximum(block, other)
         rows["token"] = np.where(k > 1, mix(rows["token"] + mix(cell.astype(np.uint64))), rows["token"])
     part = (mix(rows["token"]) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    # Short numbers are sorted in linear time.
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
     rows, own, part = rows[order], own[order], part[order]
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     at, data = _span(drawn)
@@ -464,9 +466,11 @@ def spelled(docs: DataFrame, wanted: DataFrame, steps: np.ndarray) -> DataFrame:
     """wanted with words (codes as bytes, in order). wanted: none, doc_id, raw and line name a line."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
     asked = wanted.select(F.struct("*").alias("w"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
     if wanted.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        docs = docs.join(F.broadcast(wanted.select(F.col("raw").alias("asked")).distinct()), F.col("raw") == F.col("asked"), "left_semi")
+    lines = docs.select("doc_id", "raw", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     found = lines.join(asked, F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("raw") == F.col("w.raw")) & (F.col("line") == F.col("w.line"))).select("w", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

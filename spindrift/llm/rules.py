@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flatwords import MULTIPLIER, NEWLINE, SPACE, VALUE, Words, chunks, mix, powers, words
+from .flatwords import MULTIPLIER, NEWLINE, SOLID, VALUE, Words, chunks, mix, powers, words
 from .runtime import by_text, checkpoint, table
 
 WINDOW = 8
@@ -83,7 +83,7 @@ def measure(raw: np.ndarray, texts: np.ndarray) -> dict[str, np.ndarray]:
     n = len(texts) - 1
     w = words(raw, texts)
     out = {"n_words": np.bincount(w.text, minlength=n)}
-    solid = ~SPACE[raw]
+    solid = SOLID[raw]
     out["word_chars"] = _per_text(solid & (raw & 0xC0 != 0x80), texts)
     out["n_symbols"] = _per_text(SYMBOL[raw], texts)
     out["n_upper"] = _per_text(UPPER[raw], texts)
