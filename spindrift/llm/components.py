@@ -14,22 +14,23 @@ from pyspark.sql import functions as F
 from .runtime import checkpoint
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Which of the edges u, v between any numbers form a spanning forest of them."""
-    nodes, place = np.unique(np.r_[u, v], return_inverse=True)
-    a, b = place[: len(u)], place[len(u) :]
-    root = np.arange(len(nodes))
-    live, kept = np.arange(len(u)), []
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges u, v between nodes below n form a spanning forest of them."""
+    root, chosen = np.arange(n), np.empty(n, np.int64)
+    live, kept = np.arange(len(u)), [np.zeros(0, np.int64)]
     while True:
-        x, y = root[a[live]], root[b[live]]
+        x, y = root[u[live]], root[v[live]]
         apart = x != y
         live, x, y = live[apart], x[apart], y[apart]
         if not len(live):
-            return np.concatenate(kept) if kept else live
+            return np.concatenate(kept)
         # Each root is hung below one lower root, so no edges close a circle.
-        high, first = np.unique(np.maximum(x, y), return_index=True)
-        kept.append(live[first])
-        root[high] = np.minimum(x, y)[first]
+        chosen.fill(-1)
+        chosen[np.maximum(x, y)] = np.arange(len(live))
+        high = np.flatnonzero(chosen >= 0)
+        taken = chosen[high]
+        kept.append(live[taken])
+        root[high] = np.minimum(x, y)[taken]
         while True:
             further = root[root]
             if (further == root).all():

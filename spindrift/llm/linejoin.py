@@ -30,7 +30,7 @@ comes last; very long lines are treated like others; columns besides doc_id and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,10 +41,9 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .flatwords import Words, chunks, mix, words
+from .histogram import BUCKETS, histogram
 from .runtime import by_text, discard, table, written
 
-#: The histograms: buckets, and buckets of a slice.
-BUCKETS, SLICE = 1 << 20, 1 << 12
 #: Bits of a word's code: step of rarity, hash. Codes in numeric order are words in order of rarity.
 RARITY, HASH = 8, 56
 #: Sets of fewer words than this are similar only if equal.
@@ -63,44 +62,6 @@ SPAN = 1 << 20
 BROADCAST_ROWS = 200_000
 
 
-def histogram(df: DataFrame, buckets: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
-    """How often each bucket occurs in df's only column. buckets: numbers below BUCKETS of a batch, in parts.
-
-    Each task counts in one array; arrays go in slices to the tasks that sum them. BUCKETS numbers reach the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        held, n = [], 0
-        for batch in batches:
-            for part in buckets(batch.column(0)):
-                held.append(part.astype(np.int32))
-                n += len(part)
-                if n > 2 * BUCKETS:
-                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, n = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        yield _slices(dict(enumerate(counts.reshape(-1, SLICE))))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(cells, "<i8")
-        yield _slices(sums)
-
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in df.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
-    return counts
-
-
-def _slices(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    some = [i for i, c in counts.items() if c.any()]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["slice", "counts"])
-
-
 def rarity(docs: DataFrame) -> np.ndarray:
     """Step of rarity of each bucket, from a count of all words of the corpus."""
     counts = histogram(by_text(docs.select("text")), lambda texts: (words(raw, at, True).hash % np.uint64(BUCKETS) for _, _, raw, at in chunks(texts)))
@@ -397,27 +358,21 @@ def _met(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         token = rows["token"][order]
     rows, size, at = rows[order], size[order], at[order]
     group = np.cumsum(np.r_[False, token[1:] != token[:-1]])
-    ids, drawn = rows["id"], Maps(size, at, data)
-    near_u, near_v, far_u, far_v = [], [], [], []
+    ids, own = np.unique(rows["id"], return_inverse=True)
+    drawn = Maps(size, at, data)
+    # Edges of the forest so far and listed pairs, by numbers of sets.
+    near, long_pairs = np.zeros((2, 0), np.int64), [np.zeros(0, np.int64)]
     for x, y in met(Rows(group, size, rows["pos"].astype(np.int64))):
         total = size[x] + size[y]
         fine = drawn.apart(x, y) <= total - 2 * needed(total)
-        long = far(total)
-        u, v = ids[x[fine & ~long]], ids[y[fine & ~long]]
-        kept = forest(u, v)
-        near_u.append(u[kept])
-        near_v.append(v[kept])
-        far_u.append(ids[x[fine & long]])
-        far_v.append(ids[y[fine & long]])
-    for us, vs, listed in ((near_u, near_v, False), (far_u, far_v, True)):
-        u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
-        if listed:
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            u, v = pairs[:, 0], pairs[:, 1]
-        else:
-            kept = forest(u, v)
-            u, v = u[kept], v[kept]
-        if len(u):
+        x, y, long = own[x[fine]], own[y[fine]], far(total[fine])
+        near = np.concatenate([near, [x[~long], y[~long]]], 1)
+        near = near[:, forest(near[0], near[1], len(ids))]
+        long_pairs.append(np.unique(np.minimum(x[long], y[long]) * len(ids) + np.maximum(x[long], y[long])))
+    pairs = np.array(np.divmod(np.unique(np.concatenate(long_pairs)), len(ids)))
+    for (x, y), listed in ((near, False), (pairs, True)):
+        if len(x):
+            u, v = ids[x], ids[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), listed))], names=["u", "v", "listed"])
 
 
@@ -547,7 +502,7 @@ def _linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         # Rows are in order of rank within a cell.
         np.minimum.at(earlier, v, rank[u])
         if len(u):
-            kept = forest(u, v)
+            kept = forest(u, v, len(size))
             true_u.append(rank[v[kept]])
             true_v.append(rank[u[kept]])
     some = links > 0

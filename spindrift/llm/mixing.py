@@ -69,10 +69,11 @@ def _size_class(size: Column) -> Column:
     return F.length(F.bin(size))
 
 
-def copies(sizes: DataFrame) -> DataFrame:
-    """From rows of key columns, source and size: the same rows with source_size, target and n_copies.
+def copies(sizes: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """From rows of doc_id, source and size: the same rows with source_size, target and n_copies.
 
-    sizes must be cheap to read again (a checkpoint).
+    sizes must be cheap to read again (a checkpoint). rows: the same rows with further columns, tie among them (which orders rows of
+    equal doc_id and size), to be returned instead; of them only those at a source's cut are shuffled.
     """
     spark = sizes.sparkSession
     classes = sizes.groupBy("source", _size_class(F.col("size")).alias("size_class")).agg(F.sum("size").alias("class_size"))
@@ -96,13 +97,17 @@ def copies(sizes: DataFrame) -> DataFrame:
         """Broadcast if it is small (a row for each source and class); else joined by a shuffle."""
         return F.broadcast(df) if df.count() <= 50_000 else df
 
-    drawn = sizes.withColumn("_c", _size_class(F.col("size"))).alias("d")
-    drawn = drawn.join(small(rated).alias("r"), F.col("d.source").eqNullSafe(F.col("_s")) & (F.col("d._c") == F.col("r._c")), "left")
-    drawn = drawn.select("d.*", F.coalesce("_whole", F.lit(0)).alias("_whole"), F.coalesce("_p", F.lit(0.0)).alias("_p")).drop("_c")
-    u = uniform(F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    drawn = drawn.withColumn("_rank", F.when(F.col("_p") > 0, odds / (1 + odds))).withColumn("_bin", F.floor(F.col("_rank") * BINS).cast("int"))
+    rated = small(rated)
 
+    def ranked(df: DataFrame) -> DataFrame:
+        drawn = df.withColumn("_c", _size_class(F.col("size"))).alias("d")
+        drawn = drawn.join(rated.alias("r"), F.col("d.source").eqNullSafe(F.col("_s")) & (F.col("d._c") == F.col("r._c")), "left")
+        drawn = drawn.select("d.*", F.coalesce("_whole", F.lit(0)).alias("_whole"), F.coalesce("_p", F.lit(0.0)).alias("_p")).drop("_c")
+        u = uniform(F.col("doc_id"))
+        odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+        return drawn.withColumn("_rank", F.when(F.col("_p") > 0, odds / (1 + odds))).withColumn("_bin", F.floor(F.col("_rank") * BINS).cast("int"))
+
+    drawn = ranked(sizes)
     sums = drawn.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.sum(F.col("size") * F.col("_whole")).alias("_sure"))
     sums = checkpoint(sums.withColumn("_words", F.when(F.col("_bin").isNotNull(), F.col("_words")).otherwise(0)))
     by = Window.partitionBy("source").orderBy(F.col("_bin").asc_nulls_first())
@@ -114,11 +119,13 @@ def copies(sizes: DataFrame) -> DataFrame:
     )
     cuts = targets.join(cuts, F.col("_t").eqNullSafe(F.col("source")), "left").select("_t", "source_size", "target", "_cut")
     cuts = checkpoint(cuts)
+    drawn = drawn if rows is None else ranked(rows)
     drawn = drawn.join(small(cuts), F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
     at = F.when(F.col("_bin") == F.col("_cut._bin"), F.lit(True)).otherwise(False)
     sure = drawn.filter(~at).withColumn("_drawn", F.coalesce((F.col("_bin") < F.col("_cut._bin")) | (F.col("_cut").isNull() & F.col("_bin").isNotNull()), F.lit(False)))
-    ranked = Window.partitionBy("source", "_bin").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = drawn.filter(at).withColumn("_drawn", F.col("_cut.before") + F.sum("size").over(ranked) - F.col("size") / 2 <= F.col("_cut.need"))
+    order = ["_rank", "doc_id", "size"] + ([] if rows is None else ["tie"])
+    at_cut = Window.partitionBy("source", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = drawn.filter(at).withColumn("_drawn", F.col("_cut.before") + F.sum("size").over(at_cut) - F.col("size") / 2 <= F.col("_cut.need"))
     out = sure.unionByName(last)
     return out.withColumn("n_copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_drawn").cast("int")).otherwise(0)).drop("_whole", "_p", "_rank", "_bin", "_cut", "_drawn")
 
@@ -131,16 +138,14 @@ def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them. A document of size 0 is left out.
 
     The number of copies depends on doc_id, source and size alone, so equal rows agree on it
-    unless the source's cut falls between them.
+    unless the source's cut falls between them. Columns may have any names.
     """
-    own = docs.withColumn("_size", word_count(F.col("text")))
-    took = copies(sized(docs)).filter("n_copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("n_copies").alias("_n"), F.count("*").alias("_rows"))
-    took = took.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n", "_rows")
-    keys = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    each = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    joined = own.join(took, keys).withColumn("_k", F.row_number().over(each))
-    times = (F.floor(F.col("_n") / F.col("_rows")) + (F.col("_k") <= F.col("_n") % F.col("_rows")).cast("int")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    # A row's columns lie in a struct, so that their names do not matter.
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(text).alias("tie"), F.struct("*").alias("r"))
+    took = copies(sized(docs), rows).filter("n_copies > 0")
+    taken = took.select("r", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))))
+    return taken.select(*(F.col("r").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

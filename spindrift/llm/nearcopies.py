@@ -7,9 +7,9 @@ Jaccard similarity. Texts that agree in all hashes of a band are candidates, and
 Jaccard similarity, computed from all their shingles, is 0.8 or more. Classes are the connected
 components of links and of equal texts.
 
-Document frequencies are counted over all texts, in BUCKETS hash buckets, and damped (IDF_STRENGTH), so
-that a passage of many texts weighs less and yet copies of a text with thousands of near copies
-stay similar. For sampling, weights are rounded to a grid of factor GRID, and only the shingle of a
+Document frequencies are counted over all texts, exactly for each shingle that is frequent enough to matter (see frequencies()). The
+inverse goes with their logarithm from 1 (in all texts) to 1 + STRENGTH (rare). With a STRENGTH of 1, copies of a text with thousands of
+near copies fall below 0.8, as their few edits are rare and all that they share is not. For sampling, weights are rounded to a grid of factor GRID, and only the shingle of a
 sample is kept (0-bit sampling); links use exact weights.
 
 Large groups: equal texts are one node. In each band's bucket every node is compared with one of its
@@ -26,6 +26,7 @@ class like any other (whose id is null only if all its ids are).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,11 +36,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flatwords import chunks, mix, shingles, words
+from .histogram import BUCKETS, histogram
 from .runtime import by_text, checkpoint, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
-BUCKETS, IDF_STRENGTH, GRID = 1 << 16, 0.1, 1.1
+#: Shingles whose document frequencies are known at most; step of the grid of weights.
+LISTED, GRID = 1 << 18, 1.1
+#: What a rare shingle weighs more than one of all texts.
+STRENGTH = 0.25
 #: Texts of a chunk: their numbers take 12 of 64 bits, a shingle 52.
 TEXTS, BITS = 1 << 12, 52
 #: Nodes whose shingles may be asked for by a broadcast; beyond it by a shuffle.
@@ -60,25 +65,73 @@ def _bags(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64(2**BITS - 1), count
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each bucket, over all texts; BUCKETS rows reach the driver."""
+@dataclass(frozen=True)
+class Frequencies:
+    """Inverse document frequencies: of the listed shingles, and of all others."""
+
+    shingle: np.ndarray  # in order
+    idf: np.ndarray
+    other: float
+    listed: np.ndarray  # whether a bucket holds a listed shingle
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), self.other)
+        some = np.flatnonzero(self.listed[(shingles % np.uint64(BUCKETS)).astype(np.int64)])
+        if len(some):
+            asked = shingles[some]
+            at = np.minimum(np.searchsorted(self.shingle, asked), len(self.shingle) - 1)
+            out[some] = np.where(self.shingle[at] == asked, self.idf[at], self.other)
+        return out
+
+
+def inverse(df: np.ndarray, n: int, least: int) -> np.ndarray:
+    """From 1, of a shingle of all n documents, to 1 + STRENGTH, of one of at most least documents."""
+    if n <= least:
+        return np.full(np.shape(df), 1 + STRENGTH)
+    return 1 + STRENGTH * np.log(n / np.clip(df, least, n)) / np.log(n / least)
+
+
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Exact document frequencies of all shingles of more documents than one in LISTED of all pairs of a document and a shingle.
+
+    So at most LISTED shingles reach the driver; rarer ones weigh as much as the rarest listed.
+    """
+
+    def buckets(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, raw, at in chunks(texts, rows=TEXTS):
+            yield _bags(raw, at)[1] % np.uint64(BUCKETS)
+
+    texts = by_text(docs.select("text"))
+    counts = histogram(texts, buckets)
+    least = max(1, int(counts.sum()) // LISTED)
+    sent = docs.sparkSession.sparkContext.broadcast(counts >= least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, waiting = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, place = np.unique(np.concatenate([shingle, *held]), return_inverse=True)
+            return every, np.bincount(place, np.r_[n, np.ones(waiting, np.int64)], minlength=len(every)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            n += batch.num_rows
             for _, _, raw, at in chunks(batch.column(0), rows=TEXTS):
-                _, shingle, _ = _bags(raw, at)
-                counts += np.bincount((shingle % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[n, counts[some]], pa.int64())], names=["bucket", "n"])
-
-    rows = by_text(docs.select("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    found = dict(zip(rows["bucket"].tolist(), rows["n"].tolist(), strict=True))
-    n = found.pop(-1, 0)
-    counts = np.zeros(BUCKETS)
-    counts[list(found)] = list(found.values())
-    return 1 + IDF_STRENGTH * np.log10((1 + n) / (1 + np.minimum(counts, n)))
+                found = _bags(raw, at)[1]
+                held.append(found[sent.value[(found % np.uint64(BUCKETS)).astype(np.int64)]])
+                waiting += len(held[-1])
+                if waiting > 1 << 20:
+                    shingle, n = merged()
+                    held, waiting = [], 0
+        shingle, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    rows = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    shingle, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    listed = np.zeros(BUCKETS, bool)
+    listed[(shingle % np.uint64(BUCKETS)).astype(np.int64)] = True
+    total = docs.count()
+    return Frequencies(shingle[order], inverse(n[order], total, least), 1 + STRENGTH, listed)
 
 
 class Sampler:
@@ -126,7 +179,7 @@ class Sampler:
         return text[first], keys
 
 
-def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signed(docs: DataFrame, idf: Frequencies) -> DataFrame:
     """doc_id, node (a digest of the text), weight (total) and bands (keys, empty for a text without words) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -135,7 +188,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             for a, b, raw, at in chunks(batch.column(2), rows=TEXTS):
                 text, shingle, count = _bags(raw, at)
-                weight = count * sent.value[(shingle % np.uint64(BUCKETS)).astype(np.int64)]
+                weight = count * sent.value.of(shingle)
                 total = np.bincount(text, weight, minlength=b - a)
                 lengths, keys = np.zeros(b - a, np.int64), np.zeros(0, np.uint64)
                 if len(text):
@@ -180,18 +233,18 @@ def _counts(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, f"<u{len(packed) // n}").astype(float) if packed else np.ones(n)
 
 
-def similarity(a: bytes, m: bytes, b: bytes, n: bytes, idf: np.ndarray) -> float:
+def similarity(a: bytes, m: bytes, b: bytes, n: bytes, idf: Frequencies) -> float:
     """Weighted Jaccard similarity of two bags."""
     u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     x, y = _counts(m, len(u)), _counts(n, len(v))
-    x, y = x * idf[(u % np.uint64(BUCKETS)).astype(np.int64)], y * idf[(v % np.uint64(BUCKETS)).astype(np.int64)]
+    x, y = x * idf.of(u), y * idf.of(v)
     at = np.minimum(np.searchsorted(v, u), len(v) - 1)
     same = np.flatnonzero(v[at] == u)
     shared = np.minimum(x[same], y[at[same]]).sum()
     return float(shared / (x.sum() + y.sum() - shared))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, idf: Frequencies) -> DataFrame:
     """u and v of the pairs whose weighted Jaccard similarity is SIMILAR or more."""
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     held = checkpoint(bags(docs, checkpoint(nodes)))
@@ -249,13 +302,13 @@ def classes(docs: DataFrame) -> DataFrame:
     left = checkpoint(open_.join(checkpoint(mixed), "band", "left_semi"))
     drawn = checkpoint(maps(docs, left.select("node").distinct()))
     left = checkpoint(left.join(drawn, "node").join(left.groupBy("node").agg(F.collect_set("band").alias("bands")), "node"))
-    # Bits that differ are shingles that differ, each of which weighs at least the least idf; similar texts differ
+    # Bits that differ are shingles that differ, each of which weighs 1 at least; similar texts differ
     # by a ninth of what both weigh at most.
     x, y = left.alias("x"), left.alias("y")
     apart = reduce(lambda s, i: s + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])), range(1, MAP), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
     # A pair meets in the least of its common buckets only.
     once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
-    bound = apart * float(idf.min()) <= (F.col("x.weight") + F.col("y.weight")) * (1 - SIMILAR) / (1 + SIMILAR) * (1 + 1e-9)
+    bound = apart <= (F.col("x.weight") + F.col("y.weight")) * (1 - SIMILAR) / (1 + SIMILAR) * (1 + 1e-9)
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & alike(F.col("x.weight"), F.col("y.weight")) & bound & once)
     rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
     compared = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -277,11 +330,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies: of the least doc_id, then of the least digest of its text; any one of equal rows."""
     found = checkpoint(classes(docs))
-    first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select(F.col("first.doc_id").alias("_i"), F.col("first.node").alias("_n"))
-    own = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_node") == F.col("_n")), "left_semi")
+    first = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select("first")
+    # A row's columns lie in a struct, so that their names do not matter.
+    rows = docs.select(F.struct("*").alias("r"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("own"))
+    kept = rows.join(first, F.col("r.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.node")), "left_semi")
     # Rows of equal doc_id and text: a task's least of each suffices before the shuffle.
-    return kept.dropDuplicates(["doc_id", "_node"]).select(docs.columns)
+    kept = kept.withColumn("id", F.col("r.doc_id")).dropDuplicates(["id", "own"])
+    return kept.select(*(F.col("r").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

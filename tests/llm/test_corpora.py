@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -233,14 +233,20 @@ def test_near_copies_match_a_plain_version(spark):
     texts = base + [edited(draw, draw.choice(base), draw.choice([0, 0.005, 0.01, 0.03, 0.1])) for _ in range(150)] + [edited(draw, base[0], 0.004) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, ""), (903, "one two"), (904, "ONE two"), (None, base[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    idf = nearcopies.frequencies(docs)
+    folded = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def bag(text):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        _, shingle, count = nearcopies._bags(raw, np.array([0, len(raw)]))
-        return shingle.tobytes(), count.astype("<u2").tobytes()
+        words = [w.translate(folded) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return Counter(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else Counter()
 
     bags, parent = [bag(t) for _, t in rows], list(range(len(rows)))
+    df = Counter(s for b in bags for s in b)
+    # So small a corpus lists all shingles.
+    idf = {s: 1 + nearcopies.STRENGTH * np.log(len(rows) / n) / np.log(len(rows)) for s, n in df.items()}
+
+    def similarity(a, b):
+        both = sum(min(a[s], b[s]) * idf[s] for s in a.keys() & b.keys())
+        return both / (sum(n * idf[s] for s, n in a.items()) + sum(n * idf[s] for s, n in b.items()) - both)
 
     def root(x):
         while parent[x] != x:
@@ -250,7 +256,7 @@ def test_near_copies_match_a_plain_version(spark):
     for i in range(len(rows)):
         for j in range(i):
             a, b = rows[i][1] or "", rows[j][1] or ""
-            if a == b or (bags[i][0] and bags[j][0] and nearcopies.similarity(*bags[i], *bags[j], idf) >= 0.8):
+            if a == b or (bags[i] and bags[j] and similarity(bags[i], bags[j]) >= 0.8):
                 parent[root(i)] = root(j)
     groups = defaultdict(set)
     for i in range(len(rows)):
@@ -267,7 +273,7 @@ def test_counts_beyond_16_bits_are_exact(spark):
     texts = [run + " ".join(f"{c}{i}" for i in range(10_000)) for c in "ab"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = nearcopies.bags(docs, docs.select(nearcopies._node(docs))).collect()
-    flat = np.ones(nearcopies.BUCKETS)
+    flat = nearcopies.Frequencies(np.zeros(0, np.uint64), np.zeros(0), 1.0, np.zeros(nearcopies.BUCKETS, bool))
     assert nearcopies.similarity(held[0]["shingles"], held[0]["counts"], held[1]["shingles"], held[1]["counts"], flat) == pytest.approx(100_000 / 120_000, abs=0.001)
 
 
@@ -278,6 +284,29 @@ def test_near_copies_of_odd_rows(odd, none):
     assert nearcopies.keep_first(odd).count() == 8 and nearcopies.keep_first(none).columns == none.columns
 
 
+def test_frequencies_weigh_common_shingles_less(spark, monkeypatch):
+    """Exact above the bound, as the rarest listed below it."""
+    rows = [(i, "all of these five words " + (" and half of the texts" if i % 2 else "") + f" own{i} a b c d") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda idf, text: float(idf.of(nearcopies._bags(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[1])[0])
+    idf = nearcopies.frequencies(docs)
+    assert of(idf, "all of these five words") == 1 and of(idf, "and half of the texts") == pytest.approx(1 + nearcopies.STRENGTH * np.log(2) / np.log(64))
+    assert of(idf, "own7 a b c d") == 1 + nearcopies.STRENGTH
+    monkeypatch.setattr(nearcopies, "LISTED", 64)
+    idf = nearcopies.frequencies(docs)
+    assert len(idf.shingle) <= 64 and of(idf, "all of these five words") == 1 and 1 < of(idf, "and half of the texts") < of(idf, "own7 a b c d") == 1 + nearcopies.STRENGTH
+
+
+def test_rows_with_clashing_names(spark):
+    """Columns of the names that operators use themselves."""
+    names = ["_i", "_n", "_node", "_size", "_k", "_copy", "_raw", "_gone", "r", "tie", "size", "first", "own", "node", "id", "n_copies", "target"]
+    rows = [(i, f"some words of text number {i} and more\nsame line in all of these", "s", *range(len(names))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for out in (linejoin.remove(docs), nearcopies.keep_first(docs), mixing.mix(docs)):
+        found = out.collect()
+        assert out.columns == docs.columns and found and all(tuple(r)[3:] == tuple(range(len(names))) for r in found)
+
+
 def test_samples_agree_as_often_as_weights_are_similar():
     sample, draw = nearcopies.Sampler(), np.random.default_rng(0)
     shingle = np.sort(draw.choice(2**52, 400, replace=False).astype(np.uint64))
