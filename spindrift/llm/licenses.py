@@ -1,11 +1,11 @@
 """Licence scan by digests of canonical texts, in DataFrame functions only.
 
-A text's canonical form is lower case, without lines that state a copyright, with equivalent
-spellings made equal and with every run of other characters than letters and digits as one
-space. Its digest is joined by hash to the digests of known licences and notices. Both whole
+A text's canonical form is lower case, without lines that state a copyright and marks of list points, with every run of
+other characters than letters and digits as one space, without a title before the text, and with equivalent
+spellings (also of a BSD licence's holder) made equal. Its digest is joined by hash to the digests of known licences and notices. Both whole
 texts and their lines are looked up, so a licence that is the whole text and a notice that is a
-line of its own are found; part of a line is not. Of MIT, ISC and the BSD licences whole texts are known, of the others
-only notices of one line: a whole text of Apache-2.0, GPL, LGPL, AGPL, MPL or Creative Commons is not found.
+line of its own are found; part of a line is not. Known are the texts of KNOWN and, by their digests, longer ones (LONG); of AGPL and
+of Creative Commons but CC0 only notices of one line are. More can be given as rows of known.
 
 Defined cases: null and empty texts hold no licence; a line that is stated twice counts twice;
 equal rows are one in the count; a null doc_id is a document; other columns may have any names.
@@ -32,6 +32,9 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("whilst", "while"),
     ("wilful", "willful"),
+    ("the regents and contributors", "the copyright holders and contributors"),
+    ("the regents or contributors", "the copyright holder or contributors"),
+    ("copyright holders or contributors", "copyright holder or contributors"),
 )
 
 _AS_IS = (
@@ -70,9 +73,6 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", "The MIT License\n\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT", _MIT),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
@@ -98,10 +98,29 @@ KNOWN = (
         _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
         "without specific prior written permission.\n" + _BSD_END,
     ),
-    ("ISC", "ISC License\n\n" + _ISC),
     ("ISC", _ISC),
     ("Proprietary", "All rights reserved."),
 )
+#: Digests of canonical forms of longer public licences, whole: fixed values.
+LONG = (
+    ("0BSD", "fa9583358e39e30cc008a801c940fa8c"),
+    ("Apache-2.0", "f235baeb0cc96393cff2f3cf5e1c3f80"),  # with its appendix
+    ("Apache-2.0", "a6e8ec0fbfb004fe4c59705b94e91657"),  # without
+    ("Apache-2.0", "2f892c0fd3770558483d26775fbb4fd1"),  # without, nor its last line
+    ("Apache-2.0", "3f75cdec37a8a9cf2daa486022386970"),  # the notice for files
+    ("Artistic-1.0", "dc4a091dae3cbb0eaa99c7976db9c452"),
+    ("CC0-1.0", "33b60d2bcc436a336d1830b3b1c03687"),
+    ("GFDL-1.2", "2628e8541ed40d1ca39714d87d6f13d8"),
+    ("GFDL-1.3", "096872d613522d79a9fb20e3b0340067"),
+    ("GPL-1.0", "7a036ff0eaba33d600fcee8a7e8a18b9"),
+    ("GPL-2.0", "26b2bfb32c731688a49c7316842df11c"),
+    ("GPL-3.0", "052052dd29901dc0d593afc1e192ada0"),
+    ("LGPL-2.0", "6864521c23f1c2e80411a1dc03de6943"),
+    ("LGPL-2.1", "7efc7aa444f21739b39cb187f690cb47"),
+    ("LGPL-3.0", "45ec14853d944805ef573d0b3a40cda3"),
+    ("MPL-1.1", "f926d8d68c3da15ad7535d937b09e7df"),
+    ("MPL-2.0", "229c8893de543577d6e0e57223457445"),
+)
 #: Words that follow "copyright" where a licence speaks of it; any other word there names a holder.
 TERMS = (
     "act and are as assignment can claim claims disclaimer does for has have header holder holders if in information infringement interest interests is it its law laws "
@@ -124,18 +143,35 @@ COPYRIGHT_LINE = (
     r"(?m)^[^\p{L}\p{N}\n]*(?:©[^\n]*|\(c\)[^\p{L}\p{N}\n]*(?:copyright|\p{N}{4})[^\n]*"
     r"|copyrights?(?:[^\p{L}\p{N}\n]*(?:\(c\)|©|\p{N})[^\n]*|[^\p{L}\p{N}\n]+" + _other(TERMS) + "))$"
 )
+#: A mark of a list's point at the beginning of a line.
+POINT = r"(?m)^[^\p{L}\p{N}\n]*(?:\p{N}{1,2}|[a-z])[.)][ \t]+"
 OTHERS = r"[^\p{L}\p{N}]+"
+#: What may stand before a licence: its title, and the end of a copyright line that was wrapped. Only before further text.
+TITLE = r"^(?:this software is released under )?(?:the )?(?:mit|isc|bsd|bsd [23] clause|(?:new|modified|revised|simplified) bsd) license (?:mit |isc )?([^ ])"
+RIGHTS = r"^(?:all )?rights reserved ([^ ])"
+#: The holder's name in the third condition of a BSD licence, and what stands for it.
+HOLDER = r"neither the names? of (?:[^ ]+ ){1,12}?nor the names of (?:its |any |the )?contributors"
+ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors"
 
 
 def canonical(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), OTHERS, " "))
-    return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
+    plain = F.lower(text)
+    for pattern, by in ((COPYRIGHT_LINE, ""), (POINT, ""), (OTHERS, " ")):
+        plain = F.regexp_replace(plain, pattern, by)
+    plain = F.trim(plain)
+    for pattern in (TITLE, RIGHTS):
+        plain = F.regexp_replace(plain, pattern, "$1")
+    spelled = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
+    return F.regexp_replace(spelled, HOLDER, ANY_HOLDER)
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """license and digest, from rows of license and text; of two licences of one digest the first by name."""
-    known = spark.createDataFrame(list(KNOWN), "license string, text string") if known is None else known
-    return known.groupBy(F.md5(canonical(F.col("text")).cast("binary")).alias("digest")).agg(F.min("license").alias("license"))
+    """license and digest, from rows of license and text (else KNOWN and LONG); of two licences of one digest the first by name."""
+    texts = spark.createDataFrame(list(KNOWN), "license string, text string") if known is None else known
+    digests = texts.select("license", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"))
+    if known is None:
+        digests = digests.unionByName(spark.createDataFrame(list(LONG), "license string, digest string"))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, broadcast_rows: int = 100_000) -> DataFrame:
@@ -168,12 +204,20 @@ def _sql_text(s: str) -> str:
 
 
 def _sql_canonical(x: str) -> str:
-    x = f"trim(regexp_replace(regexp_replace(lower({x}), {_sql_text(COPYRIGHT_LINE)}, '', 'g'), {_sql_text(OTHERS)}, ' ', 'g'))"
-    return reduce(lambda y, pair: f"replace({y}, '{pair[0]}', '{pair[1]}')", SPELLINGS, x)
+    x = f"lower({x})"
+    for pattern, by in ((COPYRIGHT_LINE, ""), (POINT, ""), (OTHERS, " ")):
+        x = f"regexp_replace({x}, {_sql_text(pattern)}, '{by}', 'g')"
+    x = f"trim({x})"
+    for pattern in (TITLE, RIGHTS):
+        x = f"regexp_replace({x}, {_sql_text(pattern)}, '\\1')"
+    x = reduce(lambda y, pair: f"replace({y}, '{pair[0]}', '{pair[1]}')", SPELLINGS, x)
+    return f"regexp_replace({x}, {_sql_text(HOLDER)}, '{ANY_HOLDER}', 'g')"
 
 
 ORACLE = f"""
-WITH known AS (SELECT md5({_sql_canonical('t')}) AS digest, min(l) AS license FROM (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in KNOWN)}) AS k(l, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(l) AS license FROM (
+  SELECT l, md5({_sql_canonical('t')}) AS digest FROM (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in KNOWN)}) AS k(l, t)
+  UNION ALL VALUES {", ".join(f"('{n}', '{d}')" for n, d in LONG)}) GROUP BY 1),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 noticed AS (SELECT doc_id, license, count(*) AS n FROM lines JOIN known ON md5({_sql_canonical('line')}) = digest GROUP BY ALL),

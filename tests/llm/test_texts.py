@@ -4,7 +4,9 @@ import hashlib
 import json
 import random
 import re
+import sysconfig
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -232,6 +234,28 @@ def test_licenses_as_sql(spark, data):
     assert [tuple(r) for r in licenses.op9_license_scan(spark, data).select("doc_id", "licenses", "n_notices").orderBy("doc_id").collect()] == wanted
 
 
+def test_genuine_licences(spark):
+    """Licence files that are installed here, of other wraps, titles, holders and list marks than the known texts."""
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    files = [(Path("/usr/share/common-licenses") / n, license) for n, license in names.items()]
+    # Files that hold the terms of MIT or ISC and before them at most a title and copyright lines.
+    ends = {"MIT": "or the use or other dealings in the software", "ISC": "in connection with the use or performance of this software"}
+    begins = {"MIT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal", "ISC": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided"}
+    words = {"MIT": 163, "ISC": 113}
+    for path in sorted(Path(sysconfig.get_paths()["purelib"]).rglob("LICENSE*")):
+        text = path.read_text(errors="replace") if path.is_file() else ""
+        plain = " ".join(re.findall(r"[a-z0-9]+", text.lower()))
+        for license, end in ends.items():
+            at = plain.find(begins[license])
+            before = [x for x in text[: text.lower().find("permission")].split("\n") if x.strip() and not re.match(r"(?i)\W*copyright|.*\blicense\b", x)]
+            if at >= 0 and plain.endswith(end) and abs(len(plain[at:].split()) - words[license]) <= 1 and not before:
+                files.append((path, license))
+    rows = [(str(p), p.read_text(errors="replace")) for p, _ in files if p.is_file()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r["doc_id"]: r["whole_license"] for r in licenses.scan(docs).collect()}
+    assert len(rows) > 10 and found == {str(p): license for p, license in files if p.is_file()}
+
+
 # --- pages
 
 HEAD = "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body>"
