@@ -21,10 +21,13 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,10 @@ BROADCAST_ROWS = 20_000
 
 #: Elements, by what they mean for text (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video".split())
+#: math holds its formula's characters in elements that are all inline.
+MATH = "mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mfenced mover munder munderover mtable mtr mtd mspace mstyle semantics annotation"
+INLINE = frozenset((MATH + " a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr").split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 DROPPED = RAW | frozenset("head nav footer aside form button select dialog menu fieldset".split())
@@ -50,11 +55,18 @@ DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices pager pagination popup promo related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+#: Attributes of a tag: quotes count after "=" only, and what is not ended reaches to the page's end, so that no place is read twice.
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?|["'])*+"""
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(RAW))})(?![\w-]){_ATTRIBUTES}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)""",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that may stand beside such a name in a class; any other word there makes it a name of something else (article-header).
+BESIDE = frozenset(
+    "area bar block bottom box button buttons container content fixed form global group horizontal icon icons inner item items layer left link links list main middle mobile page panel "
+    "placeholder post posts primary right row secondary section site slot sticky strip text thread title top unit vertical wrap wrapper zone".split()
+)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -70,6 +82,13 @@ class Node:
         return self.tag, self.name
 
 
+@lru_cache(10_000)
+def _no_content(token: str) -> bool:
+    """Whether a class or id names a menu, an advert and the like: by all its words."""
+    pieces = [p.lower() for p in PIECE.findall(token)]
+    return any(p in DROPPED_NAMES for p in pieces) and all(p in DROPPED_NAMES or p in BESIDE for p in pieces)
+
+
 def _named(attributes: str) -> tuple[str, bool]:
     """The element's class, for alignment, and whether its names say that it is no content."""
     name, dropped = "", False
@@ -83,7 +102,7 @@ def _named(attributes: str) -> tuple[str, bool]:
             dropped |= value.strip().lower() in DROPPED_ROLES
         else:
             name = value if key == "class" else name
-            dropped |= any(p.lower() in DROPPED_NAMES for p in PIECE.findall(value))
+            dropped |= any(_no_content(token) for token in value.split())
     return name, dropped
 
 
@@ -187,36 +206,113 @@ def grouped(node: Node) -> Group:
     return top
 
 
-#: Deepest level that is aligned; what lies deeper is in the level's text. Bounds the recursion on broken pages.
+#: Deepest level that is aligned; groups below it have no wrapper node and are judged by their path.
 DEPTH = 60
-
-
-def matched(a: Group | list, b: Group, depth: int = 0) -> tuple[int, list]:
-    """Simple tree matching of a wrapper node [kind, children, number] and a group: size and pairs."""
-    if a[0] != list(b.kind):
-        return 0, []
-    x, y = a[1], b.children
-    if depth >= DEPTH or not x or not y:
-        return 1, [(a, b)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            s = 0
-            if p[0][0] == q.kind[0] and p[0][1] == q.kind[1]:
-                found[i, j] = matched(p, q, depth + 1)
-                s = found[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + s)
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += found[i, j][1]
-    return best[-1][-1] + 1, pairs
+#: Pairs of children that are compared by their subtrees; longer lists of children are aligned by kind alone.
+CELLS = 1 << 20
+
+
+class Alignment:
+    """Simple tree matching of a wrapper node [kind, children, number] and a group.
+
+    Subtrees of equal structure share a number, and the size of a match is computed once for two numbers, so repeated
+    parts cost nothing. Children that begin or end both lists with equal structure match each other, which loses no size.
+    """
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.kinds: list[tuple[str, str]] = []
+        self.children: list[tuple[int, ...]] = []
+        self.totals: list[int] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.own: dict[int, int] = {}
+
+    def number(self, node: Group | list, depth: int = 0) -> int:
+        kind, below = ((node[0][0], node[0][1]), node[1]) if isinstance(node, list) else (node.kind, node.children)
+        kids = tuple([self.number(c, depth + 1) for c in below]) if depth < DEPTH else ()
+        key = (kind, kids)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.kinds)
+            self.kinds.append(kind)
+            self.children.append(kids)
+            self.totals.append(1 + sum(self.totals[k] for k in kids))
+        self.own[id(node)] = self.numbers[key]
+        return self.numbers[key]
+
+    def size(self, p: int, q: int) -> int:
+        """Nodes that a matching of two subtrees pairs at most."""
+        if self.kinds[p] != self.kinds[q]:
+            return 0
+        if p == q:
+            return self.totals[p]
+        if (p, q) not in self.sizes:
+            x, y = self.children[p], self.children[q]
+            self.sizes[p, q] = 1 + sum(self.size(x[i], y[j]) for i, j in self.pairs(x, y))
+        return self.sizes[p, q]
+
+    def pairs(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of children that a largest matching pairs."""
+        m, n = len(x), len(y)
+        start = 0
+        while start < min(m, n) and x[start] == y[start]:
+            start += 1
+        end = 0
+        while end < min(m, n) - start and x[m - 1 - end] == y[n - 1 - end]:
+            end += 1
+        out = [(i, i) for i in range(start)] + [(m - 1 - i, n - 1 - i) for i in range(end)]
+        x, y = x[start : m - end], y[start : n - end]
+        if not x or not y:
+            return out
+        if len(x) * len(y) > CELLS:
+            return out + [(i + start, j + start) for i, j in self.by_kind(x, y)]
+        best, weight = self.table(x, y)
+        i, j = len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i + start, j + start))
+        return out
+
+    def table(self, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        of_x, of_y = sorted(set(x)), sorted(set(y))
+        sizes = np.array([[self.size(p, q) for q in of_y] for p in of_x], np.int64)
+        weight = sizes[np.searchsorted(of_x, x)][:, np.searchsorted(of_y, y)]
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        for i in range(len(x)):
+            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weight[i]), out=best[i + 1, 1:])
+        return best, weight
+
+    def by_kind(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Each child with the next one of its kind, in order."""
+        out, j = [], 0
+        places: dict[tuple[str, str], list[int]] = {}
+        for k, q in enumerate(y):
+            places.setdefault(self.kinds[q], []).append(k)
+        for i, p in enumerate(x):
+            of = places.get(self.kinds[p], [])
+            at = bisect_left(of, j)
+            if at < len(of):
+                out.append((i, of[at]))
+                j = of[at] + 1
+        return out
+
+
+def matched(a: list, b: Group) -> tuple[int, list]:
+    """Size and pairs of a matching of a wrapper node and a group."""
+    found = Alignment()
+    size = found.size(found.number(a), found.number(b))
+    pairs, todo = [], [(a, b, 0)] if size else []
+    while todo:
+        p, q, depth = todo.pop()
+        pairs.append((p, q))
+        if depth < DEPTH:
+            x, y = (tuple([found.own[id(c)] for c in below]) for below in (p[1], q.children))
+            todo.extend((p[1][i], q.children[j], depth + 1) for i, j in found.pairs(x, y) if found.size(x[i], y[j]))
+    return size, pairs
 
 
 def numbered(wrapper: list, root: Node) -> list[tuple[int, Group]]:

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import sysconfig
+import time
 import zlib
 from pathlib import Path
 
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from spindrift.llm import attention, bpe, flatwords, licenses, pagetext, rules, toxicity, transport
 
@@ -322,6 +324,60 @@ def test_tree_matching_is_largest():
     assert size == len(pairs) == 5
 
 
+def plain_size(a, b):
+    """Size of a largest matching of [kind, children, number] and a group, by the textbook's table."""
+    if tuple(a[0]) != b.kind:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_size(x, y))
+    return best[-1][-1] + 1
+
+
+def random_tree(draw, depth):
+    tags = ["div", "ul", "section", "table", "h2"]
+    return "".join(f"<{t}>{random_tree(draw, depth - 1) if depth else 'x'}</{t}>" for t in (draw.choice(tags) for _ in range(draw.randint(0, 5))))
+
+
+def test_tree_matching_matches_a_plain_version():
+    draw = random.Random(3)
+    for _ in range(150):
+        a, b = json.loads(pagetext.skeleton(random_tree(draw, 3))), pagetext.grouped(pagetext.parse(random_tree(draw, 3)))
+        size, pairs = pagetext.matched(a, b)
+        assert size == len(pairs) == plain_size(a, b)
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    parts = "".join(f"<h2>t{i}</h2><p>text {i} <b>x</b></p>" for i in range(20_000))
+    page, started = f"<body><div>{parts}</div></body>", time.monotonic()
+    text = pagetext.extract(page.replace("<h2>t7<", "<h3>u</h3><h2>t7<"), json.loads(pagetext.skeleton(page)), frozenset([1]))
+    assert text.count("\n") == 40_000 and len(page) > 700_000
+    for broken in ('<a "', "<a 'x", "<!", "<script ", '<p class="a', "<p ="):
+        assert pagetext.extract("<body>hello " + broken * 100_000, None, frozenset()) == "hello"
+    assert time.monotonic() - started < 30
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ('<div class="article-header"><h1>Title</h1></div><p>Text.</p>', "Title\nText."),
+        ('<p class="social-science">Study.</p><p class="ad-slot">Buy</p><div class="cookie-banner">Ok</div><ul class="comment-list"><li>Hm</ul>', "Study."),
+        ('<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p>', "Energy E=m here."),
+        ('<p class="a"">Stray quote</p><p>Next</p>', "Stray quote\nNext"),
+    ],
+)
+def test_names_and_marks(page, wanted):
+    assert pagetext.extract(page, None, frozenset()) == wanted
+
+
+def test_pages_with_clashing_columns_and_repeats(spark):
+    rows = [(1, "http://a/1", "<p>One</p>", "h"), (1, "http://a/1", "<p>One</p>", "h"), (None, None, None, None), (2, "", "", "x"), (3, "http://a/2", "<p>" + "w " * 200_000 + "</p>", "s")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    found = [(r["page_id"], len(r["text"])) for r in pagetext.texts(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 3), (1, 3), (None, 0), (2, 0), (3, 399_999)], key=str)
+
+
 # --- classifiers
 
 
@@ -394,3 +450,17 @@ def test_toxic_texts_are_caught(spark, odd, none):
     assert scores[0] > 0.7 and scores[1] > 0.7 and scores[3] > 0.7 and scores[4] < 0.3 and scores[2] > scores[4]
     assert len(toxicity.score(odd, machine).collect()) == len(ODD) and toxicity.score(none, machine).count() == 0
     assert toxicity.score(odd, toxicity.learn(odd, marks.filter("false"))).filter("score != 0").count() == 0
+
+
+def test_long_words_match_the_library():
+    draw = random.Random(5)
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        codec = bpe.Codec(f.read())
+    library, started = Tokenizer.from_file(bpe.vocabulary()), time.monotonic()
+    for n, letters in ((513, "ab"), (600, "é日a"), (5_000, "a"), (20_000, "abcde"), (300_000, "abcdefghijklmnopqrstuvwxyz")):
+        word = "".join(draw.choice(letters) for _ in range(n))
+        text = f"some {word} words {word[:700]}"
+        ids, decoded = codec.encode([text])
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids[0], "<u4").tolist() == wanted and decoded[0] == library.decode(wanted, skip_special_tokens=False)
+    assert time.monotonic() - started < 20
