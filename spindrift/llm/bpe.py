@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ REMEMBERED = 120_000
 #: Code points of text that go into one Arrow batch of results, about.
 BATCH_CHARS = 4_000_000
 NONE = np.iinfo(np.int64).max
+#: Bytes beyond which a word is merged in rounds of its own.
+LONG = 512
 
 
 def byte_symbols() -> list[str]:
@@ -64,6 +67,14 @@ class Merger:
         symbol[ends - 1] = self.final[raw[ends - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
         done_words, done_symbols = [], []
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            # A long word would hold all others back for as many rounds as it has merges of one place.
+            for w in long.tolist():
+                done_symbols.append(self.alone(symbol[ends[w] - lengths[w] : ends[w]]))
+                done_words.append(np.full(len(done_symbols[-1]), w))
+            short = lengths[word] <= LONG
+            symbol, word = symbol[short], word[short]
         while len(symbol):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             pair = symbol[:-1] * self.size + symbol[1:]
@@ -93,6 +104,54 @@ class Merger:
         return np.split(symbol[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
 
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank at which symbols merge, or NONE."""
+        pair = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NONE)
+
+    def alone(self, symbol: np.ndarray) -> np.ndarray:
+        """The symbols of one word, in a round for each rank that occurs: a round looks only at the places of its rank."""
+        symbol, n = symbol.copy(), len(symbol)
+        after, before, live = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            rank = self.rank(symbol[places], symbol[after[places]])
+            places, rank = places[rank != NONE], rank[rank != NONE]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else rank
+            for r, some in zip(rank[first].tolist(), np.split(places, first[1:]), strict=False):
+                if r in waiting:
+                    waiting[r].append(some)
+                else:
+                    waiting[r] = [some]
+                    heappush(heap, r)
+
+        wait(np.arange(n - 1))
+        while heap:
+            r = heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            # Places whose symbols have merged since are past.
+            places = places[live[places] & (after[places] < n)]
+            places = places[self.rank(symbol[places], symbol[after[places]]) == r]
+            if not len(places):
+                continue
+            opens = np.r_[True, places[1:] != after[places[:-1]]]
+            run = np.maximum.accumulate(np.where(opens, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+            gone = after[places]
+            symbol[places] = self.merged[r]
+            live[gone] = False
+            after[places] = after[gone]
+            inner = places[after[places] < n]
+            before[after[inner]] = inner
+            wait(np.unique(np.r_[inner, before[places][before[places] >= 0]]))
+        return symbol[live]
+
+
 class Codec:
     """Encodes and decodes as the tokenizer that a JSON file describes: byte-level BPE with word ends."""
 
