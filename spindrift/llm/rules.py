@@ -173,16 +173,14 @@ class Accuracies:
 
 #: Chances to start from: rules are seldom wrong on good documents, and each finds some of the bad ones.
 FROM_GOOD, FROM_BAD = (0.002, 0.6, 0.398), (0.3, 0.4, 0.3)
-#: A rule's bad votes hit this share of good documents at most, and of bad ones at least; rules are written so.
-MOST_WRONG, LEAST_FOUND = 0.002, 0.05
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accuracies:
     """Expectation-maximisation over the number of documents with each pattern.
 
-    Most documents are taken to be good. A few pseudo-counts of the starting chances keep all
-    chances off 0 and 1. The bounds above keep the classes from changing places or from modelling
-    some other difference between documents.
+    Most documents are taken to be good. A pseudo-count of the starting chances keeps all
+    chances off 0 and 1. So that the classes do not change places, bad votes that would be commoner among good
+    documents than among bad ones count as equally common in both: such a rule's vote tells nothing.
     """
     k = len(RULES)
     votes = np.array([patterns // 3**j % 3 for j in range(k)], int).T.reshape(len(patterns), k)
@@ -196,7 +194,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Acc
         prior = min(max((p.sum() + 9) / (counts.sum() + 10), 0.5), 0.99)
         good = (np.einsum("p,vpk->vk", p, said) + start_good) / (p.sum() + 1)
         bad = (np.einsum("p,vpk->vk", q, said) + start_bad) / (q.sum() + 1)
-        good[0], bad[0] = np.minimum(good[0], MOST_WRONG), np.maximum(bad[0], LEAST_FOUND)
+        wrong = good[0] > bad[0]
+        both = (good[0] * p.sum() + bad[0] * q.sum()) / max(counts.sum(), 1)
+        good[0], bad[0] = np.where(wrong, both, good[0]), np.where(wrong, both, bad[0])
     return Accuracies(float(prior), tuple(map(tuple, good.T.tolist())), tuple(map(tuple, bad.T.tolist())))
 
 

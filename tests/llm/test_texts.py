@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import attention, bpe, flatwords, licenses, pagetext, rules, toxicity, transport
@@ -236,6 +237,49 @@ def test_licenses_as_sql(spark, data):
     assert [tuple(r) for r in licenses.op9_license_scan(spark, data).select("doc_id", "licenses", "n_notices").orderBy("doc_id").collect()] == wanted
 
 
+def plain_estimate(patterns, counts, rounds=200):
+    """Expectation-maximisation document by document, rule by rule."""
+    k = len(rules.RULES)
+    votes = [[int(x) // 3**j % 3 for j in range(k)] for x in patterns]
+    prior, good, bad = 0.9, [list(rules.FROM_GOOD) for _ in range(k)], [list(rules.FROM_BAD) for _ in range(k)]
+    for _ in range(rounds):
+        p = []
+        for v, n in zip(votes, counts, strict=True):
+            g, b = prior, 1 - prior
+            for j in range(k):
+                g, b = g * good[j][v[j]], b * bad[j][v[j]]
+            p.append(n * g / (g + b))
+        total, of_good = sum(counts), sum(p)
+        prior = min(max((of_good + 9) / (total + 10), 0.5), 0.99)
+        for j in range(k):
+            for x in range(3):
+                good[j][x] = (sum(a for a, v in zip(p, votes, strict=True) if v[j] == x) + rules.FROM_GOOD[x]) / (of_good + 1)
+                bad[j][x] = (sum(n - a for n, a, v in zip(counts, p, votes, strict=True) if v[j] == x) + rules.FROM_BAD[x]) / (total - of_good + 1)
+            if good[j][0] > bad[j][0]:
+                good[j][0] = bad[j][0] = (good[j][0] * of_good + bad[j][0] * (total - of_good)) / total
+    return prior, good, bad
+
+
+def test_estimates_match_a_plain_version_and_find_the_accuracies(spark):
+    draw, k = np.random.default_rng(2), len(rules.RULES)
+    n, is_good = 4000, np.random.default_rng(3).random(4000) < 0.8
+    # Chances of bad, good and no vote: no rule is near the chances that the estimation starts from.
+    of_good, of_bad = draw.dirichlet((1, 12, 6), k), draw.dirichlet((12, 2, 5), k)
+    votes = np.array([[draw.choice(3, p=(of_good if g else of_bad)[j]) for j in range(k)] for g in is_good])
+    patterns, counts = np.unique((votes * 3 ** np.arange(k)).sum(1), return_counts=True)
+    found = rules.estimate(patterns, counts.astype(float))
+    prior, good, bad = plain_estimate(patterns.tolist(), counts.tolist())
+    assert found.prior == pytest.approx(prior) and np.allclose(found.if_good, good) and np.allclose(found.if_bad, bad)
+    assert abs(found.prior - 0.8) < 0.03 and np.abs(np.array(found.if_good) - of_good).max() < 0.05 and np.abs(np.array(found.if_bad) - of_bad).max() < 0.08
+    rows = spark.createDataFrame([(int(x),) for x in patterns], "votes long")
+    odds = {int(x): prior / (1 - prior) * np.prod([good[j][x // 3**j % 3] / bad[j][x // 3**j % 3] for j in range(k)]) for x in patterns.tolist()}
+    for r in rows.select("votes", rules.posterior(F.col("votes"), found).alias("p")).collect():
+        assert r["p"] == pytest.approx(odds[r["votes"]] / (1 + odds[r["votes"]]), abs=1e-6)
+    # The verdict is no rule that all must pass, nor one that only unanimous documents fail.
+    right = np.array([(o >= 1) for o in (odds[int(x)] for x in (votes * 3 ** np.arange(k)).sum(1))]) == is_good
+    assert right.mean() > 0.99 and ((votes[is_good] == 0).any(1)).mean() > 0.1
+
+
 def test_genuine_licences(spark):
     """Licence files that are installed here, of other wraps, titles, holders and list marks than the known texts."""
     names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
