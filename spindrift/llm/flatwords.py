@@ -107,7 +107,7 @@ def words(raw: np.ndarray, texts: np.ndarray, fold: bool = False) -> Words:
     met = texts[1:-1]
     met = met[solid[met] & solid[met + 1] & np.r_[True, met[1:] != met[:-1]]] if len(met) else met
     if len(met):
-        start, end = np.sort(np.r_[start, met]), np.sort(np.r_[end, met])
+        start, end = np.insert(start, np.searchsorted(start, met), met), np.insert(end, np.searchsorted(end, met), met)
     power, inverse = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     value = (FOLDED if fold else VALUE)[raw]

@@ -102,9 +102,16 @@ class Codes:
 def codes(w: Words, line: np.ndarray, step: np.ndarray) -> Codes:
     """line: the number of each word's line."""
     code = step[w.hash % np.uint64(BUCKETS)].astype(np.uint64) << np.uint64(HASH) | w.hash >> np.uint64(64 - HASH)
-    order = np.argsort(code)
-    small = line[order]
-    order = order[np.argsort(small.astype(np.uint16) if len(line) and line.max() < 1 << 16 else small, kind="stable")]
+    order = None
+    if len(line) and line.max() < 1 << 16:
+        # One sort by line and most of the code, unless it leaves different words equal.
+        key = line.astype(np.uint64) << np.uint64(48) | code >> np.uint64(16)
+        order = np.argsort(key)
+        key, sorted_ = key[order], code[order]
+        if ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((code, line))
     code, line = code[order], line[order]
     if len(code):
         keep = np.r_[True, (code[1:] != code[:-1]) | (line[1:] != line[:-1])]
@@ -125,7 +132,7 @@ def maps(c: Codes, mixed: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
-    """A row for each line with a word: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (codes of its rarest words; none below LEAST)."""
+    """A row for each line with a word, and one without a line for a text that has none: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (codes of its rarest words; none below LEAST)."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +143,7 @@ def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
                 w = words(raw, texts, True)
                 lines, before = w.line()
                 c = codes(w, lines - lines[0] if len(lines) else lines, step)
+                yield _wordless(batch, a, b, w, row)
                 if not len(c.line):
                     continue
                 number = c.line + lines[0]
@@ -167,6 +175,14 @@ def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
     return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(run, kinds)
 
 
+def _wordless(batch: pa.RecordBatch, a: int, b: int, w: Words, row: int) -> pa.RecordBatch:
+    none = np.flatnonzero(np.bincount(w.text, minlength=b - a) == 0) + a
+    rows = pa.array(none, pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = [pa.array(row + none, pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.ones(len(none), bool)), *(pa.nulls(len(none), k) for k in kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "doc_id", "raw", "top", "line", "hi", "lo", "size", "map", "rare"])
+
+
 #: Where a line stands among all: documents of null ids last, then by id and line; lines that this leaves equal by a digest of the text.
 PLACE = ("none", "doc_id", "line", "raw")
 
@@ -175,25 +191,25 @@ def _place() -> list[Column]:
     return [F.col("doc_id").isNull().alias("none"), *(F.col(c) for c in PLACE[1:])]
 
 
-def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The lines with a word (doc, doc_id, raw, top, line, hi, lo), each document once, and a row for each set.
+def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines with a word (doc, line, hi, lo), each document once; all rows of docs (doc, doc_id, raw); and a row for each set.
 
     The sets' columns: id (any number), hi, lo, size, map, rare, n (its lines), and the place and doc of its first line.
     """
     lines = written(sets(docs, steps))
-    held = lines
+    held = lines.filter("line IS NOT NULL")
     # Of rows of equal doc_id and text one stays.
     tops = lines.filter("top").select("doc", "doc_id", "raw")
     often = written(tops.groupBy("doc_id", "raw").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     if not often.isEmpty():
         further = tops.alias("t").join(often.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.raw") == F.col("f.raw"))).filter("doc != least").select("doc")
-        held = lines.join(further, "doc", "left_anti")
+        held = held.join(further, "doc", "left_anti")
     first = F.min(F.struct(*_place(), "doc")).alias("first")
     each = held.groupBy("hi", "lo").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "map", "rare")))
     each = written(each.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "size", "map", "rare", "n", "first.*"))
-    slim = written(held.select("doc", "doc_id", "raw", "top", "line", "hi", "lo"))
+    slim, rows = written(held.select("doc", "line", "hi", "lo")), written(tops)
     discard(lines, often)
-    return slim, each
+    return slim, rows, each
 
 
 # --- candidates
@@ -551,68 +567,74 @@ def links(docs: DataFrame, each: DataFrame, steps: np.ndarray) -> tuple[DataFram
 
 @dataclass
 class Found:
-    """What is known of lines and sets; tables that free() deletes."""
+    """What is known of lines, rows and sets; tables that free() deletes."""
 
     lines: DataFrame
+    rows: DataFrame
     each: DataFrame
     ranked: DataFrame
     links: DataFrame
 
     def free(self) -> None:
-        discard(self.lines, self.each, self.ranked, self.links)
+        discard(self.lines, self.rows, self.each, self.ranked, self.links)
 
 
 def joined(docs: DataFrame) -> Found:
     steps = rarity(docs)
-    lines, each = indexed(docs, steps)
-    return Found(lines, each, *links(docs, each, steps))
+    lines, rows, each = indexed(docs, steps)
+    return Found(lines, rows, each, *links(docs, each, steps))
 
 
 def decide(found: Found) -> DataFrame:
-    """Lines whose set stands in several lines or has links: doc, doc_id, raw, line, links, removed, earlier (a document with an earlier line) and hub (the doc of its set's first line)."""
+    """Lines whose set stands in several lines or has links: doc, line, links, removed, earlier (a document with an earlier line) and hub (the doc of its set's first line)."""
     state = found.links.groupBy(F.col("u").alias("rank")).agg(F.min("v").alias("v"), F.sum("links").alias("links"))
     partner = found.ranked.select(F.col("rank").alias("v"), F.col("doc_id").alias("partner"))
     state = found.ranked.select("id", "rank").join(state, "rank").join(partner, "v", "left").withColumn("late", F.col("v").isNotNull()).drop("v", "rank")
-    known = found.each.select("id", "hi", "lo", "n", F.struct(*PLACE, "doc").alias("first")).join(state, "id", "left").filter("n > 1 OR late IS NOT NULL")
-    rows = found.lines.select("doc", "doc_id", "raw", "line", "hi", "lo").join(known, ["hi", "lo"])
+    known = found.each.select("id", "hi", "lo", "n", F.struct("doc_id", "line", "doc").alias("first")).join(state, "id", "left").filter("n > 1 OR late IS NOT NULL").drop("id", "n")
+    rows = found.lines.join(known, ["hi", "lo"])
     repeat = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
     late = F.coalesce("late", F.lit(False))
     earlier = F.when(repeat, F.col("first.doc_id")).otherwise(F.col("partner"))
-    return rows.select("doc", "doc_id", "raw", "line", F.coalesce("links", F.lit(0)).alias("links"), (repeat | late).alias("removed"), earlier.alias("earlier"), F.col("first.doc").alias("hub"))
+    return rows.select("doc", "line", F.coalesce("links", F.lit(0)).alias("links"), (repeat | late).alias("removed"), earlier.alias("earlier"), F.col("first.doc").alias("hub"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, raw (xxhash64 of the text) and removed (line numbers from 0, in order) of each document that loses a line."""
     found = joined(docs)
-    out = written(decide(found).filter("removed").groupBy("doc_id", "raw").agg(F.array_sort(F.collect_list("line")).alias("removed")))
+    gone = decide(found).filter("removed").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    out = written(gone.join(found.rows, "doc").select("doc_id", "raw", "removed"))
     found.free()
     return out
 
 
-def classes(found: Found, rows: DataFrame) -> DataFrame:
-    """doc and class: documents that lines of equal or linked sets join, and the least of them. rows: as decide() gives them."""
+def classes(found: Found, lines: DataFrame) -> DataFrame:
+    """doc and class: documents that lines of equal or linked sets join, and the least of them. lines: as decide() gives them."""
     # A set's documents are joined to that of its first line, and linked sets by those of theirs.
     first = found.ranked.select("rank", "doc")
     across = found.links.filter("v IS NOT NULL").select("u", "v")
     across = across.join(first.withColumnsRenamed({"rank": "u", "doc": "a"}), "u").join(first.withColumnsRenamed({"rank": "v", "doc": "b"}), "v").select("a", "b")
-    edges = rows.filter("doc != hub").select("doc", "hub").unionByName(across.select(F.col("a").alias("doc"), F.col("b").alias("hub"))).filter("doc != hub").distinct()
+    edges = lines.filter("doc != hub").select("doc", "hub").unionByName(across.select(F.col("a").alias("doc"), F.col("b").alias("hub"))).filter("doc != hub").distinct()
     return components(edges.toDF("u", "v")).select(F.col("u").alias("doc"), F.col("v").alias("class"))
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, n_lines, removed, earlier, n_links and class_id of each document that has a line with a word."""
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines (with a word), n_removed, n_links, class_id, removed (line numbers from 0) and earlier (for each, the document of an earlier line) of every row of docs."""
     found = joined(docs)
-    rows = written(decide(found))
-    owners = found.lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
-    owners = found.lines.filter("top").select("doc", "doc_id", "raw").join(owners, "doc")
-    gone = rows.groupBy("doc").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "earlier")))).alias("gone"))
-    own = classes(found, rows)
-    least = written(own.join(found.lines.filter("top").select("doc", "doc_id"), "doc").groupBy("class").agg(F.min("doc_id").alias("class_id")))
-    out = owners.join(gone, "doc", "left").join(own, "doc", "left").join(least, "class", "left")
+    lines = written(decide(found))
+    counts = found.lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
+    gone = lines.groupBy("doc").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "earlier")))).alias("gone"))
+    own = classes(found, lines)
+    least = written(own.join(found.rows, "doc").groupBy("class").agg(F.min("doc_id").alias("class_id")))
+    kept = found.rows.join(counts, "doc").join(gone, "doc", "left").join(own, "doc", "left").join(least, "class", "left")
     class_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    out = written(out.select("doc_id", "raw", "n_lines", F.col("gone.line").alias("removed"), F.col("gone.earlier").alias("earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id")))
+    # Rows of equal doc_id and text share what is known of the one that stayed.
+    kept = kept.select(F.struct("doc_id", "raw", "n_lines", "gone", "n_links", class_id.alias("class_id")).alias("f"))
+    both = found.rows.join(kept, F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("raw") == F.col("f.raw")), "left")
+    empty = F.array().cast(lines.select(F.array(F.struct("line", "earlier"))).schema[0].dataType)
+    out = both.select("doc_id", F.coalesce("f.n_lines", F.lit(0)).alias("n_lines"), F.coalesce("f.n_links", F.lit(0)).alias("n_links"), F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("f.class_id")).alias("class_id"), F.coalesce("f.gone", empty).alias("gone"))
+    out = written(out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), "n_links", "class_id", F.col("gone.line").alias("removed"), F.col("gone.earlier").alias("earlier")))
     found.free()
-    discard(rows, least)
+    discard(lines, least)
     return out
 
 
@@ -636,22 +658,6 @@ def remove(docs: DataFrame) -> DataFrame:
     return both.select(*(field(c) for c in docs.columns))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, class_id, removed and earlier of every row of docs."""
-    found = linked(docs).select(F.struct("*").alias("f"))
-    both = docs.select("doc_id", F.xxhash64("text").alias("raw")).join(found, F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("raw") == F.col("f.raw")), "left")
-    removed = F.coalesce("f.removed", F.array().cast("array<int>"))
-    return both.select(
-        "doc_id",
-        F.coalesce("f.n_lines", F.lit(0)).alias("n_lines"),
-        F.size(removed).cast("long").alias("n_removed"),
-        F.coalesce("f.n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("f.class_id")).alias("class_id"),
-        removed.alias("removed"),
-        F.coalesce("f.earlier", F.array().cast(found.schema["f"].dataType["earlier"].dataType)).alias("earlier"),
-    )
-
-
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
