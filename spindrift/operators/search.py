@@ -164,13 +164,23 @@ def query_words(query: str) -> list[str]:
     return found
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a generator, unlike a projection, is not copied into each use and filter of it."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def occurrences(text: Column, terms: Sequence[str]) -> Column:
+    """The words of a text that are among terms, in order; other words are not listed."""
+    sign = T.WORD.removesuffix("+")
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{sign})(?:{'|'.join(dict.fromkeys(terms))})(?!{sign})"), F.lit(0))
+
+
 def _counted(docs: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """docs with columns n_words and tf (count of each term)."""
-    words = T.words(F.col(text))
-    counted = docs.withColumn("_words", words)
+    counted = once(docs, "_found", occurrences(F.col(text), terms))
     # array_remove is one pass over the words, without a lambda.
-    tf = F.array(*[F.size("_words") - F.size(F.array_remove("_words", t)) for t in terms])
-    return counted.withColumns({"n_words": F.size("_words"), "tf": tf}).drop("_words")
+    tf = F.array(*[F.size("_found") - F.size(F.array_remove("_found", t)) for t in terms])
+    return counted.withColumns({"n_words": F.regexp_count(F.lower(text), F.lit(T.WORD)), "tf": tf}).drop("_found")
 
 
 def keyword_search(docs: DataFrame, query: str, k: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +298,7 @@ def full_text(docs: DataFrame, query: str, min_match: float = 0.3, text: str = "
 
     terms = list(dict.fromkeys(query_words(query)))
     weight = {t: 1.5 * math.log(len(t) + 1) for t in terms}
-    words = docs.withColumn("_words", T.words(F.col(text))).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
+    words = once(docs, "_words", T.words(F.col(text))).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
     hit = [F.array_contains("_words", t).cast("int") for t in terms]
     pairs = [(a, b) for a, b in zip(terms, terms[1:])]
     phrase = [F.when(F.col("_joined").contains(f" {a} {b} "), 2 * max(weight[a], weight[b])).otherwise(0.0) for a, b in pairs]

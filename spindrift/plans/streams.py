@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from spindrift.operators.lineage import shared_folder
 from spindrift.streaming import events as E
 
-from .catalog import query
+from . import analytics  # noqa: F401
+from .catalog import ORACLES, query
 
 
 def _folder(spark):
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")) + "/streams"
+    return shared_folder(spark) + "/streams"
 
 
 def _events(spark, d):
@@ -70,7 +70,7 @@ def stream_messages(spark, d):
     return E.run_available(E.dispatched(messages), _folder(spark)).groupBy("reply").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"SELECT operation AS event_type, sum(n)::BIGINT AS n, sum(allowed)::BIGINT AS allowed FROM ({ORACLES['rate_limit_windows']}) GROUP BY operation")
 def stream_rate_limit(spark, d):
     """Events of each type that pass a limit of five an hour, with state for each key."""
     out = E.run_available(E.rate_limited(_events(spark, d), "event_type", 3600, 5), _folder(spark))

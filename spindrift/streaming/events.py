@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,30 +75,46 @@ def dispatched(messages: DataFrame) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
-    """key, ts, and allowed: in windows that open with the first event after the last one's end, limit events pass."""
+    """key, ts, and allowed: in windows that open with the first event after the last one's end, limit events pass.
+
+    Events of a micro-batch come in order of time, those of a later one after them. Of a key's events in it, only the times are held
+    (8 bytes each); files for each trigger bound their number. Events without a time are left out.
+    """
+    width = seconds * 1_000_000
 
     def step(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (None, 0)
-        for part in parts:
-            part = part.sort_values("ts")
-            allowed = []
-            for t in part["ts"]:
-                micros = int(t.timestamp() * 1_000_000)
-                if start is None or micros - start > seconds * 1_000_000:
-                    start, n = micros, 0
-                n += 1
-                allowed.append(n <= limit)
-            yield pd.DataFrame({key: [k[0]] * len(part), "ts": part["ts"], "allowed": allowed})
+        times = np.sort(np.concatenate([p["ts"].to_numpy("datetime64[us]").astype(np.int64) for p in parts]))
+        allowed = np.zeros(len(times), bool)
+        a = 0
+        while a < len(times):
+            if start is None or times[a] - start > width:
+                start, n = int(times[a]), 0
+            b = int(np.searchsorted(times, start + width, "right"))
+            allowed[a:b] = n + 1 + np.arange(b - a) <= limit
+            n += b - a
+            a = b
         if start is not None:
             state.update((start, n))
+        for a in range(0, len(times), 1 << 16):
+            yield pd.DataFrame({key: k[0], "ts": times[a : a + (1 << 16)].astype("datetime64[us]").astype("datetime64[ns]"), "allowed": allowed[a : a + (1 << 16)]})
 
-    return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "ts").filter("ts IS NOT NULL").groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", name: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Runs a stream over what is there, into a table in memory; or calls each with every batch."""
+def run_available(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Runs a stream over what is there, into Parquet files in folder, which driver and executors share; or calls each with every batch."""
     name = name or f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True)
-    query = (writer.foreachBatch(each) if each else writer.format("memory").queryName(name)).start()
-    query.awaitTermination()
-    return None if each else stream.sparkSession.table(name)
+    spark, path = stream.sparkSession, f"{folder}/{name}-rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True)
+    if each:
+        writer.foreachBatch(each).start().awaitTermination()
+        return None
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        # A batch in complete mode is the whole table, so the last one stays.
+        how = "overwrite" if mode == "complete" else "append"
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        writer.foreachBatch(lambda rows, _: rows.write.mode(how).parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
