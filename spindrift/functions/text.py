@@ -220,6 +220,62 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\d+(?:\.\d+)?|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
 
 
+def filtered_tokens(text: Column, kinds: Sequence[str] | None = None, stop_words: Sequence[str] = (), least: int = 1) -> Column:
+    """tokens of at least so many characters, of these kinds (null: of any), that are no stop words."""
+
+    def fine(t: Column) -> Column:
+        out = F.length(t) >= least
+        out = out & token_type(t).isin(*kinds) if kinds is not None else out
+        return out & ~t.isin(*stop_words) if stop_words else out
+
+    return F.filter(tokens(text), fine)
+
+
+def fine_grained(text: Column, stop_words: Sequence[str] = ()) -> Column:
+    """Words and numbers of a text, without stop words, as one text."""
+    return F.array_join(filtered_tokens(text, ("WORD", "NUMBER"), stop_words), " ")
+
+
+def grown_keywords(keywords: Column, stop_words: Sequence[str] = (), least: int = 2) -> Column:
+    """Keywords, each once, and then the words within them that are not among them."""
+    return F.array_union(keywords, F.flatten(F.transform(keywords, lambda k: filtered_tokens(k, ("WORD", "NUMBER"), stop_words, least))))
+
+
+def tight(text: Column) -> Column:
+    """White space as single spaces, trimmed; of null the empty text."""
+    return F.coalesce(collapsed(text), F.lit(""))
+
+
+def is_date(text: Column, form: str = "yyyy-MM-dd") -> Column:
+    return F.try_to_timestamp(text, F.lit(form)).isNotNull()
+
+
+#: Characters that keep their order in a text written from right to left (fixed value).
+LEFT_TO_RIGHT = r"a-zA-Z0-9 :*./%+-"
+
+
+def reversed_script(text: Column) -> Column:
+    """Characters in reverse order, but runs of LEFT_TO_RIGHT in their own."""
+    runs = F.regexp_extract_all(text, F.lit(f"[{LEFT_TO_RIGHT}]+|[^{LEFT_TO_RIGHT}]"), F.lit(0))
+    return F.array_join(F.reverse(runs), "")
+
+
+#: What looks like a numbered point but is none; what is an article's number; signs that no title has (fixed values).
+NOT_BULLET = r"^(?:0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})"
+ARTICLE = r"^第[零一二三四五六七八九十百0-9]+条"
+NOT_IN_TITLE = r"[,;，。；！!]"
+
+
+def not_bullet(line: Column) -> Column:
+    return line.rlike(NOT_BULLET)
+
+
+def not_title(text: Column) -> Column:
+    """Whether a line is too long for a title (above 12 words, or 32 characters without a space) or has a sign that no title has; an article's number is a title."""
+    long = (F.regexp_count(text, F.lit(r"\S+")) > 12) | (~text.contains(" ") & (F.length(text) >= 32))
+    return ~text.rlike(ARTICLE) & (long | text.rlike(NOT_IN_TITLE))
+
+
 PROTECTED = r"https?://\S+|[\w.-]+@[\w.-]+\.\w+|(?:[A-Z]\.){2,}|\d+(?:[.,]\d+)*|n't|'(?:s|re|ve|ll|d|m)|[\p{L}_]+?(?=n't)|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 

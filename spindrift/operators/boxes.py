@@ -6,7 +6,7 @@ page's or image's boxes in Arrow groups; a page's boxes are few.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,23 +15,70 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 
 #: Types of table cells by the first pattern that matches (fixed values).
-CELLS = {
-    "Dt": r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$|^(20|19)[0-9]{2}年?$|^[0-9]{1,2}[/-][0-9]{1,2}$",
-    "Nu": r"^[0-9.,+%/ -]+$",
-    "Ca": r"^[0-9A-Z/\._~-]+$",
-    "En": r"^[A-Z]*[a-z' -]+$",
-    "NE": r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$",
-    "Sg": r"^.{1}$",
-}
+CELLS = (
+    (r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$", "Dt"),
+    (r"^(20|19)[0-9]{2}年$", "Dt"),
+    (r"^(20|19)[0-9]{2}[年-][0-9]{1,2}月*$", "Dt"),
+    (r"^[0-9]{1,2}[月-][0-9]{1,2}日*$", "Dt"),
+    (r"^第*[一二三四1-4]季度$", "Dt"),
+    (r"^(20|19)[0-9]{2}年*[一二三四1-4]季度$", "Dt"),
+    (r"^(20|19)[0-9]{2}[ABCDE]$", "Dt"),
+    (r"^[0-9.,+%/ -]+$", "Nu"),
+    (r"^[0-9A-Z/\._~-]+$", "Ca"),
+    (r"^[A-Z]*[a-z' -]+$", "En"),
+    (r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$", "NE"),
+    (r"^.{1}$", "Sg"),
+)
+#: How the caption of a figure or table begins (fixed value).
+CAPTION = r"^[图表]+[ 0-9:：]{2,}"
 
 
 def cell_type(text: Column) -> Column:
-    words = F.size(T.words(text))
-    return F.when(T.first_match(text, CELLS, "?") != "?", T.first_match(text, CELLS, "?")).when(words > 3, F.when(words < 12, "Tx").otherwise("Lx")).otherwise("Ot")
+    """Type by CELLS; else by the number of words of two letters or more: Tx above 3, Lx from 12, Ot."""
+    text = F.trim(text)
+    words = F.size(F.filter(T.words(text), lambda w: F.length(w) > 1))
+    by_words = F.when(words > 11, "Lx").when(words > 3, "Tx").otherwise("Ot")
+    return F.coalesce(*[F.when(text.rlike(pattern), kind) for pattern, kind in CELLS], by_words)
 
 
-def is_caption(text: Column) -> Column:
-    return text.rlike(r"^\s*(图|表|Fig(ure)?\.?|Table)\s*\d+")
+def is_caption(text: Column, kind: Column | None = None) -> Column:
+    """Whether a box begins like a caption, or its kind names one."""
+    found = F.trim(text).rlike(CAPTION)
+    return found if kind is None else found | kind.contains("caption")
+
+
+def base_font(spans: DataFrame, page: str, size: str, default: float = 12.0) -> DataFrame:
+    """page and base: the median size of a page's spans; sizes that are null or 0 do not count."""
+    return spans.groupBy(page).agg(F.coalesce(F.median(F.when(F.col(size) != 0, F.col(size).cast("double"))), F.lit(default)).alias("base"))
+
+
+def char_width(x0: Column, x1: Column, text: Column) -> Column:
+    return (x1 - x0) / F.greatest(F.length(F.trim(text)), F.lit(1))
+
+
+def block_height(top: Column, bottom: Column) -> Column:
+    return bottom - top
+
+
+def x_distance(a: Column, b: Column) -> Column:
+    """Between the left sides of two blocks."""
+    return F.abs(a - b)
+
+
+def heading_levels(sections: DataFrame, patterns: Sequence[str], text: str = "text", layout: str = "layout") -> DataFrame:
+    """sections with level: the first of patterns that the text begins with; their number for other titles; one more for the rest."""
+    n = len(patterns)
+    body = F.col(text)
+    title = F.col(layout).rlike("title|head") & ~T.not_title(F.substring_index(body, "@", 1))
+    found = [F.when(body.rlike(rf"^\s*(?:{p})") & ~T.not_bullet(body), i) for i, p in enumerate(patterns)]
+    return sections.withColumn("level", F.coalesce(*found, F.when(title, n), F.lit(n + 1)))
+
+
+def heading_mode(levels: DataFrame, by: str, place: str, n: int) -> DataFrame:
+    """by and level: the commonest level of at most n, of equals the one that comes first; n + 1 where no section has one."""
+    counts = levels.groupBy(by, "level").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    best = F.max_by(F.when(F.col("level") <= n, F.col("level")), F.when(F.col("level") <= n, F.struct("n", -F.col("first"))))
+    return counts.groupBy(by).agg(F.coalesce(best, F.lit(n + 1)).alias("level"))
 
 
 def element_type(size: Column, base: Column, bold: Column) -> Column:

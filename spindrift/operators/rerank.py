@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,5 +102,17 @@ def result_analysis(hits: DataFrame, least: float, fields: Sequence[str]) -> Dat
     )
 
 
+def prerequisite_hits(results: DataFrame, docs: DataFrame, k: int = 2, key: str = "doc_id") -> DataFrame:
+    """key, found and rank: for each result the first k documents, by key, that have a topic among its prerequisites.
+
+    results: key and prerequisites; docs: key and topics. Only the first k documents of a topic can be among those, so no more meet the results.
+    """
+    have = docs.select(F.col(key).alias("found"), F.explode(F.array_distinct("topics")).alias("topic"))
+    first = have.withColumn("n", F.row_number().over(Window.partitionBy("topic").orderBy("found"))).filter(F.col("n") <= k)
+    wanted = results.select(key, F.explode(F.array_distinct("prerequisites")).alias("topic"))
+    met = wanted.join(first, "topic").select(key, "found").distinct()
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("found"))).filter(F.col("rank") <= k)
+
+
 def with_defaults(hits: DataFrame, defaults: Mapping[str, Any]) -> DataFrame:
     return hits.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
