@@ -49,7 +49,8 @@ STAGES = [
     ("byte_pairs", byte_pairs),
 ]
 
-#: The rules' estimates, the samples and the merges are beyond SQL; tests hold run() against a plain version.
+#: The rules' estimates, the samples and the merges are beyond SQL. Tests hold each stage's operator against a plain version, and run() against
+#: the stages called one by one; there is no plain version of the whole.
 ORACLE_SQL = None
 
 
