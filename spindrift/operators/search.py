@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.functions import vector as V
 
-from .lineage import checkpointed
-
 OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "eq": lambda c, v: c.eqNullSafe(F.lit(v)),
     "ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),
@@ -127,32 +125,6 @@ def batch_search(vectors: DataFrame, queries: Sequence[tuple[Any, Sequence[float
     return ranked.filter(F.col("rank") <= k)
 
 
-def block_search(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """query_id, key, score and rank as batch_search gives them, for queries in a table of the same columns, of any number.
-
-    The driver holds block queries at a time; each block is searched among all vectors and its hits are stored before the next
-    is read. Queries that are null or of length zero have no hits.
-    """
-    found: list[DataFrame] = []
-    held: dict[int, list] = {}
-
-    def search(some: list) -> None:
-        found.append(checkpointed(batch_search(vectors, some, k, key=key, vector=vector)))
-
-    for r in queries.select(key, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
-        if any(r[1]):
-            some = held.setdefault(len(r[1]), [])
-            some.append((r[0], r[1]))
-            if len(some) == block:
-                search(held.pop(len(r[1])))
-    for some in held.values():
-        search(some)
-    if not found:
-        kind = vectors.schema[key].dataType.simpleString()
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
-    return reduce(DataFrame.unionByName, found)
-
-
 # --- words
 
 def query_words(query: str) -> list[str]:
@@ -176,7 +148,8 @@ def occurrences(text: Column, terms: Sequence[str]) -> Column:
 
 
 def _counted(docs: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
-    """docs with columns n_words and tf (count of each term)."""
+    """docs with columns n_words and tf (count of each term). A null text has no words."""
+    docs = docs.withColumn(text, F.coalesce(text, F.lit("")))
     counted = once(docs, "_found", occurrences(F.col(text), terms))
     # array_remove is one pass over the words, without a lambda.
     tf = F.array(*[F.size("_found") - F.size(F.array_remove("_found", t)) for t in terms])

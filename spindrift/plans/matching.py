@@ -8,7 +8,7 @@ from spindrift.functions import text as T
 from spindrift.functions import vector as V
 from spindrift.operators import chunking as C
 from spindrift.operators import matching as M
-from spindrift.operators import search as S
+from spindrift.operators import neighbours as N
 from spindrift.sources.tables import read
 
 from .catalog import query
@@ -43,7 +43,11 @@ def citations(spark, d):
     return rounded(M.citations(pairs), "similarity")
 
 
-@query(None)
+@query(f"""WITH s AS (SELECT a.vec_id AS piece, b.vec_id AS chunk, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % {EVERY} = 0 AND b.vec_id != a.vec_id),
+m AS (SELECT *, 0.99::DOUBLE * max(s) OVER (PARTITION BY piece) AS best FROM s), t AS (SELECT max(best) AS top FROM m),
+l AS (SELECT CASE WHEN top >= 0.63::DOUBLE THEN 0.63::DOUBLE WHEN top >= 0.504::DOUBLE THEN 0.504 WHEN top >= 0.4032::DOUBLE THEN 0.4032 WHEN top >= 0.32256::DOUBLE THEN 0.32256 END AS level FROM t),
+r AS (SELECT piece, chunk, s, row_number() OVER (PARTITION BY piece ORDER BY s DESC, chunk) AS n FROM m, l WHERE best >= level AND s > best)
+SELECT piece, chunk, round(s, 6) AS similarity FROM r WHERE n <= 4""")
 def citations_all(spark, d):
     """Every vector whose id is divisible by EVERY is a piece, all others are chunks; citations, as its SQL, takes ten pieces."""
     v = read(spark, d, "embeddings")
@@ -52,7 +56,7 @@ def citations_all(spark, d):
 
 def cited(vectors, pieces, most=4):
     """What M.citations gives for each piece and all vectors but itself: no more than a piece's most nearest matter, so no others are kept."""
-    hits = S.block_search(vectors, pieces, most + 1).filter("query_id != vec_id")
+    hits = N.vector_join(vectors, pieces, most + 1).filter("query_id != vec_id")
     return M.citations(hits.select(F.col("query_id").alias("piece"), F.col("vec_id").alias("chunk"), F.col("score").alias("similarity")), most)
 
 

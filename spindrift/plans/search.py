@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.functions import vector as V
+from spindrift.operators import index as I
+from spindrift.operators import neighbours as N
 from spindrift.operators import rerank as R
 from spindrift.operators import search as S
 from spindrift.sources.tables import read
@@ -28,6 +30,11 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def stored_index(spark: SparkSession, d: str) -> I.Index:
+    """The stored index of the documents: built by the first query that needs it, read by the others."""
+    return I.index_of(spark, f"{d}/documents.parquet")
+
+
 def _dots(threshold: str = "", where: str = "") -> str:
     return f"SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], {QV}) AS s FROM embeddings {where}"
 
@@ -42,7 +49,7 @@ c AS (SELECT coalesce(s.doc_id, k.doc_id) AS doc_id, coalesce(s.s, 0) AS semanti
 t AS (SELECT c.doc_id, semantic_score, keyword_score, boost * (0.7::DOUBLE * semantic_score + 0.3::DOUBLE * keyword_score) AS score FROM c JOIN documents d ON c.doc_id = d.doc_id WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 20)
 SELECT doc_id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score, round(score, 6) AS score FROM t""")
 def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.hybrid_search(read(spark, d, "documents"), read(spark, d, "embeddings"), WORDS, vector_of(spark, d, 0), 20, boost=1.2, filters={"lang": "en"})
+    hits = stored_index(spark, d).hybrid(read(spark, d, "embeddings"), WORDS, vector_of(spark, d, 0), 20, boost=1.2, filters={"lang": "en"})
     return rounded(hits, "semantic_score", "keyword_score", "score")
 
 
@@ -84,11 +91,39 @@ def batch_vector_topk(spark, d):
 EVERY = 20
 
 
-@query(None)
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {EVERY} = 0),
+r AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS s FROM embeddings, q),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM r)
+SELECT query_id, vec_id, round(s, 6) AS score, rank::INT AS rank FROM n WHERE rank <= 5""")
 def batch_vector_topk_all(spark, d):
     """Every vector whose id is divisible by EVERY among all; batch_vector_topk, as its SQL, takes eight."""
     vectors = read(spark, d, "embeddings")
-    return rounded(S.block_search(vectors, vectors.filter(F.col("vec_id") % EVERY == 0), 5), "score")
+    return rounded(N.vector_join(vectors, vectors.filter(F.col("vec_id") % EVERY == 0), 5), "score")
+
+
+#: Hits of an approximate search, and the share of the exact ones that its number of probes is set for.
+ANN_HITS, ANN_RECALL = 10, 0.95
+
+
+def _inverted_file(spark, d):
+    vectors = read(spark, d, "embeddings")
+    file = N.InvertedFile.build(vectors)
+    return vectors, file.search(vectors.filter(F.col("vec_id") % EVERY == 0), ANN_HITS, file.probes_for(vectors, ANN_HITS, ANN_RECALL))
+
+
+@query(None)
+def ann_topk(spark, d):
+    """Every vector whose id is divisible by EVERY among those of its nearest cells."""
+    return rounded(_inverted_file(spark, d)[1], "score")
+
+
+@query(None)
+def ann_recall(spark, d):
+    """How many of the exact nearest vectors ann_topk finds."""
+    vectors, found = _inverted_file(spark, d)
+    exact = N.vector_join(vectors, vectors.filter(F.col("vec_id") % EVERY == 0), ANN_HITS)
+    own = found.select("query_id", "vec_id", F.lit(1).alias("found"))
+    return exact.join(own, ["query_id", "vec_id"], "left").agg(F.count("*").alias("n_exact"), F.count("found").alias("n_found"), F.round(F.avg(F.coalesce("found", F.lit(0))), 6).alias("recall"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean,
@@ -152,7 +187,7 @@ def chain_similarity(spark, d):
 
 @query(f"SELECT doc_id, round(hits / {float(len(TERMS))}::DOUBLE, 6) AS score, exact_match FROM ({KEYWORD}) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 20")
 def keyword_search(spark, d):
-    return rounded(S.keyword_search(read(spark, d, "documents"), WORDS, 20).select("doc_id", "score", "exact_match"), "score")
+    return rounded(stored_index(spark, d).keyword(WORDS, 20).select("doc_id", "score", "exact_match"), "score")
 
 
 @query("SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%the and%'")
@@ -162,8 +197,7 @@ def exact_match(spark, d):
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def inverted_index_df(spark, d):
-    index = S.inverted_index(read(spark, d, "documents"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return stored_index(spark, d).frequencies()
 
 
 @query(f"SELECT doc_id, round(sum(CASE term {' '.join(f'''WHEN '{t}' THEN {TERMS.count(t)}''' for t in TERMS)} END) / {float(len(TERMS))}::DOUBLE, 6) AS score FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE term IN ({', '.join(f'''{t!r}''' for t in TERMS)}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25")
@@ -182,17 +216,44 @@ b AS (SELECT doc_id, {" + ".join(f"i{i} * (f{i} * 2.5::DOUBLE / (f{i} + 1.5::DOU
 
 @query(f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    return rounded(S.top(S.bm25(read(spark, d, "documents"), WORDS), 20, score="bm25"), "bm25")
+    return rounded(stored_index(spark, d).bm25(WORDS, 20), "bm25")
 
 
 @query(f"""WITH {BM25}, s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], {QV}) AS s FROM embeddings),
 h AS (SELECT doc_id, s, bm25, 0.7::DOUBLE * s + 0.3::DOUBLE * bm25 AS score FROM b JOIN s ON doc_id = vec_id ORDER BY score DESC, doc_id LIMIT 20)
 SELECT doc_id, round(s, 6) AS vector_score, round(bm25, 6) AS bm25, round(score, 6) AS score FROM h""")
 def bm25_vector_hybrid(spark, d):
-    hits = S.bm25_vector(read(spark, d, "documents"), read(spark, d, "embeddings"), WORDS, vector_of(spark, d, 0), 20)
+    hits = stored_index(spark, d).bm25_vector(read(spark, d, "embeddings"), WORDS, vector_of(spark, d, 0), 20)
     return rounded(hits.select("doc_id", "vector_score", "bm25", "score"), "vector_score", "bm25", "score")
 
 
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), g AS (SELECT count(*) AS n FROM documents)
+SELECT (SELECT n FROM g) AS n_docs, (SELECT count(*) FROM t) AS n_words, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(avg(ln((SELECT n FROM g) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE)), 6) AS mean_idf FROM f""")
+def index_build(spark, d):
+    """A new index of all documents, and what it counts."""
+    index = I.Index.build(read(spark, d, "documents"), I.new_path(spark))
+    n_terms, mean_idf = index.means
+    counts = index.frequencies().agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return counts.select(F.lit(index.commit.n_docs).cast("long").alias("n_docs"), F.lit(index.commit.n_words).cast("long").alias("n_words"), "n_terms", "n_postings", F.round(F.lit(mean_idf), 6).alias("mean_idf"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 20")
+def index_segments(spark, d):
+    """BM25 over an index of three segments, two of them appended."""
+    docs = read(spark, d, "documents")
+    part = F.col("doc_id") % 10
+    index = I.Index.build(docs.filter(part > 1), I.new_path(spark)).append(docs.filter(part == 0)).append(docs.filter(part == 1))
+    return rounded(index.bm25(WORDS, 20), "bm25")
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 20")
+def index_merged(spark, d):
+    """BM25 over two segments that were merged."""
+    docs = read(spark, d, "documents")
+    late = F.col("doc_id") % 3 == 0
+    return rounded(I.Index.build(docs.filter(~late), I.new_path(spark)).append(docs.filter(late)).merge().bm25(WORDS, 20), "bm25")
+
+
 WEIGHTS = {"the": 1.0, "ertion": 2.5, "andthe": 0.5, "of": 0.7}
 TOKEN_SCORE = f"({' + '.join(f'''CASE WHEN list_contains(w, '{t}') THEN least({w}::DOUBLE, 1.5::DOUBLE * ln({len(t)} + 1.0::DOUBLE)) ELSE 0 END''' for t, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())}::DOUBLE"
 
@@ -218,8 +279,8 @@ def _kw(words: str, k: int, name: str) -> str:
 
 @query(f"WITH {_kw('the of', 15, 'a')}, {_kw('ertion', 15, 'b')}, {_kw('and thtion', 15, 'c')} SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY doc_id ORDER BY max(score) DESC, doc_id LIMIT 15")
 def multi_query_max(spark, d):
-    docs = read(spark, d, "documents")
-    return rounded(S.fuse_queries([S.keyword_search(docs, q, 15) for q in ("the of", "ertion", "and thtion")], 15), "score")
+    index = stored_index(spark, d)
+    return rounded(S.fuse_queries([index.keyword(q, 15) for q in ("the of", "ertion", "and thtion")], 15), "score")
 
 
 @query(f"""WITH a AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], {QV}) AS score FROM embeddings ORDER BY score DESC, doc_id LIMIT 10), {_kw('the of', 30, 'b')},

@@ -12,6 +12,7 @@ from spindrift.operators import boxes as B
 from spindrift.operators import chunking as C
 from spindrift.operators import feedback as A
 from spindrift.operators import graph as G
+from spindrift.operators import neighbours as N
 from spindrift.operators import search as S
 from spindrift.operators import store as W
 from spindrift.operators import terms as K
@@ -215,9 +216,10 @@ def test_blocks_of_queries_find_what_brute_force_finds(spark):
     rows = vectors_of(300)
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     wanted = nearest(rows, range(0, 10_000, 20), 5)
-    found = S.block_search(vectors, vectors.filter("vec_id % 20 = 0"), 5, block=4).collect()
+    found = N.vector_join(vectors, vectors.filter("vec_id % 20 = 0"), 5, block_rows=70, block_queries=4).collect()
     assert len(found) == len(wanted) == 75 and {(r["query_id"], r["vec_id"]): r["score"] for r in found} == pytest.approx(wanted)
-    assert S.block_search(vectors, vectors.filter("false"), 5).count() == 0
+    assert N.vector_join(vectors, vectors.filter("false"), 5).count() == 0
+    assert N.vector_join(vectors.filter("false"), vectors, 5).count() == 0
 
 
 def test_every_twentieth_vector_is_a_query(spark, data):
