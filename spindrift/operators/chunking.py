@@ -1,12 +1,12 @@
 """Chunkers: from one text to rows of chunks.
 
-Greedy packing carries state from sentence to sentence, so it is a fold over a text's array of sentences; the
-other chunkers are slices of a sequence.
+Greedy packing carries state from sentence to sentence, so it is a loop over the sizes of a text's sentences, in Arrow batches;
+the other chunkers are slices of a sequence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,23 +29,37 @@ def chunk_id(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def _packed(parts: Column, size: Callable[[Column], Column], full: Callable[[Column, Column], Column], joiner: str) -> Column:
-    """Fold that appends parts to the last chunk unless full(its size so far, the part's size)."""
-    start = F.array().cast("array<struct<text: string, n: bigint>>")
+def runs(sizes: list[int], limit: int, mode: str, extra: int = 0) -> list[dict]:
+    """Greedy packing of sizes in order, as start, n and size of each run.
 
-    def step(done: Column, part: Column) -> Column:
-        n = size(part).cast("bigint")
-        last = F.element_at(done, -1)
-        new = F.array(F.struct(part.alias("text"), n.alias("n")))
-        grown = F.array(F.struct(F.concat(last["text"], F.lit(joiner), part).alias("text"), (last["n"] + n).alias("n")))
-        return F.when(F.size(done) == 0, new).when(full(last["n"], n), F.concat(done, new)).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), grown))
+    mode: fits, a run takes a part while the sum stays within limit; over, until it is above limit; least, while it is below limit.
+    extra: what each further part adds besides its size.
+    """
+    out: list[dict] = []
+    for i, size in enumerate(sizes):
+        last = out[-1]["size"] if out else None
+        if last is not None and (last + size <= limit if mode == "fits" else last <= limit if mode == "over" else last < limit):
+            out[-1]["n"] += 1
+            out[-1]["size"] += size + extra
+        else:
+            out.append({"start": i, "n": 1, "size": size})
+    return out
+
+
+def _packed(parts: Column, sizes: Column, limit: int, mode: str, joiner: str, extra: int = 0) -> Column:
+    """Array of text and n: parts packed in order by their sizes. Only the sizes enter Python, and each part is copied once."""
 
-    return F.aggregate(parts, start, step)
+    @F.pandas_udf("array<struct<start: int, n: int, size: bigint>>")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in batches:
+            yield pd.Series([None if s is None else runs(s, limit, mode, extra) for s in each], dtype=object)
+
+    return F.transform(pack(sizes), lambda r: F.struct(F.array_join(F.slice(parts, r["start"] + 1, r["n"]), joiner).alias("text"), r["size"].alias("n")))
 
 
 def sentence_chunks(docs: DataFrame, size: int = 512, *, valid_only: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, chunk_index, chunk and chunk_id: sentences packed while their lengths sum to at most size."""
-    packed = _packed(T.sentences(F.col(text)), F.length, lambda total, n: total + n > size, " ")
+    packed = _packed(T.sentences(F.col(text)), F.transform(T.sentences(F.col(text)), F.length), size, "fits", " ")
     rows = docs.select(key, F.posexplode(F.transform(packed, lambda c: c["text"])).alias("chunk_index", "chunk"))
     rows = rows.filter(T.is_valid_chunk(F.col("chunk"))) if valid_only else rows
     return rows.withColumn("chunk_id", chunk_id(F.col("chunk")))
@@ -79,36 +93,54 @@ def word_windows(docs: DataFrame, size: int = 512, step: int = 384, *, key: str
 def word_budget_chunks(docs: DataFrame, budget: int = 512, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines packed while their words sum to at most budget."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    packed = _packed(lines, lambda s: F.size(F.split(F.trim(s), r"\s+")), lambda total, n: total + n > budget, "\n")
+    packed = _packed(lines, F.transform(lines, lambda s: F.size(F.split(F.trim(s), r"\s+"))), budget, "fits", "\n")
     return docs.select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_words"))
 
 
 def naive_merge(docs: DataFrame, tokens: int = 128, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines appended to a chunk until it has more than so many tokens."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    packed = _packed(lines, lambda s: F.size(T.tokens(s)), lambda total, n: total > tokens, "\n")
+    packed = _packed(lines, F.transform(lines, lambda s: F.size(T.tokens(s))), tokens, "over", "\n")
     return docs.select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_tokens"))
 
 
 def merge_small(chunks: Column, least: int = 100) -> Column:
     """Chunks below least characters are joined with the next; the last may stay small."""
-    start = F.array().cast("array<string>")
-    step = lambda done, c: F.when((F.size(done) > 0) & (F.length(F.element_at(done, -1)) < least), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", F.element_at(done, -1), c)))).otherwise(F.concat(done, F.array(c)))
-    return F.aggregate(chunks, start, step)
+    return F.transform(_packed(chunks, F.transform(chunks, F.length), least, "least", " ", extra=1), lambda c: c["text"])
 
 
 def accumulated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_rest: bool = True) -> DataFrame:
     """Sentences gathered until together they are a valid chunk; keep_rest: what is left at the end is one too."""
-    done = F.lit(None).cast("string")
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), done.alias("open"))
-
-    def step(s: Column, part: Column) -> Column:
-        now = F.concat_ws(" ", s["open"], part)
-        return F.when(T.is_valid_chunk(now), F.struct(F.concat(s["chunks"], F.array(now)).alias("chunks"), done.alias("open"))).otherwise(F.struct(s["chunks"].alias("chunks"), now.alias("open")))
-
-    state = F.aggregate(T.sentences(F.col(text)), start, step)
-    chunks = F.when(state["open"].isNotNull(), F.concat(state["chunks"], F.array(state["open"]))).otherwise(state["chunks"]) if keep_rest else state["chunks"]
-    return docs.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    sentences = T.sentences(F.col(text))
+    # What a sentence adds to the brackets that are open, whether it ends one, and its length.
+    signs = F.transform(sentences, lambda s: F.struct(F.length(s).alias("size"), T.is_complete(s).alias("ends"), F.regexp_replace(s, r"[^()\[\]{}]", "").alias("signs")))
+
+    @F.pandas_udf("array<struct<start: int, n: int>>")
+    def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in batches:
+            yield pd.Series([None if s is None else accumulated(s, keep_rest) for s in each], dtype=object)
+
+    rows = docs.select(key, sentences.alias("_s"), F.posexplode(gather(signs)).alias("chunk_index", "r"))
+    return rows.select(key, "chunk_index", F.array_join(F.slice("_s", F.col("r.start") + 1, F.col("r.n")), " ").alias("chunk"))
+
+
+def accumulated(sentences: list[dict], keep_rest: bool, least: int = 50) -> list[dict]:
+    """Start and n of runs of sentences that are valid chunks as soon as they are; of size, ends and signs of each."""
+    out, start, size, stack = [], 0, -1, []
+    for i, s in enumerate(sentences):
+        size += s["size"] + 1
+        for c in s["signs"]:
+            if stack and stack[-1] + c in ("()", "[]", "{}"):
+                stack.pop()
+            else:
+                # A closing sign without its opening one stays below all others: the run is never balanced.
+                stack.append(c)
+        if size >= least and s["ends"] and not stack:
+            out.append({"start": start, "n": i + 1 - start})
+            start, size, stack = i + 1, -1, []
+    if keep_rest and start < len(sentences):
+        out.append({"start": start, "n": len(sentences) - start})
+    return out
 
 
 def lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import chunking as C
+from spindrift.operators import outline as O
 from spindrift.sources.tables import read
 
 from .catalog import query
@@ -100,3 +101,42 @@ SELECT a.doc_id, a.line_no::INT AS line_no, a.level::INT AS level, h.line AS hea
 def heading_hierarchy(spark, d):
     """Each line with the nearest headings above; here short lines are headings."""
     return C.hierarchy(C.lines(read(spark, d, "documents")), ["^.{0,20}$", "^.{0,60}$"]).drop("line")
+
+
+LETTERED = "(?:(?:PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN))|(?:Chapter (I+V?|VI*|XI|IX|X))|(?:Section [0-9]+)|(?:Article [0-9]+))"
+NUMBERED = r"(?:(?:第[0-9]+章)|(?:第[0-9]+节)|(?:[0-9]{0,2}[\. 、])|(?:[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-])|(?:[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2})|(?:[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}))"
+BRACKETED = r"[(（][零一二三四五六七八九十百]+[)）]"
+SET_ZERO = rf"(?:第[零一二三四五六七八九十百0-9]+(?:分?编|部分|章|节|条)|{BRACKETED})"
+SET_TWO = rf"(?:第[零一二三四五六七八九十百0-9]+(?:章|节)|[零一二三四五六七八九十百]+[ 、]|{BRACKETED}|[(（][0-9]{{0,2}}[)）])"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+v AS (SELECT doc_id, [count(*) FILTER (good AND regexp_matches(line, '^{SET_ZERO}')), count(*) FILTER (good AND regexp_matches(line, '^{NUMBERED}')), count(*) FILTER (good AND regexp_matches(line, '^{SET_TWO}')), count(*) FILTER (good AND regexp_matches(line, '^{LETTERED}'))] AS n
+FROM (SELECT *, NOT regexp_matches(line, '^(?:0|[0-9]+ +[0-9~个只-]|[0-9]+[.][.]+)') AS good FROM l) GROUP BY doc_id)
+SELECT doc_id, (CASE WHEN list_max(n) = 0 THEN -1 ELSE list_position(n, list_max(n)) - 1 END)::INT AS style FROM v""")
+def heading_style(spark, d):
+    """The set of heading patterns that most lines of a document begin with."""
+    return read(spark, d, "documents").select("doc_id", O.heading_set(F.split("text", "\n")).alias("style"))
+
+
+def numbered(docs):
+    """Documents whose lines become sections: every fifth line a heading by its place, as the texts have few of their own."""
+    heads = F.when((F.col("i") % 25) == 0, F.concat(F.lit("PART "), F.element_at(F.array(*map(F.lit, "ONE TWO THREE FOUR FIVE".split())), (F.col("i") % 5 + 1).cast("int")))).when((F.col("i") % 5) == 0, F.concat(F.lit("Section "), F.col("i").cast("string")))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", F.concat_ws("\n", heads, "line").alias("line"))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(None)
+def hierarchical_chunks(spark, d):
+    """Lines with the headings above them; tests hold it against a plain version."""
+    chunks = O.hierarchical_chunks(numbered(read(spark, d, "documents")))
+    return chunks.select("doc_id", "style", "chunk_index", F.size("places").alias("n_lines"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query(None)
+def question_bullets(spark, d):
+    """Order lines as boxes of a page (the order), some of which open numbered questions."""
+    items = read(spark, d, "lineitem")
+    text = F.concat(F.col("l_linenumber").cast("string"), F.lit(". "), F.when(F.col("l_quantity") % 3 == 0, "What is ").otherwise(""), F.col("l_returnflag"), F.when(F.col("l_quantity") % 7 == 0, ":").otherwise(""))
+    boxes = items.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("box"), (F.col("l_quantity") % 13).alias("x0"), (30 * F.col("l_linenumber") - F.col("l_quantity") % 11).alias("top"), text.alias("text"), F.when(F.col("l_quantity") % 5 == 0, "title").otherwise("text").alias("layout"))
+    return O.question_bullets(boxes, O.QUESTIONS[5])
