@@ -8,7 +8,8 @@ pages of the host: a text that stands on nearly all pages that have the node is
 and its other texts vary; for a path that the pivot lacks, the pages must be half of the host's as well, as copies of one odd page
 are no template. A page's text is all other text
 within the page's article where it marks one, without parts whose element or name says menu, header,
-footer, sidebar, notice, advert, form or comment.
+footer, sidebar, notice, advert, form or comment. Within an article names count less (_named), and articles beside
+which more text stands than in them are teasers.
 
 Defined cases: a null or empty page has the empty text; a host of fewer than LEAST_PAGES pages, and a
 null url, has no template nodes, so elements and names alone decide; where all of an article
@@ -55,6 +56,10 @@ DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices pager pagination popup promo related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+#: Of these the names of readers' comments: an article within such a part is one of them, and no article of the page.
+COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: Elements of running text: within an article no name makes them anything else.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr blockquote pre figure figcaption".split())
 #: Attributes of a tag: quotes count after "=" only, and what is not ended reaches to the page's end, so that no place is read twice.
 _ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?|["'])*+"""
 TOKEN = re.compile(
@@ -71,10 +76,10 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "dropped", "parts", "template")
+    __slots__ = ("tag", "name", "dropped", "comment", "parts", "template", "total", "linked", "shown", "holds")
 
-    def __init__(self, tag: str, name: str = "", dropped: bool = False):
-        self.tag, self.name, self.dropped, self.template = tag, name, dropped, False
+    def __init__(self, tag: str, name: str = "", dropped: bool = False, comment: bool = False):
+        self.tag, self.name, self.dropped, self.comment, self.template = tag, name, dropped, comment, False
         self.parts: list = []  # Nodes and strings in order
 
     @property
@@ -83,15 +88,19 @@ class Node:
 
 
 @lru_cache(10_000)
-def _no_content(token: str) -> bool:
-    """Whether a class or id names a menu, an advert and the like: by all its words."""
+def _no_content(token: str) -> tuple[bool, bool]:
+    """Whether a class or id names a menu, an advert and the like, by all its words; and whether it names comments."""
     pieces = [p.lower() for p in PIECE.findall(token)]
-    return any(p in DROPPED_NAMES for p in pieces) and all(p in DROPPED_NAMES or p in BESIDE for p in pieces)
+    named = any(p in DROPPED_NAMES for p in pieces) and all(p in DROPPED_NAMES or p in BESIDE for p in pieces)
+    return named, named and any(p in COMMENT_NAMES for p in pieces)
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """The element's class, for alignment, and whether its names say that it is no content."""
-    name, dropped = "", False
+def _named(attributes: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
+    """The element's class, for alignment, whether it is no content, and whether its names say comments. inside: it lies in an article.
+
+    Within an article an id may be a link's target, so only classes count there, and ids for comments alone.
+    """
+    name, dropped, by_class, by_id, comment = "", False, False, False, False
     for m in NAMES.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden":
@@ -101,58 +110,83 @@ def _named(attributes: str) -> tuple[str, bool]:
         elif key == "role":
             dropped |= value.strip().lower() in DROPPED_ROLES
         else:
-            name = value if key == "class" else name
-            dropped |= any(_no_content(token) for token in value.split())
-    return name, dropped
+            found = [_no_content(token) for token in value.split()]
+            comment |= any(c for _, c in found)
+            if key == "class":
+                name = value
+                by_class |= any(f for f, _ in found)
+            else:
+                by_id |= any(f for f, _ in found)
+    if inside:
+        if tag in TEXTUAL:
+            return name, dropped, False
+        return name, dropped or by_class or comment, comment
+    return name, dropped or by_class or by_id, comment
+
+
+class _Open:
+    """The open elements of a page: where the last one of a tag, and the last block, stands, without a search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else 0
+
+    def add(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, at: int) -> None:
+        """Ends the element at a place and all that is open within it."""
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+        del self.nodes[at:]
 
 
 def parse(page: str) -> Node:
     """The tree of a page, without comments, scripts and the like."""
     root = Node("#")
-    stack = [root]
+    open_ = _Open(root)
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
+            open_.nodes[-1].parts.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            place = open_.last(tag)
+            # An inline element's end does not close a block that was opened in it.
+            if place and not (tag in INLINE and open_.blocks[-1] > place):
+                open_.close(place)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                stack[-1].parts.append(" " if tag == "br" else Node(tag))
+                open_.nodes[-1].parts.append(" " if tag == "br" else Node(tag))
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            if (place := open_.last("p")) and open_.blocks[-1] == place:
+                open_.close(place)
         elif tag in CLOSES:
             ended, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ended.split():
-                    del stack[i:]
-                    break
-                if stack[i].tag in within:
-                    break
-        name, dropped = _named(m[4]) if m[4] and not m[4].isspace() else ("", False)
-        node = Node(tag, name, dropped or tag in DROPPED)
-        stack[-1].parts.append(node)
+            place = max(map(open_.last, ended.split()))
+            if place > max(map(open_.last, within)):
+                open_.close(place)
+        inside = bool(open_.last("article") or open_.last("main"))
+        name, dropped, comment = _named(m[4], tag, inside) if m[4] and not m[4].isspace() else ("", False, False)
+        node = Node(tag, name, dropped or tag in DROPPED, comment)
+        open_.nodes[-1].parts.append(node)
         if not m[4].endswith("/") or tag not in ("path", "use"):
-            stack.append(node)
+            open_.add(node)
     if at < len(page):
-        stack[-1].parts.append(page[at:])
+        open_.nodes[-1].parts.append(page[at:])
     return root
 
 
@@ -384,30 +418,61 @@ def _within(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _holds(node: Node) -> bool:
-    """Whether an article or the main part lies inside."""
-    todo = [node]
+def _measure(root: Node) -> None:
+    """Sets of each node: characters of its text that is not dropped (total), in links (linked), neither in links nor template (shown), and whether it holds an article."""
+    order, todo = [], [root]
     while todo:
         n = todo.pop()
-        if n.tag in ("article", "main") and not n.dropped:
-            return True
+        order.append(n)
         todo.extend(p for p in n.parts if not isinstance(p, str))
-    return False
+    for n in reversed(order):
+        n.total = n.linked = n.shown = 0
+        n.holds = False
+        for p in n.parts:
+            if isinstance(p, str):
+                size = len("".join(p.split()))
+                n.total += size
+                n.shown += size
+            else:
+                n.holds |= p.holds or (p.tag in ("article", "main") and not p.dropped)
+                if not p.dropped:
+                    n.total += p.total
+                    n.linked += p.linked
+                    n.shown += p.shown
+        if n.tag == "a":
+            n.linked, n.shown = n.total, 0
+        if n.template:
+            n.shown = 0
+
+
+#: Share of links from which a part is a list of them.
+LINKED = 0.6
 
 
 def main_text(root: Node) -> str:
     """Text of a page whose template nodes are marked."""
+    _measure(root)
     todo = [root]
-    while todo:  # a wrapper around the article is no header or sidebar, whatever its name
+    while todo:  # a wrapper around the article is no header or sidebar, whatever its name, but comments are comments
         n = todo.pop()
         for p in n.parts:
             if not isinstance(p, str) and p.tag not in DROPPED:
-                if p.dropped and p.tag not in ("article", "main") and _holds(p):
+                if p.dropped and not p.comment and p.tag not in ("article", "main") and p.holds:
                     p.dropped = False
                 if not p.dropped:
                     todo.append(p)
+    _measure(root)
     tops = _within(root, "main") or [root]
     articles = [a for t in tops for a in _within(t, "article")]
+    own = sum(a.total - a.linked for a in articles)
+    if articles and sum(t.shown for t in tops) - sum(a.shown for a in articles) > own:
+        # More text lies beside the articles than in them: they are teasers, and the body has no mark.
+        for a in articles:
+            a.dropped = True
+        articles = []
+        _measure(root)
+    # Of several articles, those of links are teasers of other pages.
+    articles = [a for a in articles if a.linked <= LINKED * a.total] or articles
     marked = bool(articles) or tops[0] is not root
     out = [b for top in articles or tops for b in blocks(top)]
     if not out and marked:
@@ -439,23 +504,10 @@ def _drop_links(root: Node) -> None:
             if not isinstance(p, str) and p.tag not in INLINE:
                 todo.append(p)
         if n.tag in ("ul", "ol", "table", "div", "p") and not any(not isinstance(p, str) and p.tag in ("div", "p", "article", "section", "h1") for p in n.parts):
-            everything = len(inner(n).strip())
-            linked = sum(len(inner(a).strip()) for a in _links(n))
-            if linked > 0.6 * everything:
+            if n.linked > LINKED * n.total:
                 n.dropped = True
 
 
-def _links(node: Node) -> list[Node]:
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        if n.tag == "a":
-            out.append(n)
-        else:
-            todo.extend(p for p in n.parts if not isinstance(p, str))
-    return out
-
-
 def extract(page: str, wrapper: list | None, constant: frozenset[int]) -> str:
     root = parse(page)
     if wrapper is not None and constant:
