@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators import search as S
 from spindrift.operators import store as W
+from spindrift.operators import versions as Y
+from spindrift.operators.lineage import shared_folder
 from spindrift.sources.tables import read
 
 from .catalog import query
@@ -78,3 +84,18 @@ def filter_operators(spark, d):
 @query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 25")
 def sorted_page(spark, d):
     return S.page(read(spark, d, "documents").select("doc_id", "source", "n_chars"), 2, 25, F.desc("n_chars"), F.asc("doc_id"))
+
+
+@query("""WITH a AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings), b AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, x FROM a),
+c AS (SELECT * FROM b WHERE vec_id % 5 != 0),
+v AS (SELECT 1 AS version, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c UNION ALL SELECT 4, * FROM c UNION ALL SELECT 6, * FROM b)
+SELECT version, count(*) AS n, sum(label)::BIGINT AS labels, round(sum(x), 4) AS x FROM v GROUP BY version""")
+def versioned_store(spark, d):
+    """Versions of a collection after an upsert, a delete, compaction, clearing and restoring."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding")[0].cast("double").alias("x"))
+    path = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    one = Y.Collection.create(spark, path, "vec_id", "vec_id long, label long, x double").upsert(rows)
+    two = one.upsert(rows.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    last = two.delete(rows.filter("vec_id % 5 = 0")).compact().clear().restore(2)
+    parts = [Y.Collection.open(spark, path, v).rows().withColumn("version", F.lit(v)) for v in range(1, last.version.number + 1)]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("version").agg(F.count("*").alias("n"), F.sum("label").alias("labels"), F.round(F.sum("x"), 4).alias("x"))

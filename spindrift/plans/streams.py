@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators.lineage import shared_folder
 from spindrift.streaming import events as E
+from spindrift.streaming import monitor as M
 
 from . import analytics  # noqa: F401
 from .catalog import ORACLES, query
@@ -75,3 +76,27 @@ def stream_rate_limit(spark, d):
     """Events of each type that pass a limit of five an hour, with state for each key."""
     out = E.run_available(E.rate_limited(_events(spark, d), "event_type", 3600, 5), _folder(spark))
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
+
+
+FAILED = ("error", "click", "view")
+DAY = 86_400
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type IN {FAILED} AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS skipped, 0 AS c, []::BIGINT[] AS l FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT e.user_id, e.n, e.event_id, x.c0 >= 3, CASE WHEN x.c0 >= 3 THEN x.c0 WHEN failed THEN x.c0 + 1 ELSE 0 END, CASE WHEN x.c0 < 3 AND failed THEN list_append(x.l0, e.t + {DAY * 1_000_000}) ELSE x.l0 END
+FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT CASE WHEN len(list_filter(r.l, lambda y: y <= e.t)) > 0 THEN 0 ELSE r.c END AS c0, list_filter(r.l, lambda y: y > e.t) AS l0) x)
+SELECT user_id, event_id, skipped, c::INT AS failures FROM r WHERE n > 0""")
+def stream_failover(spark, d):
+    """Users stand for models, some kinds of events for failures."""
+    calls = _events(spark, d).withColumn("failed", F.col("event_type").isin(*FAILED))
+    return E.run_available(M.failover(calls, "user_id", "event_id", reset_seconds=DAY), _folder(spark))
+
+
+@query("""WITH w AS (SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, avg(value) AS m, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS nx, avg(m) OVER (PARTITION BY event_type ORDER BY start ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS recent FROM w)
+SELECT event_type, start, n, round(m, 6) AS mean, round(recent, 6) AS recent, m > 20 AS alert FROM s WHERE nx IS NOT NULL""")
+def stream_sampler(spark, d):
+    """Hourly samples of each kind of event, with the mean of the last twelve."""
+    out = E.run_available(M.sampled(_events(spark, d), "event_type", seconds=3600, keep=12, most=20.0), _folder(spark))
+    return out.select("event_type", "start", "n", F.round("mean", 6).alias("mean"), F.round("recent", 6).alias("recent"), "alert")
