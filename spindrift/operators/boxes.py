@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 
+from .ordering import numbered
+
 #: Types of table cells by the first pattern that matches (fixed values).
 CELLS = (
     (r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$", "Dt"),
@@ -229,7 +231,7 @@ def ocr_words(words: DataFrame, page: str, least: float = 60) -> DataFrame:
 def recogniser_batches(images: DataFrame, size: int = 16) -> DataFrame:
     """images with batch and the batch's largest ratio of width to height: neighbours by ratio."""
     ratio = F.col("width") / F.col("height")
-    placed = images.withColumn("ratio", ratio).withColumn("batch", F.floor((F.row_number().over(Window.orderBy("ratio", "image_id")) - 1) / size))
+    placed = numbered(images.withColumn("ratio", ratio), "ratio", "image_id").withColumn("batch", F.floor(F.col("number") / size)).drop("number")
     return placed.withColumn("batch_ratio", F.max("ratio").over(Window.partitionBy("batch")))
 
 

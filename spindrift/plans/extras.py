@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import ordering as O
 from spindrift.operators import relational as R
 from spindrift.operators import vectors as A
 from spindrift.sources.tables import read
@@ -117,3 +118,16 @@ def token_pooling(spark, d):
     """Largest value of each dimension over a group's vectors."""
     pooled = A.pooled(read(spark, d, "embeddings"), "label", "vec_id", "max")
     return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), u AS (SELECT floor((('0x' || substr(md5('7:' || g.i), 1, 13))::BIGINT + 0.5::DOUBLE) / {2**52}.0::DOUBLE * (SELECT count(*) FROM documents))::BIGINT AS i FROM generate_series(0, least(500, (SELECT count(*) FROM documents)) - 1) AS g(i))
+SELECT doc_id, count(*) AS times FROM u JOIN n ON u.i = n.i GROUP BY doc_id""")
+def sample_with_replacement(spark, d):
+    return O.choices(read(spark, d, "documents").select("doc_id"), 500, "doc_id", 7)
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS number FROM lineitem")
+def global_numbers(spark, d):
+    """Places in an order of the whole table."""
+    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return O.numbered(items, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").drop("l_extendedprice")
