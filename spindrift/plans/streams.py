@@ -95,8 +95,8 @@ def stream_failover(spark, d):
 
 @query("""WITH w AS (SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, avg(value) AS m, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
 s AS (SELECT *, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS nx, avg(m) OVER (PARTITION BY event_type ORDER BY start ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS recent FROM w)
-SELECT event_type, start, n, round(m, 6) AS mean, round(recent, 6) AS recent, m > 20 AS alert FROM s WHERE nx IS NOT NULL""")
+SELECT event_type, start, n, round(m, 9) AS mean, round(recent, 9) AS recent, m > 20 AS alert FROM s WHERE nx IS NOT NULL""")
 def stream_sampler(spark, d):
     """Hourly samples of each kind of event, with the mean of the last twelve."""
     out = E.run_available(M.sampled(_events(spark, d), "event_type", seconds=3600, keep=12, most=20.0), _folder(spark))
-    return out.select("event_type", "start", "n", F.round("mean", 6).alias("mean"), F.round("recent", 6).alias("recent"), "alert")
+    return out.select("event_type", "start", "n", F.round("mean", 9).alias("mean"), F.round("recent", 9).alias("recent"), "alert")
