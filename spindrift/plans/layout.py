@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import boxes as B
+from spindrift.operators import tables as X
 from spindrift.sources.tables import read
 
 from .catalog import query
@@ -101,3 +102,24 @@ def ctc_decode(spark, d):
 def cell_spans(spark, d):
     boxes = _boxes(spark, d)
     return B.spans(boxes, boxes.filter("line <= 4").select("page", F.col("line").alias("column"), "x0", "x1"), "page")
+
+
+@query(f"WITH {BOX}, {REGION}, p AS (SELECT box_id, region_id AS part_id, coalesce({OVER}, 0) AS share, (r.x1 - r.x0) * (r.bottom - r.top) AS area FROM b JOIN r ON b.page = r.page), n AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY share DESC, area, part_id) AS n FROM p WHERE share >= 0.3::DOUBLE) SELECT box_id, part_id, round(share, 6) AS share FROM n WHERE n = 1")
+def tightest_parts(spark, d):
+    """The part of a page that fits each box most tightly."""
+    boxes = _boxes(spark, d)
+    return rounded(X.assigned(boxes, _regions(boxes).withColumnRenamed("region_id", "part_id"), "page", band=16.0), "share")
+
+
+@query(None)
+def numbered_cells(spark, d):
+    """Rows and columns of order lines as boxes; some have labels. Tests hold it against a plain loop."""
+    boxes = _boxes(spark, d).withColumns({"table": F.col("page"), "r": F.when(F.col("line") % 3 == 0, (F.col("top") / 10).cast("int")), "c": F.when(F.col("line") % 2 == 0, (F.col("x0") / 10).cast("int"))})
+    return X.numbered_cells(boxes).select("table", "box_id", "row", "column")
+
+
+@query(None)
+def described_texts(spark, d):
+    """Texts of tables with short rows packed; tests hold it against a plain loop."""
+    cells = _cells(spark, d).filter("column <= 2").withColumns({"column": F.col("column") - 1, "is_header": F.col("is_header") & (F.col("tbl") % 2 == 0)})
+    return X.described_texts(cells, "tbl")
