@@ -180,7 +180,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Acc
 
     Most documents are taken to be good. A pseudo-count of the starting chances keeps all
     chances off 0 and 1. So that the classes do not change places, bad votes that would be commoner among good
-    documents than among bad ones count as equally common in both: such a rule's vote tells nothing.
+    documents than among bad ones make all of the rule's outcomes equally common in both: such a rule's vote tells nothing.
+    The share of good documents stays between a half and 0.99.
     """
     k = len(RULES)
     votes = np.array([patterns // 3**j % 3 for j in range(k)], int).T.reshape(len(patterns), k)
@@ -195,8 +196,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Acc
         good = (np.einsum("p,vpk->vk", p, said) + start_good) / (p.sum() + 1)
         bad = (np.einsum("p,vpk->vk", q, said) + start_bad) / (q.sum() + 1)
         wrong = good[0] > bad[0]
-        both = (good[0] * p.sum() + bad[0] * q.sum()) / max(counts.sum(), 1)
-        good[0], bad[0] = np.where(wrong, both, good[0]), np.where(wrong, both, bad[0])
+        both = (good * p.sum() + bad * q.sum()) / max(counts.sum(), 1)
+        good, bad = np.where(wrong, both, good), np.where(wrong, both, bad)
     return Accuracies(float(prior), tuple(map(tuple, good.T.tolist())), tuple(map(tuple, bad.T.tolist())))
 
 

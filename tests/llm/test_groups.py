@@ -231,3 +231,27 @@ def test_whitening_without_variance_or_rows(spark):
     assert [(r["component"], r["deviation"], r["whitened"], r["explained"]) for r in one] == [(1, 0, None, None), (2, 0, None, None)]
     assert whitening.whitened_rows(spark.createDataFrame([], kind)).count() == 0
     assert whitening.whitened_rows(spark.createDataFrame([(1, None), (2, [])], kind)).count() == 0
+
+
+# --- quality rules
+
+
+def test_contrary_rules_tell_nothing():
+    """Rules that find fault with good documents more often than with bad ones have equal chances in both classes, which sum to one."""
+    from spindrift.llm import rules
+
+    draw, k, votes = random.Random(11), len(rules.RULES), Counter()
+    for _ in range(4000):
+        good = draw.random() < 0.8
+        pattern = 0
+        for j in range(k):
+            faulty = (good and draw.random() < 0.3) if j < 3 else (not good and draw.random() < 0.8)
+            pattern += (0 if faulty else 2) * 3**j
+        votes[pattern] += 1
+    known = rules.estimate(np.array(list(votes)), np.array(list(votes.values()), float))
+    for j in range(k):
+        assert sum(known.if_good[j]) == pytest.approx(1) and sum(known.if_bad[j]) == pytest.approx(1)
+        if j < 3:
+            assert [known.log_odds(j, v) for v in range(3)] == pytest.approx([0, 0, 0])
+        else:
+            assert known.log_odds(j, 0) < 0
