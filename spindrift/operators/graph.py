@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
+from .ordering import numbered
 
 MOST_LEVELS = 90
 
@@ -53,6 +54,35 @@ def topological(edges_: DataFrame, nodes: DataFrame, levels: int = MOST_LEVELS)
     return nodes.select("node").distinct().join(known, "node")
 
 
+def learning_paths(topics: DataFrame, edges_: DataFrame, completed: DataFrame, by: str = "student") -> DataFrame:
+    """by, node, turn and step: the order in which each student takes topics when a list in order of place is gone through turn after turn,
+    and a topic is taken as soon as all its prerequisites are completed or taken.
+
+    topics: by, node and place (equal places go by node); completed: by and node. Topics with a prerequisite that is neither completed nor
+    ever taken, as in a cycle or outside the list, are not in the path. A topic's turn is its latest prerequisite's, or the next one if that stands
+    below it. The frontier of topics just taken meets the edges once, so there are as many rounds as the longest chain has topics.
+    """
+    own = topics.select(by, "node", "place").distinct()
+    done = completed.select(by, F.col("node").alias("prerequisite")).distinct()
+    waits = own.join(edges_.select("node", "prerequisite").distinct(), "node").join(done, [by, "prerequisite"], "left_anti")
+    waits = checkpointed(waits.select(by, "node", "prerequisite", F.struct("place", "node").alias("at")))
+    need = waits.groupBy(by, "node").agg(F.count("*").alias("need"))
+    open_ = checkpointed(own.join(need, [by, "node"], "left").select(by, "node", "place", F.coalesce("need", F.lit(0)).alias("need"), F.lit(1).alias("turn")))
+    taken = open_.filter("need = 0")
+    fresh, open_ = taken, open_.filter("need > 0")
+    while not fresh.isEmpty():
+        last = fresh.select(by, F.col("node").alias("prerequisite"), F.struct("place", "node").alias("before"), F.col("turn").alias("then"))
+        met = waits.join(last, [by, "prerequisite"]).groupBy(by, "node").agg(F.count("*").alias("met"), F.max(F.col("then") + (F.col("before") > F.col("at")).cast("int")).alias("then"))
+        left = open_.join(met, [by, "node"], "left")
+        open_ = checkpointed(left.select(by, "node", "place", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("turn", F.coalesce("then", F.lit(1))).alias("turn")))
+        fresh, open_ = open_.filter("need = 0"), open_.filter("need > 0")
+        taken = taken.unionByName(fresh)
+    # Steps are places in the order of all paths, less where a path begins: no path is sorted by one task.
+    placed = numbered(taken.drop("need"), by, "turn", "place", "node", name="step")
+    start = placed.groupBy(by).agg(F.min("step").alias("_start"))
+    return placed.join(start, by).select(by, "node", "turn", (F.col("step") - F.col("_start") + 1).alias("step"))
+
+
 def next_topics(nodes: DataFrame, completed: DataFrame) -> DataFrame:
     """Nodes (id, prerequisites) that are not completed (id) and whose prerequisites all are."""
     e = edges(nodes)

@@ -18,6 +18,8 @@ from .boxes import overlap
 BAND = 64.0
 #: How far a box may reach into the row above, characters below which short rows share a text, signs between cells.
 SLACK, SHORT, PAIR, NEXT = 3.0, 64, "：", "; "
+#: Columns are cleared of lone cells in tables of at least so many rows (and rows of columns); share from which a layout hides another.
+LEAST_LINES, HIDDEN = 4, 0.7
 
 
 def assigned(boxes: DataFrame, parts: DataFrame, by: str, least: float = 0.3, band: float = BAND) -> DataFrame:
@@ -105,6 +107,112 @@ def numbered_cells(boxes: DataFrame, table: str = "table") -> DataFrame:
     return boxes.join(r, [table, "box_id"]).join(c, [table, "box_id"])
 
 
+def _lines():
+    """Sent a line: its lone place (null if it has several) with that cell's near and far side, its far side, its cells at places of lone cells, and
+    the near side and such cells of the line that follows (null if none does)."""
+    number, far, cells, moved = 0, None, None, None
+    row = yield None
+    while True:
+        lone, cell_near, cell_far, line_far, own, next_near, following = row
+        own = {c["at"]: c["said"] for c in own or []}
+        if moved is not None:
+            at, said, side = moved
+            lone = lone if lone == at else None
+            own.setdefault(at, said)
+            line_far, moved = max(line_far, side), None
+        reply = number
+        kept = True
+        if lone is not None:
+            before = cells is None or cells.get(lone, False)
+            after = next_near is None or any(c["said"] for c in following or [] if c["at"] == lone)
+            if not (before and after):
+                kept = False
+                left = float("inf") if before else cell_near - far
+                right = float("inf") if after else next_near - cell_far
+                if left < right:
+                    cells.setdefault(lone, own[lone])
+                    far, reply = max(far, line_far), number - 1
+                else:
+                    moved = lone, own[lone], line_far
+        if kept:
+            far, cells, number = line_far, own, number + 1
+        row = yield reply
+
+
+def _joined_lines(cells: DataFrame, table: str, along: str, across: str, near: str, far: str) -> DataFrame:
+    """cells with lines (values of along) that hold a lone cell moved to a neighbour, and numbered anew."""
+    order = F.struct("top", "x0", "box_id")
+    said = (F.coalesce("text", F.lit("")) != "").alias("said")
+    lines = cells.groupBy(table, along).agg(
+        F.min(across).alias("low"), F.max(across).alias("high"), F.min_by(F.struct(F.col(near).alias("near"), F.col(far).alias("far")), order).alias("first"), F.min(near).alias("near"), F.max(far).alias("far")
+    )
+    wide = cells.groupBy(table).agg((F.count_distinct(across) >= LEAST_LINES).alias("wide"))
+    lines = lines.join(wide, table).withColumn("lone", F.when((F.col("low") == F.col("high")) & F.col("wide"), F.col("low")))
+    # Of a line's cells only those at places where some line has its lone cell are sent: no more than a table has lines.
+    places = lines.filter("lone IS NOT NULL").select(table, F.col("lone").alias(across)).distinct()
+    marks = cells.join(places, [table, across]).groupBy(table, along, across).agg(F.min_by(said, order).alias("said"))
+    marks = marks.groupBy(table, along).agg(F.collect_list(F.struct(F.col(across).alias("at"), "said")).alias("marks"))
+    in_turn = Window.partitionBy(table).orderBy(along)
+    sent = lines.join(marks, [table, along], "left").select(
+        table, F.col(along).alias("id"), "lone", F.col("first.near").cast("double").alias("a"), F.col("first.far").cast("double").alias("b"), F.col("far").cast("double").alias("c"), "marks",
+        F.lead(F.col("near").cast("double")).over(in_turn).alias("d"), F.lead("marks").over(in_turn).alias("e"), F.col(along).alias("o"),
+    )
+    kind = f"{table} {cells.schema[table].dataType.simpleString()}, id {cells.schema[along].dataType.simpleString()}, number int"
+    numbers = _streamed(sent, table, ["o"], _lines, kind).select(table, F.col("id").alias(along), F.col("number").alias("_new"))
+    return cells.join(numbers, [table, along]).withColumn(along, F.col("_new")).drop("_new")
+
+
+def relocated_cells(cells: DataFrame, table: str = "table") -> DataFrame:
+    """cells without lone ones: a column whose only filled row has no text beside it on one side at least joins the nearer column of those without,
+    then rows likewise. cells: table, box_id, row, column, x0, x1, top, bottom, text.
+
+    Columns are looked at in tables of at least LEAST_LINES rows, rows in tables of so many columns. A cell's text is that of its first box (by top, x0, id).
+    Equal distances go to the later line. Lines are numbered from 0 without gaps.
+    """
+    across = _joined_lines(cells, table, "column", "row", "x0", "x1")
+    return _joined_lines(across, table, "row", "column", "top", "bottom")
+
+
+def _layouts():
+    """Sent (kind, score, x0, x1, top, bottom, covered); replies 2 if the layout stands beside the one held, 1 if it replaces it, 0 if it is hidden by it."""
+    held = None
+    row = yield None
+    while True:
+        verdict = 2
+        if held is not None and row[0] == held[0]:
+            w, h = min(row[3], held[3]) - max(row[2], held[2]), min(row[5], held[5]) - max(row[4], held[4])
+            least = min((x[3] - x[2]) * (x[5] - x[4]) for x in (row, held))
+            if w > 0 and h > 0 and w * h >= HIDDEN * least:
+                by = 1 if row[1] and held[1] else 6
+                verdict = 0 if held[by] > row[by] else 1
+        if verdict:
+            held = row
+        row = yield verdict
+
+
+def kept_layouts(layouts: DataFrame, boxes: DataFrame, by: str, band: float = BAND) -> DataFrame:
+    """layouts without those that overlap a neighbour of their kind: of two that follow each other (by top, x0, id), one of which covers HIDDEN of the
+    other, the one of higher score stays, or, if one has no score, the one that covers more area of boxes; of equals the later one.
+
+    layouts: by, part_id, kind, score, x0, x1, top, bottom; boxes: by, x0, x1, top, bottom. Areas are summed by bands, so a page's boxes do not all meet all its layouts.
+    """
+    bands = lambda: F.sequence(F.floor(F.col("top") / band), F.floor(F.greatest("top", "bottom") / band))
+    a = boxes.select(by, "x0", "x1", "top", "bottom", F.explode(bands()).alias("band")).alias("a")
+    b = layouts.select(by, "part_id", "x0", "x1", "top", "bottom", F.explode(bands()).alias("band")).alias("b")
+    w = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
+    h = F.least("a.bottom", "b.bottom") - F.greatest("a.top", "b.top")
+    first = F.col("a.band") == F.floor(F.greatest("a.top", "b.top") / band)
+    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.band") == F.col("b.band")) & (w > 0) & (h > 0) & first)
+    covered = met.groupBy(F.col(f"b.{by}").alias(by), F.col("b.part_id").alias("part_id")).agg(F.sum(w * h).alias("covered"))
+    sides = [F.col(c).cast("double").alias(n) for c, n in zip(("x0", "x1", "top", "bottom"), "abcd", strict=True)]
+    rows = layouts.join(covered, [by, "part_id"], "left").select(by, F.col("part_id").alias("id"), "kind", F.col("score").cast("double").alias("s"), *sides, F.coalesce("covered", F.lit(0.0)).alias("v"), F.col("top").alias("o1"), F.col("x0").alias("o2"), F.col("part_id").alias("o3"))
+    kind = f"{by} {layouts.schema[by].dataType.simpleString()}, id {layouts.schema['part_id'].dataType.simpleString()}, number int"
+    verdicts = _streamed(rows, by, ["o1", "o2", "o3"], _layouts, kind).withColumnRenamed("id", "part_id").filter("number > 0")
+    left = layouts.join(verdicts, [by, "part_id"])
+    replaced = F.lead("number").over(Window.partitionBy(by).orderBy("top", "x0", "part_id")) == 1
+    return left.withColumn("_replaced", F.coalesce(replaced, F.lit(False))).filter("NOT _replaced").drop("_replaced", "number")
+
+
 def _chunks():
     """Sent (characters, short). A short row joins the text before while both stay below SHORT characters."""
     number, held = -1, None

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import analytics, chunks, dictionary, extras, further, graphs, layout, matches, matching, more, search, store, streams, texts  # noqa: F401
+    from . import analytics, chunks, dictionary, extras, further, graphs, layout, matches, matching, models, more, search, store, streams, texts  # noqa: F401

@@ -30,6 +30,20 @@ def topo_order(spark, d):
     return G.topological(G.edges(nodes), nodes.withColumnRenamed("id", "node"), 30)
 
 
+@query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT s.u::BIGINT AS student, doc_id AS node, doc_id * 7919 % 1009 AS place FROM documents, unnest([0, 1, 2, 3, 4]) AS s(u) WHERE doc_id % 5 != s.u OR doc_id < 20),
+w AS (SELECT student, t.node, place, prerequisite FROM t JOIN e ON e.node = t.node WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = prerequisite AND doc_id % (student + 3) = 0)),
+up AS (SELECT student, node, node AS at_, 0 AS cost FROM t UNION SELECT up.student, up.node, w.prerequisite, cost + CASE WHEN p.node IS NULL THEN NULL WHEN p.place > w.place OR (p.place = w.place AND p.node > w.node) THEN 1 ELSE 0 END
+FROM up JOIN w ON w.student = up.student AND w.node = up.at_ LEFT JOIN t p ON p.student = w.student AND p.node = w.prerequisite),
+r AS (SELECT student, node, max(cost) + 1 AS turn FROM up GROUP BY ALL HAVING count(*) = count(cost))
+SELECT student, node, turn::INT AS turn, row_number() OVER (PARTITION BY student ORDER BY turn, place, node) AS step FROM r JOIN t USING (student, node)""")
+def learning_paths(spark, d):
+    """Paths of five students, each with a list and completed topics of their own."""
+    nodes = _nodes(spark, d)
+    each = nodes.select("id", F.explode(F.array(*[F.lit(u).cast("long") for u in range(5)])).alias("student"))
+    topics = each.filter("id % 5 != student OR id < 20").select("student", F.col("id").alias("node"), (F.col("id") * 7919 % 1009).alias("place"))
+    return G.learning_paths(topics, G.edges(nodes), each.filter("id % (student + 3) = 0").select("student", F.col("id").alias("node")))
+
+
 @query(f"WITH {EDGES}, c AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 != 1 OR doc_id < 10) SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM c) AND NOT EXISTS (SELECT 1 FROM e WHERE node = doc_id AND prerequisite NOT IN (SELECT id FROM c))")
 def next_topics(spark, d):
     nodes = _nodes(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import boxes as B
@@ -123,3 +124,21 @@ def described_texts(spark, d):
     """Texts of tables with short rows packed; tests hold it against a plain loop."""
     cells = _cells(spark, d).filter("column <= 2").withColumns({"column": F.col("column") - 1, "is_header": F.col("is_header") & (F.col("tbl") % 2 == 0)})
     return X.described_texts(cells, "tbl")
+
+
+@query(None)
+def relocated_cells(spark, d):
+    """Lines of eight orders as a table with few cells in most columns; tests hold it against a plain loop."""
+    table = F.floor(F.col("page") / 8)
+    dense = lambda c: (F.dense_rank().over(Window.partitionBy("table").orderBy(c)) - 1).alias(c)
+    placed = _boxes(spark, d).select(table.alias("table"), "box_id", "x0", "x1", "top", "bottom", F.when(F.col("line") != 3, F.col("kind")).alias("text"), F.floor(F.col("top") / 4).alias("row"), F.floor(F.col("x0") / 3).alias("column"))
+    cells = placed.select("table", "box_id", "x0", "x1", "top", "bottom", "text", dense("row"), dense("column"))
+    return X.relocated_cells(cells).select("table", "box_id", "row", "column")
+
+
+@query(None)
+def kept_layouts(spark, d):
+    """Regions of a page without those that neighbours hide; some have no score. Tests hold it against a plain loop."""
+    boxes = _boxes(spark, d)
+    layouts = boxes.filter("line % 2 = 0 OR line > 4").select("page", (F.col("box_id") + 5000000000).alias("part_id"), F.lit("text").alias("kind"), F.when(F.col("line") != 4, F.col("score")).alias("score"), "x0", "top", (F.col("x1") + 10).alias("x1"), (F.col("bottom") + 10).alias("bottom"))
+    return X.kept_layouts(layouts, boxes, "page", band=16.0).select("page", "part_id")

@@ -120,3 +120,93 @@ def test_described_texts_as_a_plain_loop(spark):
         found.setdefault(r["table"], []).append(r["text"])
     assert found == {t: w for t, w in wanted.items() if w}
     assert X.described_texts(df.filter(F.lit(False))).count() == 0
+
+
+def plain_lines(cells, along, across, near, far):
+    """cells: dictionaries of one table; the same with lone cells' lines joined to neighbours, on a plain grid."""
+    lines = [[b for b in cells if b[along] == v] for v in sorted({b[along] for b in cells})]
+    lines = [{p: sorted((b for b in line if b[across] == p), key=lambda b: (b["top"], b["x0"], b["box_id"])) for p in {b[across] for b in line}} for line in lines]
+    if len({b[across] for b in cells}) >= 4:
+        j = 0
+        while j < len(lines):
+            if len(lines[j]) == 1:
+                (p, own), = lines[j].items()
+                sides = []
+                for other, gap in ((j - 1, lambda a: own[0][near] - a[far]), (j + 1, lambda a: a[near] - own[0][far])):
+                    outside = not 0 <= other < len(lines)
+                    fine = outside or bool(p in lines[other] and lines[other][p][0]["text"])
+                    sides.append(float("inf") if fine else min(gap(a) for bs in lines[other].values() for a in bs))
+                if min(sides) < float("inf"):
+                    to = lines[j - 1] if sides[0] < sides[1] else lines[j + 1]
+                    to.setdefault(p, []).extend(own)
+                    lines.pop(j)
+                    continue
+            j += 1
+    return [b | {along: j} for j, line in enumerate(lines) for bs in line.values() for b in bs]
+
+
+def test_lone_cells_as_on_a_plain_grid(spark):
+    draw, rows, wanted, moved = random.Random(11), [], {}, 0
+    for t in range(150):
+        height, width = draw.randint(1, 7), draw.randint(1, 7)
+        filled = draw.choice([0.2, 0.35, 0.6])
+        cells = []
+        for r in range(height):
+            for c in range(width):
+                for _ in range(draw.choice([1, 1, 2])):
+                    if draw.random() < filled:
+                        x, y = 40.0 * c + draw.randint(0, 30), 20.0 * r + draw.randint(0, 15)
+                        cells.append(dict(table=t, box_id=len(rows) + len(cells), row=r, column=c, x0=x, x1=x + draw.randint(1, 60), top=y, bottom=y + draw.randint(1, 30), text=draw.choice(["a", "b", "", None])))
+        for name in ("row", "column"):
+            places = sorted({b[name] for b in cells})
+            for b in cells:
+                b[name] = places.index(b[name])
+        rows += [tuple(b.values()) for b in cells]
+        if cells:
+            done = plain_lines(plain_lines(cells, "column", "row", "x0", "x1"), "row", "column", "top", "bottom")
+            wanted |= {b["box_id"]: (b["row"], b["column"]) for b in done}
+            moved += max(b["column"] for b in done) < max(b["column"] for b in cells)
+    df = spark.createDataFrame(rows, "table int, box_id int, row int, column int, x0 double, x1 double, top double, bottom double, text string").repartition(4)
+    found = {r["box_id"]: (r["row"], r["column"]) for r in X.relocated_cells(df).collect()}
+    assert found == wanted and moved > 10
+    assert X.relocated_cells(df.filter(F.lit(False))).count() == 0
+
+
+def plain_layouts(layouts, boxes):
+    def shared(a, b):
+        return max(min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), 0) * max(min(a["bottom"], b["bottom"]) - max(a["top"], b["top"]), 0)
+
+    left = sorted(layouts, key=lambda a: (a["top"], a["x0"], a["part_id"]))
+    i = 0
+    while i + 1 < len(left):
+        a, b = left[i], left[i + 1]
+        both = shared(a, b)
+        if a["kind"] != b["kind"] or not both or all(both / shared(x, x) < 0.7 for x in (a, b)):
+            i += 1
+            continue
+        if a["score"] and b["score"]:
+            left.pop(i + 1 if a["score"] > b["score"] else i)
+        else:
+            over = [sum(shared(x, y) for y in boxes) for x in (a, b)]
+            left.pop(i + 1 if over[0] > over[1] else i)
+    return {a["part_id"] for a in left}
+
+
+def test_kept_layouts_as_a_plain_loop(spark):
+    draw, layouts, boxes, wanted = random.Random(12), [], [], set()
+    for page in range(80):
+        own, inside = [], []
+        for _ in range(draw.randint(1, 12)):
+            x, y = draw.choice([0.0, 5.0, 30.0]), float(draw.randint(0, 60))
+            own.append(dict(page=page, part_id=len(layouts) + len(own), kind=draw.choice(["text", "text", "figure"]), score=draw.choice([None, 0.0, 0.5, 0.9]), x0=x, x1=x + 50, top=y, bottom=y + draw.randint(5, 80)))
+        for _ in range(draw.randint(0, 9)):
+            x, y = float(draw.randint(0, 70)), float(draw.randint(0, 100))
+            inside.append(dict(page=page, x0=x, x1=x + 20, top=y, bottom=y + 10))
+        wanted |= plain_layouts(own, inside)
+        layouts += own
+        boxes += inside
+    a = spark.createDataFrame([tuple(r.values()) for r in layouts], "page int, part_id int, kind string, score double, x0 double, x1 double, top double, bottom double").repartition(3)
+    b = spark.createDataFrame([tuple(r.values()) for r in boxes], "page int, x0 double, x1 double, top double, bottom double").repartition(3)
+    for band in (7.0, 64.0):
+        assert {r["part_id"] for r in X.kept_layouts(a, b, "page", band).collect()} == wanted
+    assert len(wanted) < len(layouts)
