@@ -8,7 +8,7 @@ Jaccard similarity, computed from all their shingles, is 0.8 or more. Classes ar
 components of links and of equal texts.
 
 Document frequencies are counted over all texts, exactly for each shingle that is frequent enough to matter (see frequencies()). The
-inverse goes with their logarithm from 1 (in all texts) to 1 + STRENGTH (rare). With a STRENGTH of 1, copies of a text with thousands of
+inverse goes with their logarithm from 1 (in all texts) to 1 + STRENGTH (rare; a parameter). With a STRENGTH of 1, copies of a text with thousands of
 near copies fall below 0.8, as their few edits are rare and all that they share is not. For sampling, weights are rounded to a grid of factor GRID, and only the shingle of a
 sample is kept (0-bit sampling); links use exact weights.
 
@@ -84,17 +84,17 @@ class Frequencies:
         return out
 
 
-def inverse(df: np.ndarray, n: int, least: int) -> np.ndarray:
-    """From 1, of a shingle of all n documents, to 1 + STRENGTH, of one of at most least documents."""
+def inverse(df: np.ndarray, n: int, least: int, strength: float = STRENGTH) -> np.ndarray:
+    """From 1, of a shingle of all n documents, to 1 + strength, of one of at most least documents."""
     if n <= least:
-        return np.full(np.shape(df), 1 + STRENGTH)
-    return 1 + STRENGTH * np.log(n / np.clip(df, least, n)) / np.log(n / least)
+        return np.full(np.shape(df), 1 + strength)
+    return 1 + strength * np.log(n / np.clip(df, least, n)) / np.log(n / least)
 
 
-def frequencies(docs: DataFrame) -> Frequencies:
-    """Exact document frequencies of all shingles of more documents than one in LISTED of all pairs of a document and a shingle.
+def frequencies(docs: DataFrame, strength: float = STRENGTH) -> Frequencies:
+    """Exact document frequencies of all shingles of at least one in LISTED of all pairs of a document and a shingle, rounded up.
 
-    So at most LISTED shingles reach the driver; rarer ones weigh as much as the rarest listed.
+    Those of LISTED shingles would make up all pairs, so no more than LISTED reach the driver; rarer ones weigh as much as the rarest listed.
     """
 
     def buckets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -103,7 +103,7 @@ def frequencies(docs: DataFrame) -> Frequencies:
 
     texts = by_text(docs.select("text"))
     counts = histogram(texts, buckets)
-    least = max(1, int(counts.sum()) // LISTED)
+    least = max(1, -(-int(counts.sum()) // LISTED))
     sent = docs.sparkSession.sparkContext.broadcast(counts >= least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def frequencies(docs: DataFrame) -> Frequencies:
     listed = np.zeros(BUCKETS, bool)
     listed[(shingle % np.uint64(BUCKETS)).astype(np.int64)] = True
     total = docs.count()
-    return Frequencies(shingle[order], inverse(n[order], total, least), 1 + STRENGTH, listed)
+    return Frequencies(shingle[order], inverse(n[order], total, least, strength), 1 + strength, listed)
 
 
 class Sampler:
@@ -277,9 +277,9 @@ def maps(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return bags(docs, nodes).mapInArrow(run, "node binary, bits array<long>")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and class_node: a digest of each document's text and the least one of its class."""
-    idf = frequencies(docs)
+def classes(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """doc_id, node and class_node: a digest of each document's text and the least one of its class. strength: what a rare shingle weighs more than one of all texts."""
+    idf = frequencies(docs, strength)
     each = checkpoint(signed(docs, idf))
     nodes = each.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     buckets = checkpoint(nodes.select("node", "weight", F.explode("bands").alias("band")))
@@ -320,9 +320,9 @@ def classes(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "node", F.coalesce("own", "node").alias("class_node"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size and text_id of every document."""
-    found = checkpoint(classes(docs))
+    found = checkpoint(classes(docs, strength))
     sizes = found.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return found.join(sizes, "class_node").select("doc_id", "class_id", "class_size", F.lower(F.hex("node")).alias("text_id"))
 

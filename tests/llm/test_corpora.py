@@ -227,7 +227,8 @@ def edited(draw, text, share):
     return " ".join(f"e{draw.randrange(10**6)}" if draw.random() < share else w for w in text.split())
 
 
-def test_near_copies_match_a_plain_version(spark):
+@pytest.mark.parametrize("strength", [0.25, 1.0])
+def test_near_copies_match_a_plain_version(spark, strength):
     draw = random.Random(6)
     base = [" ".join(f"w{draw.randrange(3000)}" for _ in range(draw.randint(3, 200))) for _ in range(40)]
     texts = base + [edited(draw, draw.choice(base), draw.choice([0, 0.005, 0.01, 0.03, 0.1])) for _ in range(150)] + [edited(draw, base[0], 0.004) for _ in range(60)]
@@ -242,7 +243,7 @@ def test_near_copies_match_a_plain_version(spark):
     bags, parent = [bag(t) for _, t in rows], list(range(len(rows)))
     df = Counter(s for b in bags for s in b)
     # So small a corpus lists all shingles.
-    idf = {s: 1 + nearcopies.STRENGTH * np.log(len(rows) / n) / np.log(len(rows)) for s, n in df.items()}
+    idf = {s: 1 + strength * np.log(len(rows) / n) / np.log(len(rows)) for s, n in df.items()}
 
     def similarity(a, b):
         both = sum(min(a[s], b[s]) * idf[s] for s in a.keys() & b.keys())
@@ -262,7 +263,9 @@ def test_near_copies_match_a_plain_version(spark):
     for i in range(len(rows)):
         groups[root(i)].add(rows[i][0])
     wanted = {i: min(x for x in g if x is not None) for g in groups.values() for i in g}
-    assert {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(docs).collect()} == wanted
+    assert {r["doc_id"]: r["class_id"] for r in nearcopies.near_copies(docs, strength).collect()} == wanted
+    if strength != nearcopies.STRENGTH:
+        return
     kept = nearcopies.keep_first(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(wanted.values())
 
@@ -297,6 +300,14 @@ def test_frequencies_weigh_common_shingles_less(spark, monkeypatch):
     assert len(idf.shingle) <= 64 and of(idf, "all of these five words") == 1 and 1 < of(idf, "and half of the texts") < of(idf, "own7 a b c d") == 1 + nearcopies.STRENGTH
 
 
+def test_no_more_shingles_are_listed_than_the_bound(spark, monkeypatch):
+    """19 shingles of one document each: with a bound of 10, those of a single document are too many."""
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(23)))], "doc_id long, text string")
+    assert len(nearcopies.frequencies(docs).shingle) == 19
+    monkeypatch.setattr(nearcopies, "LISTED", 10)
+    assert len(nearcopies.frequencies(docs).shingle) == 0
+
+
 def test_rows_with_clashing_names(spark):
     """Columns of the names that operators use themselves."""
     names = ["_i", "_n", "_node", "_size", "_k", "_copy", "_raw", "_gone", "r", "tie", "size", "first", "own", "node", "id", "n_copies", "target"]
@@ -345,3 +356,41 @@ def test_pipeline_of_no_documents(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, data, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, copies and clashing columns, through all stages."""
+    import corpus_pipeline
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").collect()]
+    good_ids = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1").collect()}
+    clean = [r for r in docs if r[0] in good_ids and len((r[1] or "").split()) > 60][:30]
+    long = "\n".join(t for _, t, _ in docs if t) + "\n" + " ".join(f"word{i % 977} is number {i}." for i in range(60_000))
+    draw = random.Random(4)
+    near = [(9000 + i, edited(draw, t, 0.002), s) for i, (_, t, s) in enumerate(clean[:5])]
+    rows = docs + near + [(9100 + i, t, s) for i, (_, t, s) in enumerate(clean[5:10])] + [clean[10]] * 3
+    rows += [(None, None, None), (9200, None, "src1"), (9201, "", None), (9202, " \t\n", "src1"), (9203, long, "src1"), (9203, long, "src1"), (None, clean[11][1] + " and more", None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, None) for r in rows], "doc_id long, text string, source string, size int, node int, r int, target double")
+    df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    stage, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        stage = spark.createDataFrame(function(spark, stage, str(tmp_path)).collect(), df.schema)
+        kept.append(Counter((r["doc_id"], r["text"]) for r in stage.collect()))
+        assert stage.filter("size = 1 AND node = 2 AND r = 3 AND target IS NULL").count() == sum(kept[-1].values())
+    ids = [{i for i, _ in k} for k in kept]
+    good, lines, groups, mix = kept
+    assert not {9200, 9201, 9202} & ids[0] and {i for i, *_ in clean} <= ids[0]
+    # Whole rows are judged alike, and lines go without rows.
+    assert good[tuple(clean[10][:2])] == 4 and sum(good.values()) == sum(lines.values())
+    assert all(len(t or "") <= max((len(u or "") for i, u in good if i == j), default=0) for j, t in lines)
+    texts = [t for _, t in groups.elements()]
+    assert len(texts) == len(set(texts)) and set(groups) <= set(lines) and set(mix) <= set(groups)
+    # Every text that went has one like it that stayed.
+    folded = {t: Counter(" ".join(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(len(w) - 4, 1))) for _, t in lines}
+    stayed = set(texts)
+    for _, t in set(lines) - set(groups):
+        best = max((sum((folded[t] & folded[u]).values()) / max(1, sum((folded[t] | folded[u]).values())) for u in stayed if abs(len(u or "") - len(t or "")) < 0.3 * len(t or "x") + 1), default=0)
+        assert t in stayed or best > 0.7
+    # Copies are rows of their own in the mix; each is encoded.
+    found = Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert Counter(i for i, _ in found.elements()) == Counter(i for i, _ in mix.elements())

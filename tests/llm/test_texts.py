@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import sysconfig
@@ -443,6 +444,65 @@ def test_attention_of_odd_rows(spark, odd, none):
     assert {r["score"] for r in attention.score(odd, nothing).collect()} == {0.5}
 
 
+def plain_score(p, bag):
+    """Gated attention of one bag, passage by passage."""
+    hidden = [[math.tanh(sum(x * p["W"][i][j] for i, x in enumerate(row)) + p["b"][j]) for j in range(len(p["b"]))] for row in bag]
+    gates = []
+    for h in hidden:
+        inner = lambda m, k: sum(v * m[j][k] for j, v in enumerate(h))  # noqa: B023, E731
+        gates.append(sum(p["w"][k] * math.tanh(inner(p["V"], k)) / (1 + math.exp(-inner(p["U"], k))) for k in range(len(p["w"]))))
+    share = [math.exp(g) / sum(map(math.exp, gates)) for g in gates]
+    z = [sum(a * h[j] for a, h in zip(share, hidden, strict=True)) for j in range(len(p["b"]))]
+    return 1 / (1 + math.exp(-(sum(c * v for c, v in zip(p["c"], z, strict=True)) + p["d"][0])))
+
+
+def test_attention_as_plain_loops():
+    draw = np.random.default_rng(3)
+    shape = {"W": (5, 4), "b": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": (1,)}
+    for _ in range(20):
+        p = {k: draw.normal(0, 1, s) for k, s in shape.items()}
+        bags = draw.integers(1, 7, 6)
+        x = draw.normal(0, 1, (bags.sum(), 5))
+        found = attention.forward(p, x, bags)["score"]
+        parts = np.split(x, np.cumsum(bags)[:-1])
+        assert found == pytest.approx([plain_score(p, part) for part in parts])
+
+
+def test_steps_go_down_the_slopes_that_differences_show(monkeypatch):
+    """Adam's first step moves every weight by RATE against its slope: held against finite differences of the penalised loss."""
+    draw = np.random.default_rng(5)
+    bags = draw.integers(1, 5, 30)
+    x = draw.normal(0, 1, (bags.sum(), 6))
+    x[:, 0] = 1
+    y = np.r_[0.0, 1.0, draw.integers(0, 2, 28)]
+    weight = draw.uniform(0.5, 2, 30)
+
+    def after(steps):
+        monkeypatch.setattr(attention, "EPOCHS", steps)
+        return attention.fit(x, bags, y, weight)
+
+    model, moved = after(0), after(1).weights
+    p, rows = model.weights, (x - model.mean) / model.scale
+
+    def loss(q):
+        s = attention.forward(q, rows, bags)["score"]
+        own = -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum() / weight.sum()
+        return own + sum(attention.DECAY / len(q) * (v**2).sum() / 2 for k, v in q.items() if k not in "bd")
+
+    seen = 0
+    for k, v in p.items():
+        for at in np.ndindex(v.shape):
+            slope = 0.0
+            for h in (1e-5, -1e-5):
+                q = {n: u.copy() for n, u in p.items()}
+                q[k][at] += h
+                slope += loss(q) / (2 * h)
+            if abs(slope) > 1e-6:
+                seen += 1
+                assert moved[k][at] - v[at] == pytest.approx(-attention.RATE * np.sign(slope), rel=0.02), (k, at)
+    assert seen > 300
+
+
 def test_bags_are_bounded_and_whole():
     text = " ".join(f"w{i}" for i in range(10_000))
     raw = np.frombuffer(text.encode(), np.uint8)
