@@ -7,7 +7,7 @@ tested and compared with batch results.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -102,8 +103,11 @@ def rate_limited(events: DataFrame, key: str, seconds: int, limit: int) -> DataF
     return events.select(key, "ts").filter("ts IS NOT NULL").groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Runs a stream over what is there, into Parquet files in folder, which driver and executors share; or calls each with every batch."""
+def run_available(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None, each: Callable[[DataFrame, int], None] | None = None, keys: Sequence[str] = ()) -> DataFrame | None:
+    """Runs a stream over what is there, into Parquet files in folder, which driver and executors share; or calls each with every batch.
+
+    In update mode every batch has a folder of its own, which a replayed batch writes anew; of rows of equal keys the last batch's stays (without keys, all).
+    """
     name = name or f"stream_{uuid.uuid4().hex}"
     spark, path = stream.sparkSession, f"{folder}/{name}-rows"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True)
@@ -112,9 +116,17 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", name: st
         return None
     if mode == "append":
         writer.format("parquet").option("path", path).start().awaitTermination()
-    else:
-        # A batch in complete mode is the whole table, so the last one stays.
-        how = "overwrite" if mode == "complete" else "append"
+    elif mode == "complete":
+        # A batch is the whole table, so the last one stays.
         spark.createDataFrame([], stream.schema).write.parquet(path)
-        writer.foreachBatch(lambda rows, _: rows.write.mode(how).parquet(path)).start().awaitTermination()
+        writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        kept = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+        spark.createDataFrame([], kept).write.parquet(f"{path}/none")
+        writer.foreachBatch(lambda rows, i: rows.withColumn("_batch", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{i}")).start().awaitTermination()
+        rows = spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(path)
+        if keys:
+            last = F.max_by(F.struct(*stream.columns), "_batch").alias("r")
+            return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last).select("r.*")
+        return rows.select(*stream.columns)
     return spark.read.schema(stream.schema).parquet(path)

@@ -102,3 +102,17 @@ def test_sampler_as_a_plain_loop(spark, tmp_path):
             ring.append(mean)
             wanted[kind, start] = round(mean, 9), len(windows[start]), round(sum(ring) / len(ring), 9), mean > 1.5
     assert found == wanted and any(w[3] for w in wanted.values())
+
+
+def test_updates_keep_the_last_row_of_a_key(spark, tmp_path):
+    """Three files, a batch each: without keys all updates stay, with keys each key's last one."""
+    for i in range(3):
+        spark.createDataFrame([(f"k{j}", 1) for j in range(i, 4)], "kind string, n long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    counts = lambda: E.stream_of(spark, f"{tmp_path}/t").groupBy("kind").agg(F.count("*").alias("n"))
+    wanted = {r["kind"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/t").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    last = E.run_available(counts(), f"{tmp_path}/a", "update", keys=["kind"])
+    assert last.columns == ["kind", "n"] and {r["kind"]: r["n"] for r in last.collect()} == wanted and last.count() == 4
+    every = E.run_available(counts(), f"{tmp_path}/b", "update")
+    assert every.columns == ["kind", "n"] and every.count() == 9 and set(map(tuple, last.collect())) <= set(map(tuple, every.collect()))
+    none = E.run_available(counts().filter("n < 0"), f"{tmp_path}/c", "update", keys=["kind"])
+    assert none.count() == 0
