@@ -33,11 +33,17 @@ def daily(rows: DataFrame, value: str, ts: str = "ts") -> DataFrame:
     return rows.groupBy(F.to_date(ts).alias("day")).agg(F.avg(value).alias("avg_score"), F.count(value).alias("n")).orderBy("day")
 
 
+def steady_mean(value: str) -> Column:
+    """Mean that does not hang on the order of rows: values are added as decimals of 12 places, or as doubles if one is no such number."""
+    exact = F.col(value).try_cast("decimal(28,12)")
+    return F.when(F.count(exact) == F.count(value), F.try_divide(F.sum(exact).cast("double"), F.count(value))).otherwise(F.avg(value))
+
+
 def content_metrics(rows: DataFrame, content: str, kind: str, value: str, weights: Mapping[str, float]) -> DataFrame:
-    """content, kind, mean, std, n and overall: the weighted mean of the kinds that the content has."""
-    each = rows.groupBy(content, kind).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    """content, kind, mean, std, n and overall: the weighted mean of the kinds that the content has, added in their order."""
+    each = rows.groupBy(content, kind).agg(steady_mean(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
     w = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col(kind))
-    all_ = Window.partitionBy(content)
+    all_ = Window.partitionBy(content).orderBy(kind).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return each.withColumn("_w", w).withColumn("overall", F.try_divide(F.sum(F.col("mean") * F.col("_w")).over(all_), F.sum("_w").over(all_))).drop("_w")
 
 

@@ -34,19 +34,26 @@ def feedback_trend_daily(spark, d):
 
 
 KINDS = {"view": 0.3, "click": 0.3, "purchase": 0.2, "signup": 0.2}
+
+
+def _metrics(spark, d):
+    """Values have two places, so a mean of few may lie half-way between two numbers of six places: noise of its sum must not decide."""
+    metrics = A.content_metrics(read(spark, d, "events"), "user_id", "event_type", "value", KINDS)
+    return metrics.withColumns({c: F.round(c, 12) for c in ("mean", "overall")})
+
+
 METRICS = f"""SELECT user_id, event_type, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n, CASE event_type {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in KINDS.items())} END AS w FROM events GROUP BY ALL"""
 
 
 @query(f"SELECT user_id, event_type, round(mean, 6) AS mean, round(std, 6) AS std, n, round(sum(mean * w) OVER (PARTITION BY user_id) / sum(w) OVER (PARTITION BY user_id), 6) AS overall FROM ({METRICS})")
 def content_metrics(spark, d):
-    return rounded(A.content_metrics(read(spark, d, "events"), "user_id", "event_type", "value", KINDS), "mean", "std", "overall")
+    return rounded(_metrics(spark, d), "mean", "std", "overall")
 
 
 @query(f"""WITH m AS (SELECT user_id, event_type, mean, n, sum(mean * w) OVER (PARTITION BY user_id) / sum(w) OVER (PARTITION BY user_id) AS overall FROM ({METRICS}))
 SELECT user_id, event_type, round(overall, 6) AS overall, CASE WHEN overall < 40 THEN 'alert' ELSE 'suggestion' END AS severity FROM m WHERE overall < 40 OR (mean < 45 AND n >= 5)""")
 def feedback_alerts(spark, d):
-    metrics = A.content_metrics(read(spark, d, "events"), "user_id", "event_type", "value", KINDS)
-    return rounded(A.alerts(metrics, 40, 45, 5).select("user_id", "event_type", "overall", "severity"), "overall")
+    return rounded(A.alerts(_metrics(spark, d), 40, 45, 5).select("user_id", "event_type", "overall", "severity"), "overall")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c)
