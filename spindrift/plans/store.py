@@ -58,7 +58,8 @@ def documents_vectors(spark, d):
 def ttl_expiry(spark, d):
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     events = read(spark, d, "events")
-    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.lit(0.5))
+    # Half seconds go to the even one, as the SQL's cast does.
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return events.select("event_id", F.round(W.age_hours(F.col("ts"), now), 6).alias("age_hours"), (W.age_hours(F.col("ts"), now) * 3600 > 86400).alias("expired"), F.date_format("ts", "yyyy-MM-dd").alias("day"), seconds.cast("long").alias("epoch"))
 
 

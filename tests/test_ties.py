@@ -2,7 +2,9 @@
 
 import itertools
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
+
+import duckdb
 
 from spindrift.operators import feedback as A
 from spindrift.plans import catalog
@@ -26,3 +28,13 @@ def test_means_of_values_that_are_no_decimals(spark):
     rows = [("a", math.nan), ("a", 1.0), ("b", math.inf), ("b", 1.0), ("c", None), ("d", 1e300), ("d", 3e300), ("e", 1.5), ("e", None), ("e", 2.5)]
     means = {r["kind"]: r["mean"] for r in A.content_metrics(spark.createDataFrame([("x", *r) for r in rows], "content string, kind string, value double"), "content", "kind", "value", {}).collect()}
     assert math.isnan(means.pop("a")) and means == {"b": math.inf, "c": None, "d": 2e300, "e": 2.0}
+
+
+def test_half_seconds_go_to_the_even_one(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    times = [start + timedelta(milliseconds=500 * i) for i in range(8)] + [datetime(1969, 12, 31, 23, 59, 58, 500000), datetime(1969, 12, 31, 23, 59, 59, 500000)]
+    spark.createDataFrame([(i, t, 0, "view", 1.0, None) for i, t in enumerate(times)], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = sorted(map(tuple, catalog.QUERIES["ttl_expiry"](spark, str(tmp_path)).collect()))
+    assert found == sorted(db.sql(catalog.ORACLES["ttl_expiry"]).fetchall())
