@@ -4,8 +4,8 @@ Layout of the folder:
 
 * postings/segment=S/bucket=B: a row for each term and block of a segment. A term's bucket is a hash of it. Documents are
   dealt to blocks of about `span` by a hash of their key, the same for all terms of a segment, so that a block's bounds of
-  several terms add up. A row holds the block's keys, term frequencies and document lengths, and the bounds: the largest
-  frequency and the least length.
+  several terms add up. A row holds the block's keys, term frequencies and document lengths, their sums, and the bounds: the
+  largest frequency and the least length.
 * stored/segment=S/part=P: the documents' columns and their number of words, by a hash of the key.
 * commits/commit=N: the segments that are live, and counts. What no commit names is not read, so a writer that dies leaves
   the index as it was; of two writers of one commit the second fails.
@@ -43,14 +43,29 @@ from .lineage import shared_folder
 BUCKETS, PARTS, SPAN, SEEDS = 32, 16, 256, 64
 #: Bounds of a threshold are compared with this much room for rounding.
 ROOM = 1e-9
-#: Tasks that write a bucket, at most.
-SPREAD = 8
+#: Blocks of a bucket that one task writes, and tasks that write a bucket, at most (a power of two).
+SLOT_BLOCKS, SPREAD = 1000, 64
+#: Documents that a task stores and words that a task splits, about.
+TASK_DOCS, TASK_WORDS = 8192, 500_000
+#: Counts up when the files' columns change.
+LAYOUT = 2
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _blocks(n_docs: int, span: int) -> int:
+    """Number of blocks; large ones are multiples of SPREAD, so that segments deal their blocks to slots alike."""
+    n = max(1, -(-n_docs // span))
+    return n if n < 10 * SPREAD else -(-n // SPREAD) * SPREAD
+
+
+def _slots(n_blocks: int) -> int:
+    """Tasks that write a bucket: a power of two that divides the number of blocks, or one."""
+    return min(SPREAD, 1 << max(0, (n_blocks // SLOT_BLOCKS).bit_length() - 1))
+
+
 @dataclass(frozen=True)
 class Commit:
     number: int
@@ -86,39 +101,67 @@ class Index:
 
     def append(self, docs: DataFrame) -> Index:
         """The index with further documents, as a segment of their own; what is there is not read."""
-        segment, n_blocks, counted, n_docs, n_words = self._store(docs)
-        terms = counted.select(self.key, "n_words", F.explode(T.words(F.col(self.text))).alias("term")).groupBy("term", self.key, "n_words").agg(F.count("*").cast("int").alias("tf"))
-        self._post(terms, segment, n_blocks)
+        n_docs = docs.count()
+        # A part has as many tasks as it has documents for.
+        tasks = self.parts * max(1, -(-n_docs // (TASK_DOCS * self.parts)))
+        counted = docs.withColumn("n_words", F.coalesce(F.regexp_count(F.lower(self.text), F.lit(T.WORD)), F.lit(0)))
+        dealt = counted.withColumn("part", self._part()).repartitionById(tasks, F.pmod(F.xxhash64(self.key), F.lit(tasks)).cast("int"))
+        segment, stored, n_docs, n_words = self._store(dealt)
+        n_blocks = _blocks(n_docs, self.span)
+        # A task has whole blocks, so that counting and packing their words takes no further shuffle.
+        tasks = max(1, min(n_blocks, max(-(-n_words // TASK_WORDS), min(self.spark.sparkContext.defaultParallelism, n_words * 4 // TASK_WORDS))))
+        own = stored.select(self.key, "n_words", self.text, self._block(n_blocks)).repartition(tasks, "block")
+        terms = own.select("block", self.key, "n_words", F.explode(T.words(F.col(self.text))).alias("term")).groupBy("block", "term", self.key, "n_words").agg(F.count("*").cast("int").alias("tf"))
+        slots = _slots(n_blocks)
+        packed = self._packed(terms, "block", "term").withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        self._write(packed.repartitionById(self.buckets * slots, (F.col("bucket") * slots + F.pmod("block", F.lit(slots))).cast("int")), segment)
         return self._commit((*self.commit.segments, segment), (*self.commit.blocks, n_blocks), self.commit.n_docs + n_docs, self.commit.n_words + n_words)
 
     def merge(self) -> Index:
-        """All segments as one, whose blocks are dealt anew. No text is split into words again."""
-        segment, n_blocks, *_ = self._store(self.stored().drop("n_words"))
-        each = self._postings(self.commit.segments).select("term", F.explode(F.arrays_zip("keys", "tfs", "words")).alias("p"))
-        self._post(each.select("term", F.col("p.keys").alias(self.key), F.col("p.words").alias("n_words"), F.col("p.tfs").alias("tf")), segment, n_blocks)
+        """All segments as one, whose blocks are dealt anew. No text is split into words again, and none is shuffled: it stays in its part."""
+        segment, *_ = self._store(self._stored(self.commit.segments).drop("segment"))
+        n_blocks = _blocks(self.commit.n_docs, self.span)
+        slots = _slots(n_blocks)
+        # A block of old lies in one slot if its segment's blocks are a multiple of slots; those of smaller segments are taken apart.
+        rows = reduce(DataFrame.unionByName, (self._slotted(s, n, slots) for s, n in zip(self.commit.segments, self.commit.blocks, strict=True)))
+        dealt = rows.repartition(self.buckets * slots, "bucket", "slot")
+        each = _unpacked(dealt, self.key, "bucket", "slot", "term").withColumn("block", self._block(n_blocks))
+        self._write(self._packed(each, "bucket", "slot", "term", "block"), segment)
         return self._commit((segment,), (n_blocks,), self.commit.n_docs, self.commit.n_words)
 
-    def _store(self, docs: DataFrame) -> tuple[str, int, DataFrame, int, int]:
-        """Writes the documents; the segment, its blocks, its rows, and how many documents and words it has."""
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def _block(self, n_blocks: int) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(n_blocks)).cast("int").alias("block")
+
+    def _slotted(self, segment: str, n_blocks: int, slots: int) -> DataFrame:
+        rows = self._postings((segment,))
+        if n_blocks % slots == 0:
+            return rows.select("bucket", F.pmod("block", F.lit(slots)).alias("slot"), "term", "keys", "tfs", "words")
+        each = _unpacked(rows, self.key, "bucket", "term").withColumn("slot", self._block(slots))
+        return each.select("bucket", "slot", "term", F.array(self.key).alias("keys"), F.array("tf").alias("tfs"), F.array("n_words").alias("words"))
+
+    def _store(self, dealt: DataFrame) -> tuple[str, DataFrame, int, int]:
+        """Writes documents with n_words and part; the segment, its rows, and how many documents and words it has."""
         segment = uuid.uuid4().hex
-        counted = docs.withColumn("n_words", F.coalesce(F.regexp_count(F.lower(self.text), F.lit(T.WORD)), F.lit(0)))
-        dealt = counted.withColumn("part", F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"))
-        dealt.repartition("part").sortWithinPartitions("part", self.key).write.partitionBy("part").parquet(f"{self.path}/stored/segment={segment}")
+        dealt.sortWithinPartitions("part", self.key).write.partitionBy("part").parquet(f"{self.path}/stored/segment={segment}")
         stored = self._stored((segment,))
         n, words = stored.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-        return segment, max(1, -(-n // self.span)), stored, n, words
-
-    def _post(self, terms: DataFrame, segment: str, n_blocks: int) -> None:
-        """terms: term, key, n_words, tf."""
-        rows = terms.withColumn("block", F.pmod(F.xxhash64(self.key), F.lit(n_blocks)).cast("int"))
-        packed = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct(self.key, "tf", "n_words"))).alias("p"))
-        packed = packed.select(
-            bucket_of(F.col("term"), self.buckets).alias("bucket"), "term", "block", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.n_words").alias("min_words"),
+        return segment, stored, n, words
+
+    def _packed(self, each: DataFrame, *by: str) -> DataFrame:
+        """A row for the postings (key, tf, n_words) of each group."""
+        packed = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(self.key, "tf", "n_words"))).alias("p"), F.sum("tf").alias("total"))
+        return packed.select(
+            *by, F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.n_words").alias("min_words"), "total",
             F.col(f"p.{self.key}").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.n_words").alias("words"),
         )
-        # Some tasks write a bucket, each other blocks of it; a file is ordered by term, so a reader skips to its terms.
-        spread = min(SPREAD, max(1, n_blocks // 1000))
-        packed.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "term", "block").write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+
+    def _write(self, packed: DataFrame, segment: str) -> None:
+        """Writes the rows as they are dealt. A file is ordered by term, so a reader skips to its terms."""
+        rows = packed.select("bucket", "term", "block", "n", "max_tf", "min_words", "total", "keys", "tfs", "words")
+        rows.sortWithinPartitions("bucket", "term", "block").write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
 
     def _commit(self, segments: tuple[str, ...], blocks: tuple[int, ...], n_docs: int, n_words: int) -> Index:
         number = self.commit.number + 1
@@ -147,7 +190,7 @@ class Index:
 
     def _postings(self, segments: Sequence[str]) -> DataFrame:
         k = self.key_type
-        schema = f"term string, block int, n int, max_tf int, min_words int, keys array<{k}>, tfs array<int>, words array<int>, segment string, bucket int"
+        schema = f"term string, block int, n int, max_tf int, min_words int, total long, keys array<{k}>, tfs array<int>, words array<int>, segment string, bucket int"
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/segment={s}" for s in segments))
 
     def _frequencies(self, segments: Sequence[str]) -> DataFrame:
@@ -155,7 +198,7 @@ class Index:
 
     def frequencies(self) -> DataFrame:
         """term, df and total (occurrences)."""
-        return self._postings(self.commit.segments).groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
+        return self._postings(self.commit.segments).groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
 
     @functools.cached_property
     def means(self) -> tuple[int, float]:
@@ -176,7 +219,7 @@ class Index:
 
     def _scored(self, blocks: DataFrame, scores: Mapping[str, Any]) -> DataFrame:
         """key and score of each document of the blocks: the sum of its terms' scores of (tf, n_words)."""
-        each = blocks.select("term", F.explode(F.arrays_zip("keys", "tfs", "words")).alias("p")).select(F.col("p.keys").alias(self.key), "term", F.col("p.tfs").alias("tf"), F.col("p.words").alias("n_words"))
+        each = _unpacked(blocks, self.key, "term")
         return each.groupBy(self.key).agg(F.sum(_by_term(scores, F.col("tf"), F.col("n_words"))).alias("score"))
 
     def best(self, scores: Mapping[str, Any], k: int, blocks: DataFrame | None = None) -> DataFrame:
@@ -263,6 +306,12 @@ def _by_term(scores: Mapping[str, Any], tf: Column, n_words: Column) -> Column:
     return reduce(lambda out, t: F.when(F.col("term") == t, scores[t](tf, n_words)).otherwise(out), scores, F.lit(0.0))
 
 
+def _unpacked(rows: DataFrame, key: str, *others: str) -> DataFrame:
+    """others, key, tf and n_words of each posting."""
+    each = rows.select(*others, F.explode(F.arrays_zip("keys", "tfs", "words")).alias("p"))
+    return each.select(*others, F.col("p.keys").alias(key), F.col("p.tfs").alias("tf"), F.col("p.words").alias("n_words"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
@@ -286,7 +335,7 @@ def new_path(spark: SparkSession) -> str:
 def index_of(spark: SparkSession, path: str, **options: Any) -> Index:
     """The index of the documents at path, in the shared folder: built once for a state of their files, then opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length").collect()
-    state = hashlib.md5(repr((sorted(map(tuple, files)), sorted(options.items()))).encode()).hexdigest()
+    state = hashlib.md5(repr((sorted(map(tuple, files)), sorted(options.items()), LAYOUT)).encode()).hexdigest()
     at = f"{shared_folder(spark)}/index-{state}"
     if (spark.sparkContext.applicationId, state) not in _opened:
         there = _exists(spark, f"{at}/commits/commit=1/_SUCCESS")

@@ -76,6 +76,29 @@ def test_segments_append_merge_and_reopen(spark, docs, tmp_path):
     assert sorted(r[0] for r in merged.fetch([7, 1_000_007, 5]).select("doc_id").collect()) == [7, 1_000_007]
 
 
+def test_postings_are_shuffled_once_and_packed(spark, docs, tmp_path, monkeypatch):
+    plans, write = [], I.Index._write
+    monkeypatch.setattr(I.Index, "_write", lambda self, packed, segment: (plans.append(packed._jdf.queryExecution().executedPlan().toString()), write(self, packed, segment))[1])
+    index = I.Index.build(docs.filter("doc_id % 3 > 0"), f"{tmp_path}/i", span=8).append(docs.filter("doc_id % 3 = 0")).merge()
+    # Building: texts by block, then packed rows. Merging: packed rows alone.
+    assert [p.count("Exchange") for p in plans] == [2, 2, 1]
+    assert plain(index.frequencies().orderBy("term"), "term", "df", "total") == plain(S.inverted_index(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy("term"), "term", "df", "total")
+
+
+def test_segments_of_several_slots_merge(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "SPREAD", 4)
+    monkeypatch.setattr(I, "SLOT_BLOCKS", 8)
+    late = F.col("doc_id") % 5 == 0
+    parts = I.Index.build(docs.filter(~late), f"{tmp_path}/i", span=8).append(docs.filter(late))
+    assert parts.commit.blocks[0] % 4 == 0 and parts.commit.blocks[1] % 4 and I._slots(parts.commit.blocks[0]) == 4
+    merged = parts.merge()
+    rows = merged._postings(merged.commit.segments)
+    assert rows.count() == rows.select("term", "block").distinct().count()
+    wanted = plain(S.top(S.bm25(docs, "w1 w7"), 40, score="bm25"), "doc_id", "bm25")
+    assert plain(parts.bm25("w1 w7", 40), "doc_id", "bm25") == plain(merged.bm25("w1 w7", 40), "doc_id", "bm25") == wanted
+    assert sorted(r[0] for r in merged.fetch([7, 14, 100_003]).select("doc_id").collect()) == [7, 14, 100_003]
+
+
 def test_index_of_no_documents(docs, tmp_path):
     empty = I.Index.build(docs.filter("false"), f"{tmp_path}/i")
     assert empty.keyword("w1", 5).count() == 0 and empty.bm25("w1", 5).count() == 0
