@@ -16,6 +16,10 @@ ENTRIES = 20_000
 STOP = ("of", "de", "la", "in")
 
 
+#: Documents whose words one task sorts, about.
+TASK_DOCS = 2048
+
+
 @query(None)
 def segmented_text(spark, d):
     """Benchmark texts without their spaces, cut into words of the documents."""
@@ -42,8 +46,12 @@ m AS (SELECT doc_id, run, CASE WHEN paired THEN 0 ELSE least(p // 2, greatest(ce
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY term""")
 def merged_terms(spark, d):
     """Terms of documents' words, short neighbours glued."""
-    tokens = read(spark, d, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("place", "token"))
-    return G.merged_tokens(tokens, STOP).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    # Whole texts are dealt to tasks, so that their words are sorted and counted there without a shuffle of words.
+    dealt = docs.repartition(max(spark.sparkContext.defaultParallelism, -(-docs.count() // TASK_DOCS)), "doc_id")
+    tokens = dealt.select("doc_id", F.posexplode(T.words(F.col("text"))).alias("place", "token"))
+    each = G.merged_tokens(tokens, STOP).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.count("doc_id").alias("n_docs"))
 
 
 @query(r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark), d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
