@@ -182,10 +182,14 @@ def aligned(parts: DataFrame, table: str, many: int = 4) -> DataFrame:
 
 def header_rows(cells: DataFrame, table: str) -> DataFrame:
     """table, row and share of rows whose cells are mostly header-like: words in a table that is mostly numbers, or flagged."""
-    kinds = cells.withColumn("_kind", cell_type(F.col("text")))
-    numeric = F.avg((F.col("_kind") == "Nu").cast("double")).over(Window.partitionBy(table)) > 0.5
-    like = F.col("is_header") | (numeric & (F.col("_kind") != "Nu"))
-    return kinds.withColumn("_like", like).groupBy(table, "row").agg(F.avg(F.col("_like").cast("double")).alias("share")).filter("share > 0.5")
+    number = cell_type(F.col("text")) == "Nu"
+    share = lambda c: F.avg(c.cast("double"))
+    # A row's shares for both kinds of tables come first, so that only rows, without texts, are sorted by table.
+    rows = cells.groupBy(table, "row").agg(F.count_if(number).alias("_numbers"), F.count(number).alias("_typed"), share(F.col("is_header")).alias("_flagged"), share(F.col("is_header") | ~number).alias("_words"))
+    all_ = Window.partitionBy(table)
+    numeric = F.try_divide(F.sum("_numbers").over(all_), F.sum("_typed").over(all_)) > 0.5
+    chosen = rows.withColumn("share", F.when(F.coalesce(numeric, F.lit(True)), F.col("_words")).otherwise(F.col("_flagged")))
+    return chosen.select(table, "row", "share").filter("share > 0.5")
 
 
 def spans(boxes: DataFrame, columns: DataFrame, table: str) -> DataFrame:
