@@ -28,4 +28,5 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, parts: int, spread
     """Equi-join in which each key's rows of large are dealt over parts by a column, and small is repeated as often."""
     l = large.withColumn("_salt", F.pmod(F.hash(spread), F.lit(parts)))  # noqa: E741
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return l.join(s, [key, "_salt"]).drop("_salt")
+    # Spark's estimate of s leaves out its copies; a merge join does not hold them in memory.
+    return l.join(s.hint("merge"), [key, "_salt"]).drop("_salt")
