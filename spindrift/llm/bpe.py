@@ -30,7 +30,7 @@ from .runtime import by_text, table
 #: Words that a worker remembers; beyond it starts afresh. Bounds memory, changes no result.
 REMEMBERED = 120_000
 #: Code points of text that go into one Arrow batch of results, about.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 NONE = np.iinfo(np.int64).max
 #: Bytes beyond which a word is merged in rounds of its own.
 LONG = 512

@@ -568,3 +568,16 @@ def test_long_words_match_the_library():
         wanted = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids[0], "<u4").tolist() == wanted and decoded[0] == library.decode(wanted, skip_special_tokens=False)
     assert time.monotonic() - started < 20
+
+
+def test_a_batch_of_texts_takes_little_memory_to_encode():
+    import tracemalloc
+
+    codec = bpe._codec(open(bpe.vocabulary(), encoding="utf-8").read())
+    texts = [" ".join(f"w{(i * 37 + j) % 500}" for j in range(2000)) for i in range(400)]
+    codec.encode(texts[:3])
+    tracemalloc.start()
+    n = sum(len(codec.encode(texts[a:b])[0]) for a, b in bpe.groups([len(t) for t in texts], bpe.BATCH_CHARS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and peak < 30_000_000
