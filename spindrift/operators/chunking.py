@@ -111,17 +111,17 @@ def merge_small(chunks: Column, least: int = 100) -> Column:
 
 def accumulated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_rest: bool = True) -> DataFrame:
     """Sentences gathered until together they are a valid chunk; keep_rest: what is left at the end is one too."""
-    sentences = T.sentences(F.col(text))
     # What a sentence adds to the brackets that are open, whether it ends one, and its length.
-    signs = F.transform(sentences, lambda s: F.struct(F.length(s).alias("size"), T.is_complete(s).alias("ends"), F.regexp_replace(s, r"[^()\[\]{}]", "").alias("signs")))
+    signs = F.transform("_s", lambda s: F.struct(F.length(s).alias("size"), T.is_complete(s).alias("ends"), F.regexp_replace(s, r"[^()\[\]{}]+", "").alias("signs")))
 
     @F.pandas_udf("array<struct<start: int, n: int>>")
     def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for each in batches:
             yield pd.Series([None if s is None else accumulated(s, keep_rest) for s in each], dtype=object)
 
-    rows = docs.select(key, sentences.alias("_s"), F.posexplode(gather(signs)).alias("chunk_index", "r"))
-    return rows.select(key, "chunk_index", F.array_join(F.slice("_s", F.col("r.start") + 1, F.col("r.n")), " ").alias("chunk"))
+    # Chunks are made before they become rows, as each row would else carry all sentences of its text.
+    chunks = F.transform(gather(signs), lambda r: F.array_join(F.slice("_s", r["start"] + 1, r["n"]), " "))
+    return docs.select(key, T.sentences(F.col(text)).alias("_s")).select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
 def accumulated(sentences: list[dict], keep_rest: bool, least: int = 50) -> list[dict]:

@@ -184,3 +184,16 @@ def test_questions_as_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "page long, box long, text string, layout string, x0 double, top double").repartition(4)
     found = {(r["page"], r["box"]): (r["question"], r["number"]) for r in O.question_bullets(df, O.QUESTIONS[5]).collect()}
     assert found == wanted and sum(q for q, _ in wanted.values()) > 100
+
+
+def test_long_texts_are_split_once(spark):
+    """Rows of chunks do not carry their whole text, and a text is not split again for each of its chunks."""
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"Sentence number {i} (of many) goes on for a while, until it stops." for i in range(6000)))], "doc_id long, text string")
+    carried = re.findall(r"Generate posexplode.*, \[([^\]]*)\], false, \[chunk_index", C.accumulated_chunks(df)._jdf.queryExecution().executedPlan().toString())
+    assert carried and all("_s#" not in c for c in carried)
+    for chunks in (C.accumulated_chunks(df), C.sentence_chunks(df, 60)):
+        start = time.time()
+        assert chunks.agg({"chunk": "count"}).first()[0] == 6000
+        assert time.time() - start < 30
