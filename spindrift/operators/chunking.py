@@ -54,13 +54,15 @@ def _packed(parts: Column, sizes: Column, limit: int, mode: str, joiner: str, ex
         for each in batches:
             yield pd.Series([None if s is None else runs(s, limit, mode, extra) for s in each], dtype=object)
 
-    return F.transform(pack(sizes), lambda r: F.struct(F.array_join(F.slice(parts, r["start"] + 1, r["n"]), joiner).alias("text"), r["size"].alias("n")))
+    # parts is bound outside the inner function, which would else make it anew for each run.
+    bound = F.array(F.struct(parts.alias("parts"), pack(sizes).alias("runs")))
+    return F.transform(bound, lambda b: F.transform(b["runs"], lambda r: F.struct(F.array_join(F.slice(b["parts"], r["start"] + 1, r["n"]), joiner).alias("text"), r["size"].alias("n"))))[0]
 
 
 def sentence_chunks(docs: DataFrame, size: int = 512, *, valid_only: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, chunk_index, chunk and chunk_id: sentences packed while their lengths sum to at most size."""
-    packed = _packed(T.sentences(F.col(text)), F.transform(T.sentences(F.col(text)), F.length), size, "fits", " ")
-    rows = docs.select(key, F.posexplode(F.transform(packed, lambda c: c["text"])).alias("chunk_index", "chunk"))
+    packed = _packed(F.col("_s"), F.transform("_s", F.length), size, "fits", " ")
+    rows = docs.select(key, T.sentences(F.col(text)).alias("_s")).select(key, F.posexplode(F.transform(packed, lambda c: c["text"])).alias("chunk_index", "chunk"))
     rows = rows.filter(T.is_valid_chunk(F.col("chunk"))) if valid_only else rows
     return rows.withColumn("chunk_id", chunk_id(F.col("chunk")))
 
@@ -93,15 +95,15 @@ def word_windows(docs: DataFrame, size: int = 512, step: int = 384, *, key: str
 def word_budget_chunks(docs: DataFrame, budget: int = 512, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines packed while their words sum to at most budget."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    packed = _packed(lines, F.transform(lines, lambda s: F.size(F.split(F.trim(s), r"\s+"))), budget, "fits", "\n")
-    return docs.select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_words"))
+    packed = _packed(F.col("_l"), F.transform("_l", lambda s: F.size(F.split(F.trim(s), r"\s+"))), budget, "fits", "\n")
+    return docs.select(key, lines.alias("_l")).select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_words"))
 
 
 def naive_merge(docs: DataFrame, tokens: int = 128, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines appended to a chunk until it has more than so many tokens."""
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    packed = _packed(lines, F.transform(lines, lambda s: F.size(T.tokens(s))), tokens, "over", "\n")
-    return docs.select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_tokens"))
+    packed = _packed(F.col("_l"), F.transform("_l", lambda s: F.size(T.tokens(s))), tokens, "over", "\n")
+    return docs.select(key, lines.alias("_l")).select(key, F.posexplode(packed).alias("chunk_index", "c")).select(key, "chunk_index", "c.text", F.col("c.n").alias("n_tokens"))
 
 
 def merge_small(chunks: Column, least: int = 100) -> Column:
