@@ -7,6 +7,7 @@ Spark's logistic regression and are plain numbers that can be kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,22 +21,41 @@ from .lineage import checkpointed
 SEEN = ("share", "neighbours", "early", "density")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once a row however often use names it, also within inner functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def seen(query: Column, text: Column) -> dict[str, Column]:
     """The numbers of SEEN, each from 0 to 1, of a query's and a text's words (arrays; null: none)."""
+    numbers = seen_at_once(query, text)
+    return {name: numbers[name] for name in SEEN}
+
+
+def seen_at_once(query: Column, text: Column) -> Column:
+    """A struct of the numbers of SEEN, each from 0 to 1, of a query's and a text's words (arrays; null: none)."""
     none = F.array().cast("array<string>")
-    q, w = F.coalesce(query, none), F.coalesce(text, none)
-    distinct = F.array_distinct(q)
-    places = F.filter(F.transform(distinct, lambda x: F.array_position(w, x)), lambda p: p > 0)
-    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(q) - 1), lambda i: F.concat(F.lit(" "), F.element_at(q, i), F.lit(" "), F.element_at(q, i + 1), F.lit(" ")))
-    together = F.size(F.filter(pairs, lambda p: F.contains(joined, p)))
+    given = F.struct(F.coalesce(query, none).alias("q"), F.coalesce(text, none).alias("w"))
     share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-    return {
-        "share": share(F.size(places), F.size(distinct)),
-        "neighbours": F.when(F.size(q) > 1, together / (F.size(q) - 1)).otherwise(0.0),
-        "early": F.coalesce(1 / F.array_min(places), F.lit(0.0)),
-        "density": share(F.size(F.filter(w, lambda x: F.array_contains(q, x))), F.size(w)),
-    }
+
+    def placed(g: Column) -> Column:
+        distinct = F.array_distinct(g["q"])
+        places = F.filter(F.transform(distinct, lambda x: F.array_position(g["w"], x)), lambda p: p > 0)
+        joined = F.concat(F.lit(" "), F.array_join(g["w"], " "), F.lit(" "))
+        return F.struct(g["q"].alias("q"), g["w"].alias("w"), F.size(distinct).alias("n"), places.alias("places"), joined.alias("joined"))
+
+    def numbers(g: Column) -> Column:
+        q = g["q"]
+        pairs = F.transform(F.sequence(F.lit(1), F.size(q) - 1), lambda i: F.concat(F.lit(" "), F.element_at(q, i), F.lit(" "), F.element_at(q, i + 1), F.lit(" ")))
+        together = F.size(F.filter(pairs, lambda p: F.contains(g["joined"], p)))
+        return F.struct(
+            share(F.size(g["places"]), g["n"]).alias("share"),
+            F.when(F.size(q) > 1, together / (F.size(q) - 1)).otherwise(0.0).alias("neighbours"),
+            F.coalesce(1 / F.array_min(g["places"]), F.lit(0.0)).alias("early"),
+            share(F.size(F.filter(g["w"], lambda x: F.array_contains(q, x))), F.size(g["w"])).alias("density"),
+        )
+
+    return _bound(_bound(given, placed), numbers)
 
 
 @dataclass(frozen=True)
@@ -45,11 +65,14 @@ class PairModel:
 
     def __call__(self, query: Column, text: Column) -> Column:
         """Score from 0 to 1 of a query and a text, as rerank.by_model takes it."""
-        numbers = seen(T.words(query), T.words(text))
-        total = F.lit(self.bias)
-        for name, weight in zip(SEEN, self.weights, strict=True):
-            total = total + weight * numbers[name]
-        return 1 / (1 + F.exp(-total))
+
+        def score(numbers: Column) -> Column:
+            total = F.lit(self.bias)
+            for name, weight in zip(SEEN, self.weights, strict=True):
+                total = total + weight * numbers[name]
+            return 1 / (1 + F.exp(-total))
+
+        return _bound(seen_at_once(T.words(query), T.words(text)), score)
 
 
 def fit(pairs: DataFrame, ridge: float = 1e-3) -> PairModel:
@@ -57,8 +80,8 @@ def fit(pairs: DataFrame, ridge: float = 1e-3) -> PairModel:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = pairs.select(F.col("label").cast("double").alias("label"), *(c.cast("double").alias(n) for n, c in seen(T.words(F.col("query")), T.words(F.col("text"))).items()))
-    rows = checkpointed(rows.filter("label IS NOT NULL"))
+    rows = pairs.filter("label IS NOT NULL").select(F.col("label").cast("double").alias("label"), seen_at_once(T.words(F.col("query")), T.words(F.col("text"))).alias("n"))
+    rows = checkpointed(rows.select("label", *(F.col(f"n.{n}").cast("double").alias(n) for n in SEEN)))
     if rows.select("label").distinct().count() < 2:
         return PairModel((0.0,) * len(SEEN), 0.0)
     given = VectorAssembler(inputCols=list(SEEN), outputCol="features").transform(rows)

@@ -73,3 +73,15 @@ def test_unseen_pairs_and_many_queries(spark, data):
     assert sorted((r["query_id"], r["rank"]) for r in rows) == [(q, n) for q in range(3) for n in range(1, 5)]
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == 1] == [0, 1, 2, 3]
     assert P.reranked(hits.filter("doc_id > 99"), asked, docs, model).count() == 0
+
+
+def test_words_of_long_texts_are_taken_once(spark):
+    """A pair's words are not taken anew for each word that is compared."""
+    import time
+
+    text = " ".join(f"word{i % 977} other{i}" for i in range(60_000))
+    df = spark.createDataFrame([(" ".join(f"word{i}" for i in range(3000)), text)], "query string, text string")
+    start = time.time()
+    score = df.select(P.PairModel((1.0, 0.0, 0.0, 0.0), 0.0)(F.col("query"), F.col("text")).alias("s")).first()["s"]
+    assert score == pytest.approx(1 / (1 + math.exp(-977 / 3000)))
+    assert time.time() - start < 30
