@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boxes import overlap
+from .lineage import checkpointed
 
 #: Height of the bands by which boxes and parts find each other.
 BAND = 64.0
@@ -169,7 +170,8 @@ def relocated_cells(cells: DataFrame, table: str = "table") -> DataFrame:
     Columns are looked at in tables of at least LEAST_LINES rows, rows in tables of so many columns. A cell's text is that of its first box (by top, x0, id).
     Equal distances go to the later line. Lines are numbered from 0 without gaps.
     """
-    across = _joined_lines(cells, table, "column", "row", "x0", "x1")
+    # Each step reads its cells four times, so they are made once.
+    across = checkpointed(_joined_lines(checkpointed(cells), table, "column", "row", "x0", "x1"))
     return _joined_lines(across, table, "row", "column", "top", "bottom")
 
 
