@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .runtime import by_text, table
+from .runtime import by_text, frugal, table
 
 #: Words that a worker remembers; beyond it starts afresh. Bounds memory, changes no result.
 REMEMBERED = 120_000
@@ -169,7 +169,8 @@ class Codec:
         self.names = {i: s for s, i in vocab.items()} | {i: s for s, i in added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {s: (np.array([i], "<u4").tobytes(), s) for s, i in added.items()}
-        self.normal = Tokenizer.from_str(text).normalizer
+        # The normalizer needs no vocabulary.
+        self.normal = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer
         self.split = pre_tokenizers.Split(Regex(self.PATTERN), "removed", invert=True)
         self.known: dict[str, bytes] = {}
         self.written: dict[str, str] = {}
@@ -252,10 +253,11 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             for a, b in groups([len(t) for t in texts], BATCH_CHARS):
                 ids, decoded = codec.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
-        codec.forget()  # the worker lives on for other tasks
+        del codec
+        _codecs.clear()  # the worker lives on for other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(frugal(run), f"doc_id {kind}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

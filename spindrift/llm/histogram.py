@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import frugal
+
 #: Buckets of a histogram, and buckets of a slice of it.
 BUCKETS, SLICE = 1 << 20, 1 << 12
 
@@ -40,7 +42,7 @@ def histogram(df: DataFrame, buckets: Callable[[pa.Array], Iterator[np.ndarray]]
         yield _slices(sums)
 
     counts = np.zeros(BUCKETS, np.int64)
-    for r in df.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
+    for r in df.mapInArrow(frugal(count), "slice int, counts binary").repartition("slice").mapInArrow(frugal(add), "slice int, counts binary").collect():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
     return counts
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .components import components, forest
 from .flatwords import Words, chunks, mix, words
 from .histogram import BUCKETS, histogram
-from .runtime import by_text, discard, table, written
+from .runtime import by_text, discard, frugal, table, written
 
 #: Bits of a word's code: step of rarity, hash. Codes in numeric order are words in order of rarity.
 RARITY, HASH = 8, 56
@@ -56,8 +56,8 @@ HOT, PART = 1 << 14, 1 << 20
 SORTED, MOST_SORTED, TASKS = 1 << 17, 1 << 22, 1 << 12
 #: Sets of a cluster that a block holds at least and at most, and blocks that a cluster of fewer is dealt to at most.
 BLOCK, LARGEST, BLOCKS = 256, 50_000, 32
-#: Candidates and words that a task handles at once.
-SPAN = 1 << 20
+#: Candidates and words that a task handles at once: about ten arrays of 64-bit numbers of this length; four times as many words are packed at once.
+SPAN = 1 << 18
 #: Lines whose words may be asked for by a broadcast (about 40 bytes each); beyond it by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -172,7 +172,7 @@ def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc long, doc_id {kind}, raw long, top boolean, line int, hi long, lo long, size int, map binary, rare binary"
-    return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(run, kinds)
+    return by_text(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")).mapInArrow(frugal(run), kinds)
 
 
 def _wordless(batch: pa.RecordBatch, a: int, b: int, w: Words, row: int) -> pa.RecordBatch:
@@ -303,7 +303,7 @@ def candidates(each: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.column(3).nbytes // 8
-            if n >= SPAN:
+            if n >= 4 * SPAN:
                 yield _packed(pa.Table.from_batches(held), sent.value, parts)
                 held, n = [], 0
         if held:
@@ -321,8 +321,8 @@ def candidates(each: DataFrame) -> DataFrame:
         if held:
             yield from _met(held)
 
-    rows = each.filter(F.octet_length("rare") > 0).select("id", "size", "map", "rare").mapInArrow(deal, "part int, body binary, maps binary")
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, listed boolean")
+    rows = each.filter(F.octet_length("rare") > 0).select("id", "size", "map", "rare").mapInArrow(frugal(deal), "part int, body binary, maps binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(frugal(meet), "u long, v long, listed boolean")
 
 
 def _packed(sets: pa.Table, blocks: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -454,7 +454,7 @@ def spelled(docs: DataFrame, wanted: DataFrame, steps: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), cells], names=["w", "words"])
 
     kinds = wanted.schema.simpleString()
-    return by_text(found).mapInArrow(run, f"w {kinds}, words binary").select("w.*", "words")
+    return by_text(found).mapInArrow(frugal(run), f"w {kinds}, words binary").select("w.*", "words")
 
 
 def within(held: DataFrame) -> DataFrame:
@@ -483,7 +483,7 @@ def within(held: DataFrame) -> DataFrame:
         if n:
             yield from _linked(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.mapInArrow(run, "u long, v long, links long")
+    return rows.mapInArrow(frugal(run), "u long, v long, links long")
 
 
 def _linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -541,7 +541,7 @@ def listed(held: DataFrame, pairs: DataFrame) -> DataFrame:
             both = shared(np.r_[a[0], b[0]], np.r_[a[1], b[1] + len(a[0])], size, pair, pair + len(pair))
             yield batch.select(["u", "v", "m", "n"]).filter(pa.array(both >= needed(a[2] + b[2])))
 
-    fine = by_text(pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b", "m", "n")).mapInArrow(run, "u long, v long, m long, n long")
+    fine = by_text(pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b", "m", "n")).mapInArrow(frugal(run), "u long, v long, m long, n long")
     return fine.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("m").alias("links")), F.struct("u", F.lit(None).cast("long").alias("v"), F.col("n").alias("links")))).alias("r")).select("r.*")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .flatwords import chunks, mix, shingles, words
 from .histogram import BUCKETS, histogram
-from .runtime import by_text, checkpoint, table
+from .runtime import by_text, checkpoint, frugal, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -125,7 +125,7 @@ def frequencies(docs: DataFrame, strength: float = STRENGTH) -> Frequencies:
         shingle, n = merged()
         yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    rows = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    rows = texts.mapInArrow(frugal(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
     shingle, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(shingle)
     listed = np.zeros(BUCKETS, bool)
@@ -198,7 +198,7 @@ def signed(docs: DataFrame, idf: Frequencies) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(total, pa.float64()), bands], names=["doc_id", "node", "weight", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_text(docs.select("doc_id", _node(docs), "text")).mapInArrow(run, f"doc_id {kind}, node binary, weight double, bands array<long>")
+    return by_text(docs.select("doc_id", _node(docs), "text")).mapInArrow(frugal(run), f"doc_id {kind}, node binary, weight double, bands array<long>")
 
 
 def _node(docs: DataFrame):
@@ -220,7 +220,7 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cells = [(shingle[s:e].tobytes(), _packed(count[s:e])) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s for s, _ in cells], pa.binary()), pa.array([c for _, c in cells], pa.binary())], names=["node", "shingles", "counts"])
 
-    return by_text(own).mapInArrow(run, "node binary, shingles binary, counts binary").dropDuplicates(["node"])
+    return by_text(own).mapInArrow(frugal(run), "node binary, shingles binary, counts binary").dropDuplicates(["node"])
 
 
 def _packed(count: np.ndarray) -> bytes:
@@ -258,7 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: Frequencies) -> DataFrame:
             fine = [similarity(*row, sent.value) >= SIMILAR for row in zip(*columns, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").mapInArrow(frugal(run), "u binary, v binary")
 
 
 def maps(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def maps(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * MAP, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "bits"])
 
-    return bags(docs, nodes).mapInArrow(run, "node binary, bits array<long>")
+    return bags(docs, nodes).mapInArrow(frugal(run), "node binary, bits array<long>")
 
 
 def classes(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flatwords import MULTIPLIER, NEWLINE, SOLID, VALUE, Words, chunks, mix, powers, words
-from .runtime import by_text, checkpoint, table
+from .runtime import by_text, checkpoint, frugal, table
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
@@ -225,7 +225,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(pattern(counts), pa.int64())], names=["doc_id", *COUNTS, "votes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_text(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, votes long")
+    return by_text(docs.select("doc_id", "text")).mapInArrow(frugal(run), f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, votes long")
 
 
 def learned(votes: DataFrame) -> Accuracies:
@@ -266,7 +266,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
             kept = fine & (1 / (1 + np.exp(-odds)) >= KEEP)
             yield batch.filter(pa.array(kept)).rename_columns(names)
 
-    return by_text(docs).mapInArrow(run, schema)
+    return by_text(docs).mapInArrow(frugal(run), schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,3 +394,16 @@ def test_pipeline_of_odd_rows(spark, data, tmp_path):
     # Copies are rows of their own in the mix; each is encoded.
     found = Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert Counter(i for i, _ in found.elements()) == Counter(i for i, _ in mix.elements())
+
+
+def test_pairs_of_one_large_group_take_little_memory():
+    import tracemalloc
+
+    n = 3000
+    rows = linejoin.Rows(np.zeros(n, np.int64), np.full(n, 20, np.int64), np.zeros(n, np.int64))
+    tracemalloc.start()
+    found = sum(len(x) for x, _ in linejoin.met(rows))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1) // 2
+    assert most < 30e6
