@@ -64,7 +64,7 @@ BROADCAST_ROWS = 200_000
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Step of rarity of each bucket, from a count of all words of the corpus."""
-    counts = histogram(by_text(docs.select("text")), lambda texts: (words(raw, at, True).hash % np.uint64(BUCKETS) for _, _, raw, at in chunks(texts)))
+    counts = histogram(by_text(docs.select("text")), lambda texts: (words(raw, at, True).hash & np.uint64(BUCKETS - 1) for _, _, raw, at in chunks(texts)))
     return np.minimum(6 * np.log2(1 + counts), 2**RARITY - 1).astype(np.uint8)
 
 
@@ -101,21 +101,23 @@ class Codes:
 
 def codes(w: Words, line: np.ndarray, step: np.ndarray) -> Codes:
     """line: the number of each word's line."""
-    code = step[w.hash % np.uint64(BUCKETS)].astype(np.uint64) << np.uint64(HASH) | w.hash >> np.uint64(64 - HASH)
-    order = None
+    code = step[w.hash & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(HASH) | w.hash >> np.uint64(64 - HASH)
+    keep = None
     if len(line) and line.max() < 1 << 16:
         # One sort by line and most of the code, unless it leaves different words equal.
         key = line.astype(np.uint64) << np.uint64(48) | code >> np.uint64(16)
         order = np.argsort(key)
         key, sorted_ = key[order], code[order]
-        if ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
-            order = None
-    if order is None:
+        same = key[1:] == key[:-1]
+        if not (sorted_[1:][same] != sorted_[:-1][same]).any():
+            keep = np.r_[True, ~same]
+            code, line = sorted_[keep], (key[keep] >> np.uint64(48)).astype(np.int64)
+    if keep is None and len(line):
         order = np.lexsort((code, line))
-    code, line = code[order], line[order]
-    if len(code):
+        code, line = code[order], line[order]
         keep = np.r_[True, (code[1:] != code[:-1]) | (line[1:] != line[:-1])]
         code, line = code[keep], line[keep]
+    if len(code):
         first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     else:
         first = np.zeros(0, np.int64)
@@ -131,6 +133,10 @@ def maps(c: Codes, mixed: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(flat)])
 
 
+#: Columns of sets whose values hardly repeat.
+UNLIKE = ("hi", "lo", "map", "rare")
+
+
 def sets(docs: DataFrame, steps: np.ndarray) -> DataFrame:
     """A row for each line with a word, and one without a line for a text that has none: doc (a number for each row of docs), doc_id, raw, top (whether it is the row's first), line, hi, lo (digest of its set), size, map and rare (codes of its rarest words; none below LEAST)."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
@@ -196,7 +202,7 @@ def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame, D
 
     The sets' columns: id (any number), hi, lo, size, map, rare, n (its lines), and the place and doc of its first line.
     """
-    lines = written(sets(docs, steps))
+    lines = written(sets(docs, steps), UNLIKE)
     held = lines.filter("line IS NOT NULL")
     # Of rows of equal doc_id and text one stays.
     tops = lines.filter("top").select("doc", "doc_id", "raw")
@@ -206,8 +212,8 @@ def indexed(docs: DataFrame, steps: np.ndarray) -> tuple[DataFrame, DataFrame, D
         held = held.join(further, "doc", "left_anti")
     first = F.min(F.struct(*_place(), "doc")).alias("first")
     each = held.groupBy("hi", "lo").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "map", "rare")))
-    each = written(each.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "size", "map", "rare", "n", "first.*"))
-    slim, rows = written(held.select("doc", "line", "hi", "lo")), written(tops)
+    each = written(each.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "size", "map", "rare", "n", "first.*"), ("id", *UNLIKE))
+    slim, rows = written(held.select("doc", "line", "hi", "lo"), UNLIKE[:2]), written(tops)
     discard(lines, often)
     return slim, rows, each
 
@@ -554,7 +560,7 @@ def links(docs: DataFrame, each: DataFrame, steps: np.ndarray) -> tuple[DataFram
     wanted = wanted.groupBy("id").agg(F.max("cluster").alias("cluster")).join(each.drop("map", "rare"), "id")
     ranked = written(wanted.orderBy(*PLACE, "hi", "lo").withColumn("rank", F.monotonically_increasing_id()))
     # Rows of equal doc_id and text give the same line.
-    held = written(spelled(docs, ranked, steps).select("rank", "n", "cluster", "words").dropDuplicates(["rank"]))
+    held = written(spelled(docs, ranked, steps).select("rank", "n", "cluster", "words").dropDuplicates(["rank"]), ("words",))
     names = ranked.select("id", "rank")
     pairs = pairs.join(names.withColumnsRenamed({"id": "u", "rank": "r"}), "u").join(names.withColumnsRenamed({"id": "v", "rank": "s"}), "v").select(F.least("r", "s").alias("u"), F.greatest("r", "s").alias("v"))
     out = written(within(held.filter("cluster IS NOT NULL")).unionByName(listed(held, pairs)))
@@ -622,7 +628,8 @@ def report(docs: DataFrame) -> DataFrame:
     found = joined(docs)
     lines = written(decide(found))
     counts = found.lines.groupBy("doc").agg(F.count("*").alias("n_lines"))
-    gone = lines.groupBy("doc").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "earlier")))).alias("gone"))
+    # All of a document's lines in one task, so that their lists are made once.
+    gone = lines.repartition("doc").groupBy("doc").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "earlier")))).alias("gone"))
     own = classes(found, lines)
     least = written(own.join(found.rows, "doc").groupBy("class").agg(F.min("doc_id").alias("class_id")))
     kept = found.rows.join(counts, "doc").join(gone, "doc", "left").join(own, "doc", "left").join(least, "class", "left")

@@ -8,7 +8,7 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,17 +75,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, plain: Sequence[str] = ()) -> DataFrame:
     """The same by a Parquet table, for rows that it stores in less space. It is deleted when the program ends.
 
     The shuffle files of the query that makes it go at once, as nothing reads them again.
+    plain: columns whose values hardly repeat, for which no dictionary is tried.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from spindrift.llm import components, linejoin, mixing, nearcopies
+from spindrift.llm import components, flatwords, linejoin, mixing, nearcopies
 from tests.llm.test_texts import ODD, SCHEMA
 
 
@@ -223,6 +223,30 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_take_no_round_once_edges_are_stars(spark, monkeypatch):
+    kept, made = components.checkpoint, []
+    monkeypatch.setattr(components, "checkpoint", lambda df: made.append(1) or kept(df))
+    found = components.components(spark.createDataFrame([(i, i % 3) for i in range(50)], "u long, v long")).collect()
+    assert {r["u"]: r["v"] for r in found} == {i: i % 3 for i in range(50)} and len(found) == 50
+    assert len(made) == 1
+
+
+def test_words_and_lines_as_python_splits_them():
+    draw = random.Random(9)
+    texts = ["", "\n", "a\n\nb", "\na b\n", "c"] + ["".join(draw.choice("ab\n \t\x0b\x1c\u00e9\x7f") for _ in range(draw.randrange(30))) for _ in range(200)]
+    raw, wanted, line = "".join(texts).encode(), [], 0
+    for t in texts:
+        for part in t.split("\n"):
+            wanted += [(w, line) for w in re.findall(r"[^\x20\x09-\x0D]+", part)]
+            line += 1
+    at = np.cumsum([0] + [len(t.encode()) for t in texts])
+    w = flatwords.words(np.frombuffer(raw, np.uint8), at)
+    lines, first = w.line()
+    assert [(raw[a:b].decode(), i) for a, b, i in zip(w.start, w.end, lines)] == wanted
+    assert first.tolist() == np.cumsum([0] + [t.count("\n") + 1 for t in texts])[:-1].tolist()
+    assert len({h for h in w.hash.tolist()}) == len({t for t, _ in wanted})
+
+
 def edited(draw, text, share):
     return " ".join(f"e{draw.randrange(10**6)}" if draw.random() < share else w for w in text.split())
 
