@@ -215,17 +215,30 @@ def kept_layouts(layouts: DataFrame, boxes: DataFrame, by: str, band: float = BA
     return left.withColumn("_replaced", F.coalesce(replaced, F.lit(False))).filter("NOT _replaced").drop("_replaced", "number")
 
 
-def _chunks():
-    """Sent (characters, short). A short row joins the text before while both stay below SHORT characters."""
-    number, held = -1, None
-    row = yield None
-    while True:
-        n, short = row
-        if short and held is not None and held + n < SHORT:
-            held += n + 1
-        else:
-            number, held = number + 1, n
-        row = yield number
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """table, chunk_no, text and _cap of rows (table, text, short, _cap) in order. A short row joins the text before while both stay below SHORT characters."""
+    at, number, held, cap, size = None, -1, None, None, 0
+    for batch in batches:
+        out = []
+        for key, text, short, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is not None and key == at and short and size + len(text) < SHORT:
+                held.append(text)
+                size += len(text) + 1
+                continue
+            if held is not None:
+                out.append((at, number, "\n".join(held), cap))
+            at, number = key, number + 1 if held is not None and key == at else 0
+            held, cap, size = [text], said, len(text)
+        yield _batch(out, batch)
+        last = batch
+    if held is not None:
+        yield _batch([(at, number, "\n".join(held), cap)], last)
+
+
+def _batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+    keys, numbers, texts, caps = zip(*rows, strict=True) if rows else ((), (), (), ())
+    columns = [pa.array(keys, like.column(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(caps, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[like.schema.names[0], "chunk_no", "text", "_cap"])
 
 
 def described_texts(cells: DataFrame, table: str = "table", caption: str | None = None, english: bool = True) -> DataFrame:
@@ -233,22 +246,23 @@ def described_texts(cells: DataFrame, table: str = "table", caption: str | None
 
     A row's cells stand with the nearest header row above, 'header：value; ...'. In tables of at most two columns a row without a header above is
     short: its cells are joined by '：', and neighbouring short rows share a text of fewer than SHORT characters.
+    Cells are dealt by table once; all later steps keep to these parts and sort them.
     """
     by_row = Window.partitionBy(table).orderBy("row")
-    above = F.last(F.when(F.col("is_header"), F.col("row")), ignorenulls=True).over(by_row.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    all_ = cells.withColumns({"_above": above, "_columns": F.max("column").over(Window.partitionBy(table)) + 1, "_t": F.trim(F.coalesce("text", F.lit("")))})
-    heads = cells.filter("is_header").select(F.col(table).alias("_tb"), F.col("row").alias("_r"), F.col("column").alias("_c"), F.trim(F.coalesce("text", F.lit(""))).alias("_h"))
-    body = all_.filter(~F.col("is_header") & (F.col("_t") != "")).join(heads, (F.col(table) == F.col("_tb")) & (F.col("_above") == F.col("_r")) & (F.col("column") == F.col("_c")), "left")
-    named = F.when(F.coalesce("_h", F.lit("")) != "", F.concat("_h", F.lit(PAIR), "_t")).otherwise(F.col("_t"))
+    upwards = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = cells.select(table, "row", "column", "is_header", F.trim(F.coalesce("text", F.lit(""))).alias("_t"), (F.col(caption).cast("string") if caption else F.lit(None).cast("string")).alias("_cap"))
+    head = F.last(F.when(F.col("is_header") & F.col("column").isNotNull(), F.struct(F.col("row").alias("r"), F.col("_t").alias("h"))), ignorenulls=True).over(upwards(Window.partitionBy(table, "column").orderBy("row")))
+    above = F.last(F.when(F.col("is_header"), F.col("row")), ignorenulls=True).over(upwards(by_row))
+    all_ = kept.repartition(table).withColumn("_head", head).withColumns({"_above": above, "_columns": F.max("column").over(Window.partitionBy(table)) + 1})
+    body = all_.filter(~F.col("is_header") & (F.col("_t") != "") & F.col(table).isNotNull() & F.col("row").isNotNull())
+    # The last header of a cell's column counts only if it is of the header row above.
+    named = F.when((F.col("_head.r") == F.col("_above")) & (F.col("_head.h") != ""), F.concat("_head.h", F.lit(PAIR), "_t")).otherwise(F.col("_t"))
     short = F.col("_above").isNull() & (F.col("_columns") <= 2)
-    rows = body.groupBy(table, "row", short.alias("short")).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", named.alias("v")))), lambda x: x["v"]).alias("v"), *([F.first(caption).alias("_cap")] if caption else []))
-    rows = rows.withColumn("text", F.when(F.col("short"), F.array_join("v", PAIR)).otherwise(F.array_join("v", NEXT))).drop("v")
-    kind = f"{table} {cells.schema[table].dataType.simpleString()}, id {cells.schema['row'].dataType.simpleString()}, number int"
-    numbers = _streamed(rows.select(table, F.col("row").alias("id"), F.length("text").alias("n"), "short", F.col("row").alias("o")), table, ["o"], _chunks, kind)
-    texts = rows.join(numbers.withColumnRenamed("id", "row"), [table, "row"]).groupBy(table, F.col("number").alias("chunk_no")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), "\n").alias("text"), *([F.first("_cap").alias("_cap")] if caption else [])
-    )
+    rows = body.groupBy(table, "row", short.alias("short")).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", named.alias("v")))), lambda x: x["v"]).alias("v"), F.first("_cap").alias("_cap"))
+    rows = rows.select(table, "row", F.when(F.col("short"), F.array_join("v", PAIR)).otherwise(F.array_join("v", NEXT)).alias("text"), "short", "_cap")
+    kind = f"{table} {cells.schema[table].dataType.simpleString()}, chunk_no int, text string, _cap string"
+    texts = rows.sortWithinPartitions(table, "row").select(table, "text", "short", "_cap").mapInArrow(_packed, kind)
     if caption:
         said = F.concat("text", F.lit("\t——" + (" in " if english else "来自") + "“"), "_cap", F.lit("”"))
-        texts = texts.withColumn("text", F.when(F.coalesce("_cap", F.lit("")) != "", said).otherwise(F.col("text"))).drop("_cap")
-    return texts
+        texts = texts.withColumn("text", F.when(F.coalesce("_cap", F.lit("")) != "", said).otherwise(F.col("text")))
+    return texts.drop("_cap")
