@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.operators import chunking as C
 from spindrift.operators import outline as O
+from spindrift.operators import terms as K
 from spindrift.sources.tables import read
 
 from .catalog import query
@@ -44,9 +45,7 @@ def sliding_words(spark, d):
 g AS (SELECT u.g AS gram FROM w, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS u(g) WHERE len(w) >= 3)
 SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) > 3""")
 def ngrams(spark, d):
-    words = read(spark, d, "documents").select(T.words(F.col("text")).alias("words"))
-    grams = words.select(F.explode(T.ngrams(F.col("words"), 3)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 3")
+    return K.frequent_ngrams(read(spark, d, "documents"), 3, 3)
 
 
 KINDS = {"article": r"(^|[^\p{L}])(the|le|la|der|die)([^\p{L}]|$)", "long": r"^.{200,}", "short": r"^.{1,40}$"}

@@ -3,10 +3,12 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
 from spindrift.operators import segment as G
+from spindrift.operators import terms as K
 
 LINES = ["# a comment", "ab 900 n", "abc 20 v", "bc 5000 ns", "ca 1 r", "cab 300 n", "aab 7 x", "b 10 c", "dddd 50 n", "ab 3 low", "bad line", "x notanumber n"]
 WORDS = G.dictionary(LINES)
@@ -120,3 +122,23 @@ def test_weights(spark):
     one, two = sum(raw[t] for t in ("paris", "12.5", "it", "unknown")), raw["x1y"] + raw["run"]
     found = {r["term"]: r["weight"] for r in G.weighted_terms(terms, entries).collect()}
     assert found == pytest.approx({t: w / (two if t in ("x1y", "run") else one) for t, w in raw.items()})
+
+
+@pytest.mark.parametrize(("bits", "at_once"), [(28, 1 << 22), (28, 50), (11, 50)])
+def test_only_frequent_ngrams_are_counted_by_their_words(spark, monkeypatch, bits, at_once):
+    """Also where tasks send many blocks, and where the filter has so few bits that rare ones pass."""
+    monkeypatch.setattr(K, "FILTER", bits)
+    monkeypatch.setattr(K, "SORTED", at_once)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["A", "b", "c", "é", f"w{draw.randrange(500)}"]) for _ in range(draw.randrange(40))) for _ in range(150)] + [None, "", "a", "a b", "x y z", "x y z x y z x", *["q r s"] * 4]
+    wanted = Counter()
+    for t in texts:
+        w = re.findall(r"\w+", (t or "").lower())
+        wanted.update(" ".join(w[i : i + 3]) for i in range(len(w) - 2))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for more in (3, 12):
+        frequent = {g: n for g, n in wanted.items() if n > more}
+        assert {r["gram"]: r["n"] for r in K.frequent_ngrams(docs, 3, more).collect()} == frequent
+    if bits == 28:
+        assert K.passing(docs, 3, 3).count() == sum(n for n in wanted.values() if n > 3) < sum(wanted.values())
+    assert K.frequent_ngrams(docs.limit(0), 3, 3).count() == 0
